@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _text as X
@@ -94,21 +95,21 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """rid, doc_id, n, lo, hi (of the set) and bands of every document."""
+    """rid, doc_id, digest (of doc_id and text), n, lo, hi (of the set) and bands of every document."""
     m = bands * rows
 
     def run(batches):
         for batch in batches:
             for part in X.slices(batch, "text"):
-                sets, off = shingle_sets(part.column(2), shingle)
+                sets, off = shingle_sets(part.column(3), shingle)
                 lo, hi = digests(sets, off)
                 n = np.diff(off)
                 keys = band_keys(super_minhash(sets, off, m), bands)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), _signed(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), _signed(lo), _signed(hi), lists], ["rid", "doc_id", "n", "lo", "hi", "bands"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), _signed(lo), _signed(hi), lists], ["rid", "doc_id", "digest", "n", "lo", "hi", "bands"])
 
-    source = texts(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    return source.mapInArrow(run, "rid long, doc_id long, n long, lo long, hi long, bands array<long>")
+    source = texts(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("doc_id", "text").alias("digest"), "text")
+    return source.mapInArrow(run, "rid long, doc_id long, digest long, n long, lo long, hi long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: Bloom, shingle: int) -> DataFrame:
@@ -160,7 +161,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
-    """One row per row of docs: rid, doc_id, n_shingles, component_id, kept, first_copy, n_links.
+    """One row per row of docs: rid, doc_id, digest, n_shingles, component_id, kept, first_copy, n_links.
 
     1. A scan makes each row's signature and set digest; equal sets fall into one class.
     2. Classes that share a band's key are candidates.  In each bucket every member is compared with one leader,
@@ -200,10 +201,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     whole = whole.join(least, "label").join(ends, "lo", "left").select("lo", "hi", "n", "component_id", F.col("first.rid").alias("first_rid"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = table.drop("bands").join(whole, ["lo", "hi", "n"], "left")
     own = F.col("n") == 0
-    out = out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (own | (F.col("rid") == F.col("first_rid"))).alias("first_copy"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = out.select("rid", "doc_id", "digest", F.col("n").alias("n_shingles"), F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (own | (F.col("rid") == F.col("first_rid"))).alias("first_copy"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def deduplicated(docs: DataFrame, **parameters) -> DataFrame:
+    """docs with one row of each component: the first of those with its least doc_id.  Of rows equal in doc_id and text
+    one stays."""
+    kept = near_duplicates(docs, **parameters).where("first_copy").select(F.col("digest").alias("__digest")).distinct()
+    rows = docs.withColumn("__digest", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    rows = rows.join(kept, "__digest", "left_semi")
+    one = F.row_number().over(W.partitionBy("__digest").orderBy("doc_id"))
+    return rows.withColumn("__one", one).where("__one = 1").select(*docs.columns)
+
+
 def _alike(pairs: DataFrame, size: DataFrame, percent: int) -> DataFrame:
     """Drops pairs whose set sizes alone rule a link out."""
     a, b = size.select(F.col("node").alias("a"), F.col("n").alias("n_a")), size.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
