@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
     ship(tuned(spark))
     model = op7_quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return op7_quality_classifier.scored(docs, model).where(F.col("score") >= THRESHOLD).drop("score")
+    return op7_quality_classifier.scored(docs, model).where(F.col(op7_quality_classifier.SCORE) >= THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    out = op8_mixing.taken(docs, op8_mixing.plan(docs)).where("times > 0")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+    out = op8_mixing.taken(docs, op8_mixing.plan(docs)).where("__times > 0")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._store import texts, tuned
 
@@ -223,10 +223,11 @@ def load(path: str) -> Transducer:
     return _loaded[path]
 
 
-def encoded(docs: DataFrame, path: str | None = None, column: str = "text") -> DataFrame:
-    """docs with ids array<int>, and decoded (their text again)."""
+def encoded(docs: DataFrame, path: str | None = None, column: str = "text", decode: bool = True) -> DataFrame:
+    """docs with ids array<int>, n_tokens long and decoded (their text again), in place of columns of these names."""
     path = path or default_model()
-    fields = docs.schema.add("ids", "array<int>").add("decoded", "string")
+    docs = docs.drop("ids", "n_tokens", "decoded")
+    fields = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())])
     at = docs.columns.index(column)
 
     def run(batches):
@@ -237,7 +238,7 @@ def encoded(docs: DataFrame, path: str | None = None, column: str = "text") -> D
                 ids = [fst.encode(t or "") for t in part.column(at).to_pylist()]
                 off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(ids).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array([fst.decode(x) for x in ids], pa.string())], [*part.schema.names, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(np.diff(off).astype(np.int64)), pa.array([fst.decode(x) if decode else None for x in ids], pa.string())], [*part.schema.names, "ids", "n_tokens", "decoded"])
 
     return docs.mapInArrow(run, fields)
 
@@ -268,4 +269,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs with their ids and number of tokens."""
-    return encoded(docs, path).drop("decoded").withColumn("n_tokens", F.size("ids").cast("long"))
+    return encoded(docs, path, decode=False).drop("decoded")

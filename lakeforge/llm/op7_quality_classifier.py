@@ -14,10 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _text as X
 from ._store import texts
 
+SCORE = "__quality_score"  # no column of documents has this name
 _KINDS = 12
 _CLASS = np.zeros(256, np.int64)
 for _k, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&<>", b"|", b"!", b"\n", b".,;:?", b" \t\r\x0b\x0c", b"@/\\_={}[]()+-\"'"), 1):
@@ -139,15 +141,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, held_out: int
 
 
 def scored(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
-    """docs with one more column, `score`."""
-    fields = docs.schema.add("score", "double")
+    """docs with one more column, named SCORE."""
+    fields = T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())])
     at = docs.columns.index(column)
 
     def run(batches):
         for batch in batches:
             for part in X.slices(batch, column):
                 text = part.column(at)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(features(text)), pa.float64())], [*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(features(text)), pa.float64())], [*part.schema.names, SCORE])
 
     return docs.mapInArrow(run, fields)
 

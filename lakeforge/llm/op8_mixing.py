@@ -61,7 +61,7 @@ def plan(docs: DataFrame, seed: int = 17, cap: float = 3.0, weights: tuple[float
         table.append((s, size, float(goal[s]), copies, p if p > 1e-12 else 0.0, goal[s] - copies * size))
     side = (lambda df: F.broadcast(df)) if len(table) <= MAX_BROADCAST_SOURCES else (lambda df: df)
     sources = spark.createDataFrame(table, "name string, source_size long, target double, copies int, p double, missing double")
-    ranked = rows.join(side(sources), F.col("source").eqNullSafe(F.col("name"))).select("source", "doc_id", "size", order_key().alias("v"), "missing").where("v < 1")
+    ranked = rows.join(side(sources), F.col("source").eqNullSafe(F.col("name"))).select("source", "doc_id", "size", order_key(F.col("u"), F.col("p")).alias("v"), "missing").where("v < 1")
     ranked = ranked.withColumn("bin", F.floor(F.col("v") * BINS))
     bins = ranked.groupBy("source", "bin", "missing").agg(F.sum("size").alias("words"))
     upto = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
@@ -78,24 +78,28 @@ def plan(docs: DataFrame, seed: int = 17, cap: float = 3.0, weights: tuple[float
     return written(out.select(F.col("name").alias("source"), "source_size", "target", "copies", "p", F.coalesce("cut_v", F.lit(-1.0)).alias("cut_v"), "cut_id"), "mix")
 
 
-def order_key() -> Column:
+def order_key(u: Column, p: Column) -> Column:
     """Q / (1 + Q) for Q = random odds / inclusion odds: the same order in a bounded range; 1 where p is 0."""
-    q = F.col("u") / (1 - F.col("u")) * (1 - F.col("p")) / F.col("p")
-    return F.when(F.col("p") <= 0, F.lit(1.0)).when(F.col("p") >= 1, F.lit(0.0)).otherwise(F.least(q / (1 + q), F.lit(1 - 1e-12)))
+    q = u / (1 - u) * (1 - p) / p
+    return F.when(p <= 0, F.lit(1.0)).when(p >= 1, F.lit(0.0)).otherwise(F.least(q / (1 + q), F.lit(1 - 1e-12)))
+
+
+MIX = ("source_size", "target", "times")
 
 
 def taken(docs: DataFrame, mix: DataFrame, seed: int = 17) -> DataFrame:
-    """docs with size, source_size, target and times (whole copies the mix takes)."""
+    """docs with __source_size, __target and __times (whole copies the mix takes)."""
     few = mix.count() <= MAX_BROADCAST_SOURCES
-    side = mix.select(F.col("source").alias("mix_source"), "source_size", "target", "copies", "p", "cut_v", "cut_id")
+    side = mix.select(*[F.col(c).alias(f"__{c}") for c in ("source", "source_size", "target", "copies", "p", "cut_v", "cut_id")])
     side = F.broadcast(side) if few else side
-    out = docs.join(side, F.col("source").cast("string").eqNullSafe(F.col("mix_source")), "left").withColumn("u", uniform(seed)).withColumn("v", order_key())
+    out = docs.join(side, F.col("source").cast("string").eqNullSafe(F.col("__source")), "left").withColumn("__v", order_key(uniform(seed), F.col("__p")))
     low = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    chosen = (F.col("v") < F.col("cut_v")) | ((F.col("v") == F.col("cut_v")) & (low <= F.coalesce("cut_id", F.lit(-(1 << 63)))))
-    return out.withColumn("times", F.col("copies") + ((F.col("v") < 1) & chosen).cast("int"))
+    chosen = (F.col("__v") < F.col("__cut_v")) | ((F.col("__v") == F.col("__cut_v")) & (low <= F.coalesce("__cut_id", F.lit(-(1 << 63)))))
+    out = out.withColumn("__times", F.col("__copies") + ((F.col("__v") < 1) & chosen).cast("int"))
+    return out.select(*[docs[c] for c in docs.columns], *[f"__{c}" for c in MIX])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     out = taken(docs, plan(docs)).withColumn("size", n_words())
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), "times")
+    return out.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__times")).cast("long").alias("taken"), F.col("__times").alias("times"))
