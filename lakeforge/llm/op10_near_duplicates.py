@@ -166,8 +166,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     1. A scan makes each row's signature and set digest; equal sets fall into one class.
     2. Classes that share a band's key are candidates.  In each bucket every member is compared with one leader,
        the member that shares most buckets over all; confirmed links give components.
-    3. Only members of one bucket that are still in different components are compared with each other, so no link
-       that could join two components is left out and copies are never expanded into all pairs.
+    3. What may still link members of one bucket that are in different components is found by a filter that loses
+       nothing (see _unsettled), so copies are never expanded into all pairs.
     With 32 bands of 4 rows a pair at the threshold of 0.8 shares no band with probability 5e-8.
     """
     spark = docs.sparkSession
@@ -185,12 +185,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     sets = written(sets_of(docs, Bloom.of(members.select("node"), "node"), shingle), "sets")
     links = written(confirmed(pairs, sets, percent), "links")
     labels = components(links)
-    known = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    split = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    rest = known.join(split, "key")
-    other = rest.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    cross = rest.withColumnRenamed("node", "a").join(other, "key").where("a < b and label <> label_b").select("a", "b").distinct()
-    cross = _alike(cross, size, percent).join(pairs, ["a", "b"], "left_anti")
+    cross = _alike(_unsettled(members, leaders, labels, sets, percent), size, percent).join(pairs, ["a", "b"], "left_anti")
     more = written(confirmed(cross, sets, percent), "links")
     links = links.union(more)
     if more.limit(1).count():
@@ -205,6 +200,57 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _unsettled(members: DataFrame, leaders: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) in different components that may be linked, for buckets that hold several components.
+
+    Let A and B be the differences (elements in one set only) of x and y from their bucket's leader L.  Then x and y
+    differ in |A| + |B| - 2 |A & B| elements, and they are linked if and only if that is at most f (n_x + n_y) with
+    f = (100 - percent) / (100 + percent).  One of the two, say x, isn't linked with L, so |A| > f (n_x + n_L), and
+    A and B must share t >= 1 elements; t follows from the sizes.  So they share one of the |A| - t + 1 rarest elements
+    of A and one of the |B| - t + 1 rarest of B.  An edit's new shingles are rare, so copies of one text, each edited
+    elsewhere, meet in hardly any of these.
+    """
+    f = (100 - percent) / (100 + percent)
+    known = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    split = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    star = known.join(split, "key").join(leaders, "key").where("node <> leader").groupBy("leader", "node").agg(F.first("label").alias("label"))
+    left, right = sets.select(F.col("node").alias("leader"), F.col("items").alias("x")), sets.select("node", F.col("items").alias("y"))
+
+    def run(batches):
+        for batch in batches:
+            sizes, tops, items = [], [], []
+            for x, y in zip(batch.column(3), batch.column(4), strict=True):
+                x, y = _items(x.as_py()), _items(y.as_py())
+                both = np.sort(np.concatenate([x, y]))
+                once = np.ones(len(both) + 1, bool)
+                once[1:-1] = both[1:] != both[:-1]
+                sizes.append(len(y))
+                tops.append(len(x))
+                items.append(both[once[1:] & once[:-1]].astype(np.int64))
+            off = np.concatenate([[0], np.cumsum([len(i) for i in items])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(items or [np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(tops, pa.int64()), lists], ["leader", "node", "label", "n", "n_leader", "items"])
+
+    deltas = star.join(left, "leader").join(right, "node").select("leader", "node", "label", "x", "y").mapInArrow(run, "leader long, node long, label long, n long, n_leader long, items array<long>")
+    deltas = written(deltas, "deltas").withColumn("d", F.size("items")).withColumn("apart", F.col("d") > f * (F.col("n") + F.col("n_leader")))
+    # only leaders with members that aren't linked with them
+    open_leaders = deltas.where("apart").select("leader").distinct()
+    items = deltas.join(open_leaders, "leader", "left_semi").select("leader", "node", F.explode("items").alias("item"))
+    counts = items.groupBy("leader", "item").agg(F.count("*").alias("df")).where("df > 1")
+    # an element of one member alone is never shared; it only takes up places of the prefix
+    shared = items.join(counts, ["leader", "item"]).groupBy("leader", "node").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("order"))
+    rows = deltas.drop("items").join(shared, ["leader", "node"])
+    most = F.col("n") * f * (1 + 100 / percent)  # f (n_x + n_y), as n_y is at most n_x * 100 / percent
+    t_apart = F.greatest(F.lit(1), F.ceil((F.col("d") + F.greatest(F.col("d") - most, F.lit(1)) - most) / 2 - 1e-9))
+    t_other = F.greatest(F.lit(1), F.ceil((F.col("d") + f * (F.col("n_leader") - F.col("n"))) / 2 - 1e-9))
+    alone = F.col("d") - F.size("order")
+    prefix = lambda t: F.slice("order", F.lit(1), F.greatest(F.lit(0), F.col("d") - t + 1 - alone).cast("int"))
+    one = rows.where("apart").select("leader", F.col("node").alias("x"), F.col("label").alias("label_x"), F.explode(prefix(t_apart)).alias("e")).select("leader", "x", "label_x", "e.item")
+    two = rows.select("leader", F.col("node").alias("y"), F.col("label").alias("label_y"), F.explode(prefix(t_other)).alias("e")).select("leader", "y", "label_y", "e.item")
+    pairs = one.join(two, ["leader", "item"]).where("x <> y and label_x <> label_y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def deduplicated(docs: DataFrame, **parameters) -> DataFrame:
     """docs with one row of each component: the first of those with its least doc_id.  Of rows equal in doc_id and text
     one stays."""
