@@ -1,0 +1 @@
+"""This engine has no streams, so nothing is built here."""
