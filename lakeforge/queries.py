@@ -1,15 +1,246 @@
-"""Queries for the engine's own operators, with their SQL twins."""
+"""The engine's own operators on the driver's tables, each with a SQL twin.
+
+The tables hold no source code, so an operator runs on tables of the same structure: suppliers and parts for callers
+and dependencies, documents for files, pages for text to cut blocks from.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import lookup as L
+from .operators import state as S
+from .plans.infer import StubModel, decode_reply, discover, request_column, request_of
+from .sources import scan
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as functions: summary null, empty or text, and two statuses."""
+    p = table(spark, sf_dir, "part")
+    summary = F.when(F.col("p_size") % 3 == 0, F.lit(None)).when(F.col("p_size") % 3 == 1, F.lit("")).otherwise(F.concat(F.lit("makes "), "p_type"))
+    status = F.when(F.col("p_size") < 20, F.lit("PENDING")).when(F.col("p_size") < 35, F.lit("IN_PROGRESS")).otherwise(F.lit("EXTRACTED"))
+    return p.select(F.concat(F.col("p_brand"), F.lit("."), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("package"), F.concat(F.lit("f"), (F.col("p_partkey") % 500).cast("string")).alias("func_name"), F.col("p_name").alias("file_path"), summary.alias("summary"), status.alias("status"), F.col("p_partkey").alias("seq"))
+
+
+_PARTS = """parts AS (SELECT concat(p_brand, '.', p_partkey) AS id, p_brand AS package, concat('f', p_partkey % 500) AS func_name, p_name AS file_path,
+ CASE p_size % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('makes ', p_type) END AS summary,
+ CASE WHEN p_size < 20 THEN 'PENDING' WHEN p_size < 35 THEN 'IN_PROGRESS' ELSE 'EXTRACTED' END AS status, p_partkey AS seq FROM part)"""
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier s depends on the bare names of the parts it ships; one in seven isn't a function."""
+    li = table(spark, sf_dir, "lineitem")
+    kind = F.when(F.col("l_partkey") % 7 == 0, F.lit("structure")).otherwise(F.lit("function"))
+    return li.select(F.concat(F.lit("s."), F.col("l_suppkey").cast("string")).alias("function_id"), F.concat(F.lit("f"), (F.col("l_partkey") % 600).cast("string")).alias("dep_name"), kind.alias("dep_type"), F.col("l_partkey").cast("int").alias("pos"))
+
+
+_CALLS = """calls AS (SELECT concat('s.', l_suppkey) AS function_id, concat('f', l_partkey % 600) AS dep_name,
+ CASE WHEN l_partkey % 7 = 0 THEN 'structure' ELSE 'function' END AS dep_type, CAST(l_partkey AS INT) AS pos FROM lineitem),
+deps AS (SELECT function_id, dep_name, dep_type, pos FROM calls QUALIFY row_number() OVER (PARTITION BY function_id, dep_name ORDER BY pos, dep_type) = 1)"""
+
+
+def _deps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.first_wins(_calls(spark, sf_dir), ["function_id", "dep_name"], ["pos", "dep_type"])
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS package, event_type AS func_name, CAST(event_id AS VARCHAR) AS file_path, event_id AS seq FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1")
+def catalog_first_wins(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("package"), F.col("event_type").alias("func_name"), F.col("event_id").cast("string").alias("file_path"), F.col("event_id").alias("seq"))
+    return S.save_catalog(e.limit(0), e)
+
+
+@query(f"WITH {_PARTS}, old AS (SELECT * FROM parts WHERE status <> 'PENDING') SELECT * FROM old UNION ALL SELECT id, package, func_name, file_path, NULL, 'PENDING', seq FROM parts WHERE id NOT IN (SELECT id FROM old)")
+def queue_sync(spark, sf_dir):
+    p = _parts(spark, sf_dir)
+    catalog = p.select("package", F.col("seq").cast("string").alias("func_name"), "file_path", "seq")
+    new = S.sync_queue(p.where("status <> 'PENDING'"), catalog)
+    names = p.select("id", F.col("func_name").alias("own"))
+    return new.join(names, "id").select("id", "package", F.col("own").alias("func_name"), "file_path", "summary", "status", "seq")
+
+
+@query(f"WITH {_PARTS}, {_CALLS} SELECT function_id AS id, string_agg(concat('- ', dep_name, ' : ', CASE WHEN coalesce(summary, '') = '' THEN '{L.EXTERNAL}' ELSE summary END, chr(10)), '' ORDER BY dep_name, seq) AS context FROM deps LEFT JOIN parts ON func_name = dep_name GROUP BY 1 UNION ALL SELECT 's.none', ''")
+def dep_context(spark, sf_dir):
+    deps = _deps(spark, sf_dir)
+    ids = deps.select(F.col("function_id").alias("id")).distinct().union(spark.sql("SELECT 's.none' AS id"))
+    return L.contexts(ids, deps, _parts(spark, sf_dir))
+
+
+@query(f"WITH {_PARTS}, {_CALLS}, names AS (SELECT DISTINCT dep_name FROM deps), first AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY func_name ORDER BY seq) = 1) SELECT dep_name, id, package, file_path, seq FROM names JOIN first ON func_name = dep_name")
+def find_first_match(spark, sf_dir):
+    names = _deps(spark, sf_dir).select("dep_name").distinct()
+    return L.find_in_catalog(names, _parts(spark, sf_dir)).select("dep_name", "id", "package", "file_path", "seq")
+
+
+@query(f"WITH {_PARTS}, {_CALLS} SELECT DISTINCT dep_name FROM deps WHERE dep_name IN (SELECT func_name FROM parts WHERE coalesce(summary, '') <> '')")
+def has_summary(spark, sf_dir):
+    return L.has_summary(_deps(spark, sf_dir).select("dep_name").distinct(), _parts(spark, sf_dir))
+
+
+@query(f"WITH {_PARTS}, {_CALLS}, first AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY func_name ORDER BY seq) = 1) SELECT function_id, id AS child, dep_name, pos FROM deps JOIN first ON func_name = dep_name WHERE dep_type = 'function' AND dep_name NOT IN (SELECT func_name FROM parts WHERE coalesce(summary, '') <> '')")
+def descend_edges(spark, sf_dir):
+    return L.to_descend(_deps(spark, sf_dir), _parts(spark, sf_dir)).select("function_id", "child", "dep_name", "pos")
+
+
+@query(f"WITH {_PARTS} SELECT id, package, func_name, file_path, coalesce(summary, '') AS summary, seq FROM parts WHERE status = 'PENDING'")
+def status_scan(spark, sf_dir):
+    return L.by_status(_parts(spark, sf_dir), "PENDING")
+
+
+@query(f"WITH {_PARTS}, ids AS (SELECT DISTINCT concat('Brand#11.', l_partkey) AS id FROM lineitem) SELECT ids.id, coalesce(status, '') AS status FROM ids LEFT JOIN parts USING (id)")
+def status_lookup(spark, sf_dir):
+    ids = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("Brand#11."), F.col("l_partkey").cast("string")).alias("id")).distinct()
+    return L.status_of(ids, _parts(spark, sf_dir)).select("id", "status")
+
+
+@query(f"WITH {_PARTS} SELECT CASE status WHEN 'IN_PROGRESS' THEN 'PENDING' ELSE status END AS status, count(*) AS n FROM parts GROUP BY 1")
+def status_reset(spark, sf_dir):
+    return S.reset_status(_parts(spark, sf_dir), "IN_PROGRESS", "PENDING").groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_PARTS} SELECT id, package, func_name, file_path, CASE WHEN seq % 5 = 0 THEN concat('new ', seq) ELSE summary END AS summary, CASE WHEN seq % 5 = 0 THEN 'EXTRACTED' ELSE status END AS status, seq FROM parts")
+def status_transition(spark, sf_dir):
+    p = _parts(spark, sf_dir)
+    return S.finalise(p, p.where("seq % 5 = 0").select("id", F.concat(F.lit("new "), F.col("seq").cast("string")).alias("summary")))
+
+
+@query(f"WITH {_PARTS}, {_CALLS} SELECT function_id, dep_name, dep_type, pos FROM deps")
+def save_dependencies(spark, sf_dir):
+    c = _calls(spark, sf_dir)
+    return S.save_dependencies(c.limit(0), c.groupBy("function_id", "dep_name", "pos").agg(F.min("dep_type").alias("dep_type")).select(*c.columns))
+
+
+@query(f"WITH {_PARTS} SELECT count(*) AS n FROM parts")
+def record_count(spark, sf_dir):
+    return spark.range(1).select(F.lit(S.record_count(_parts(spark, sf_dir))).cast("long").alias("n"))
+
+
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, len(string_split(text, chr(10))) AS n FROM documents) SELECT doc_id, CAST(line_no AS INT) AS line_no, regexp_replace(line, '\\r$', '') AS line FROM l WHERE NOT (line_no = n - 1 AND line = '') AND starts_with(line, 'The ')")
+def line_scan(spark, sf_dir):
+    return scan.lines(table(spark, sf_dir, "documents").select("doc_id", "text")).where(F.col("line").startswith("The ")).select("doc_id", "line_no", "line")
+
+
+@query("SELECT page_id, regexp_extract(concat('func (', 'p *T) ', split_part(url, '/', 3), '(x int)'), '^func\\s*(?:\\([^)]*\\)\\s*)?([^(]*)\\(', 1) AS name FROM pages")
+def name_extract(spark, sf_dir):
+    line = F.concat(F.lit("func (p *T) "), F.split_part("url", F.lit("/"), F.lit(3)), F.lit("(x int)"))
+    return table(spark, sf_dir, "pages").select("page_id", T.function_name(line).alias("name"))
+
+
+@query("SELECT page_id, path FROM (SELECT page_id, concat('/', substr(url, 1, 4 + CAST(page_id % 3 AS INT)), CASE page_id % 5 WHEN 0 THEN '/vendor/a.go' WHEN 1 THEN '/a_TEST.go' WHEN 2 THEN '/Exampl.go' WHEN 3 THEN '/a.GO' ELSE '/a.go' END) AS path FROM pages) WHERE ends_with(path, '.go') AND NOT (contains(lower(path), '/vendor/') OR ends_with(lower(path), '_test.go') OR contains(lower(path), 'exampl') OR contains(lower(path), 'exempl'))")
+def path_filter(spark, sf_dir):
+    tail = F.element_at(F.array(*[F.lit(x) for x in ("/vendor/a.go", "/a_TEST.go", "/Exampl.go", "/a.GO", "/a.go")]), (F.col("page_id") % 5 + 1).cast("int"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/"), F.substring("url", F.lit(1), (4 + F.col("page_id") % 3).cast("int")), tail).alias("path"))
+    return p.where(scan.wanted(F.col("path")))
+
+
+@query("""WITH l AS (SELECT page_id, unnest(string_split(replace(replace(html, '<div', '{<div'), '</div', '}</div'), '<')) AS line, generate_subscripts(string_split(replace(replace(html, '<div', '{<div'), '</div', '}</div'), '<'), 1) AS n FROM pages),
+b AS (SELECT page_id, n, sum(length(line) - length(replace(line, '{', ''))) OVER w AS opened, sum(length(line) - length(replace(line, '}', ''))) OVER w AS closed FROM l WINDOW w AS (PARTITION BY page_id ORDER BY n)),
+e AS (SELECT page_id, coalesce(min(CASE WHEN opened > 0 AND opened - closed <= 0 THEN n END), max(n)) AS last FROM b GROUP BY 1) SELECT page_id, CAST(last AS BIGINT) AS n_lines FROM e""")
+def block_extract(spark, sf_dir):
+    parts = F.split(F.replace(F.replace("html", F.lit("<div"), F.lit("{<div")), F.lit("</div"), F.lit("}</div")), "<", -1)
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(parts).alias("n", "line"))
+    w = W.partitionBy("page_id").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
+    opened, closed = F.sum(T.count_token(F.col("line"), "{")).over(w), F.sum(T.count_token(F.col("line"), "}")).over(w)
+    rows = rows.select("page_id", "n", opened.alias("opened"), (opened - closed).alias("balance"))
+    end = F.min(F.when((F.col("opened") > 0) & (F.col("balance") <= 0), F.col("n")))
+    return rows.groupBy("page_id").agg((F.coalesce(end, F.max("n")) + 1).cast("long").alias("n_lines"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, true AS ok FROM events")
+def json_decode(spark, sf_dir):
+    """The strict decoder on replies made from events: {"Summary": "k"}, as an Arrow batch function."""
+
+    def run(batches):
+        for b in batches:
+            b["ok"], b["k"] = zip(*[(ok, int(s)) for ok, s, _ in map(decode_reply, b["reply"])], strict=True) if len(b) else ([], [])
+            yield b[["event_id", "k", "ok"]]
+
+    e = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.get_json_object("props", "$.k").alias("Summary"))).alias("reply"))
+    return e.mapInPandas(run, "event_id long, k long, ok boolean")
+
+
+@query("SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings")
+def explode_deps(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x")).select("vec_id", "pos", F.col("x").cast("double").alias("v"))
+
+
+_EDGES = "e AS (SELECT c_custkey // 3 AS a, c_custkey AS b FROM customer WHERE c_custkey > 2 UNION SELECT c_custkey AS a, c_custkey // 9 AS b FROM customer WHERE c_custkey % 9 = 0 AND c_custkey > 8)"
+
+
+@query(f"WITH RECURSIVE {_EDGES}, w(node, depth) AS (SELECT CAST(1 AS BIGINT), 1 UNION SELECT e.b, w.depth + 1 FROM w JOIN e ON e.a = w.node WHERE w.depth < 6) SELECT node, min(depth) AS depth FROM w GROUP BY 1")
+def tree_depth(spark, sf_dir):
+    """Least depth from a root, at most 6, over a graph with cycles: a frontier that never enters a node again."""
+    c = table(spark, sf_dir, "customer")
+    down = c.where("c_custkey > 2").select(F.expr("c_custkey div 3").alias("a"), F.col("c_custkey").alias("b"))
+    up = c.where("c_custkey % 9 = 0 and c_custkey > 8").select(F.col("c_custkey").alias("a"), F.expr("c_custkey div 9").alias("b"))
+    edges = down.union(up)
+    seen = front = spark.range(1, 2).select(F.col("id").alias("node"), F.lit(1).alias("depth"))
+    for depth in range(2, 7):
+        front = front.join(edges, front.node == edges.a).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth))
+        seen = seen.union(front)
+    return seen
+
+
+_REPLY = "concat(CASE WHEN p_size % 4 = 0 THEN 'O K' WHEN p_size % 4 = 1 THEN concat('ok ', p_size) WHEN p_size % 4 = 2 THEN 'NOT OK' ELSE p_name END, CASE WHEN p_size % 3 = 0 THEN ', all good' ELSE '' END)"
+
+
+@query(f"SELECT p_partkey, contains(u, 'OK') AND strlen(u) <= 10 AS clean, CASE WHEN contains(u, 'OK') AND strlen(u) <= 10 THEN '' ELSE trim(r) END AS finding FROM (SELECT p_partkey, {_REPLY} AS r, upper(replace({_REPLY}, ' ', '')) AS u FROM part)")
+def verdict(spark, sf_dir):
+    r = F.expr(_REPLY.replace("concat('ok ', p_size)", "concat('ok ', cast(p_size as string))"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.is_clean(r).alias("clean"), T.finding_text(r).alias("finding"))
+
+
+@query("SELECT o_orderkey, concat('## ', o_orderstatus, '.', o_orderkey, chr(10), 'By: ', c_name, chr(10), '---', chr(10)) AS item FROM orders JOIN customer ON c_custkey = o_custkey")
+def report_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    return rows.select("o_orderkey", F.concat(F.lit("## "), T.function_id(F.col("o_orderstatus"), F.col("o_orderkey").cast("string")), F.lit("\nBy: "), "c_name", F.lit("\n---\n")).alias("item"))
+
+
+@query("SELECT s_suppkey, CAST(s_suppkey * 100 // 1000 AS BIGINT) AS pct, CAST(s_suppkey * 30 // 1000 AS BIGINT) AS fill, CASE WHEN s_suppkey % 10 > 0 THEN s_suppkey / (s_suppkey % 10) ELSE 0.0 END AS rate FROM supplier")
+def progress_metrics(spark, sf_dir):
+    p = T.progress(F.col("s_suppkey"), F.lit(1000), F.col("s_suppkey") % 10)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", p.alias("p")).select("s_suppkey", "p.pct", "p.fill", "p.rate")
+
+
+@query()
+def model_request(spark, sf_dir):
+    """The wire request as a column; tests hold it against the client's own."""
+    assert request_of("m", "p", True, 1)
+    return table(spark, sf_dir, "part").select("p_partkey", request_column("m", F.col("p_name"), True).alias("request"))
+
+
+@query()
+def stub_infer(spark, sf_dir):
+    """The first model stage over all documents with the offline stub."""
+    prompts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("prompt"), (F.coalesce("text", F.lit("")) != "").alias("has_code"))
+    return discover(prompts, StubModel(), spark.sparkContext.defaultParallelism).select("id", "ok", "summary", F.size("external").alias("n_external"), "attempts")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -39,15 +40,21 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
     )
 
 
-def cut_lineage(df, tag: str = "cut"):
-    """Writes df to the folder that spark.checkpoint.dir names and reads it back."""
-    import uuid
+_shared: dict[str, str] = {}
 
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset (tests, a single machine)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="lakeforge-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/lakeforge/{tag}-{uuid.uuid4().hex}"
+        app = spark.sparkContext.applicationId
+        where = _shared.setdefault(app, "") or tempfile.mkdtemp(prefix="lakeforge-")
+        _shared[app] = where
+    return where.rstrip("/")
+
+
+def cut_lineage(df: DataFrame, tag: str = "cut") -> DataFrame:
+    """Writes df to the shared folder and reads it back, which cuts its lineage."""
+    path = f"{shared_dir(df.sparkSession)}/lakeforge/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -72,8 +72,6 @@ def lines(files: DataFrame, text: str = "text") -> DataFrame:
     it; an empty last line isn't one; files with an overlong line are left out whole."""
     parts = F.split(F.col(text), "\n", -1)
     parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    ok = F.forall(parts, lambda x: F.octet_length(x) < MAX_LINE)
     keep = [c for c in files.columns if c != text]
-    rows = files.select(*keep, parts.alias("parts")).where(F.col("parts").isNotNull()).withColumn("parts", F.when(ok, F.col("parts")))
-    rows = rows.where(F.col("parts").isNotNull())
+    rows = files.select(*keep, parts.alias("parts")).where(F.forall("parts", lambda x: F.octet_length(x) < MAX_LINE))
     return rows.select(*keep, F.posexplode("parts").alias("line_no", "line")).withColumn("line", F.regexp_replace("line", "\r$", ""))
