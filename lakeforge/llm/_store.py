@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,24 +10,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-U64 = np.uint64
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the setting is unset (tests, single node)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="lakeforge-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+from ..session import cut_lineage as written
+from ..session import shared_dir
 
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lakeforge/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+U64 = np.uint64
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
