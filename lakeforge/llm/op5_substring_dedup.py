@@ -11,7 +11,8 @@ are settled by the ranks of the cover sample (columns c with c mod 7 in {0, 1, 3
    Bloom filter of bounded size.  What it lets through wrongly is only work, for the sort is exact.
 2. A scan sends each repeated anchor's context once per task (with its least doc_id) and a short reference for each
    place.  A block reads the contexts, sorts them, and then streams the references past the result, so a passage that
-   a third of all documents share is never gathered.
+   a third of all documents share is never gathered.  A context's name and an anchor are 64-bit hashes; a suffix is
+   compared by its anchor's hash and the bytes around it.
 3. The runs found meet their texts, which are cut and digested.
 
 Defined results: a null text is an empty one; texts under SPAN bytes lose nothing; rows with the same doc_id are no
@@ -22,6 +23,8 @@ looked at.
 from __future__ import annotations
 
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -29,15 +32,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._store import Bloom, Counts, bucket_bits, buckets, merged, pack, text_bytes, texts, tuned, unpack, written
+from ._store import Bloom, Counts, bucket_bits, buckets, merged, pack, text_bytes, texts, tuned, unpack, unplanes, written
 
 U64, SPAN, K = np.uint64, 50, 36
 FREE = SPAN - K  # bytes of context on each side of an anchor
-WIDE = 2 * FREE + K
+#: A context stands in a block with its anchor as one symbol of eight bytes, the anchor's hash: FREE bytes, the hash,
+#: FREE bytes. A suffix that begins at offset a goes on to a + SUFFIX there, which is SPAN bytes of text.
+WIDE, SUFFIX = 2 * FREE + 8, FREE + 8
 LAST = np.iinfo(np.int64).max
 #: A perfect difference cover modulo 7.
 PERIOD, COVER = 7, (0, 1, 3)
-DEPTH = 26  # bytes that a sample rank stands for
+DEPTH = 12  # bytes that a sample rank stands for
 BLOOM_BYTES = 1 << 27
 
 
@@ -51,7 +56,7 @@ def _slide(x: np.ndarray, n: int, f) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, off: np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Places and 48-bit hashes (the lower bits 0) of the anchors of all SPAN-byte strings that lie within one row."""
+    """Places and hashes of the anchors of all SPAN-byte strings that lie within one row."""
     places, keys = [], []
     starts = len(raw) - SPAN + 1
     for s in range(0, max(starts, 0), block):
@@ -75,7 +80,12 @@ def anchors(raw: np.ndarray, off: np.ndarray, block: int = 1 << 20) -> tuple[np.
     if not places:
         return np.zeros(0, np.int64), np.zeros(0, U64)
     places, first = np.unique(np.concatenate(places), return_index=True)
-    return places, np.concatenate(keys)[first] >> U64(16) << U64(16)
+    return places, X.mix(np.concatenate(keys)[first])  # anew, for the least hashes lie in few buckets
+
+
+def short(keys: np.ndarray) -> np.ndarray:
+    """48 bits of a hash, the lower ones 0: enough to look for repeats, and a third less to send."""
+    return keys >> U64(16) << U64(16)
 
 
 def _gather(docs: DataFrame, bits: int) -> DataFrame:
@@ -87,6 +97,7 @@ def _gather(docs: DataFrame, bits: int) -> DataFrame:
             for part in X.slices(batch, "text"):
                 raw, off = X.buffers(part.column(1))
                 at, keys = anchors(raw, off)
+                keys = short(keys)
                 row = np.searchsorted(off, at, "right")
                 order = np.argsort(keys, kind="stable")
                 keys, row = keys[order], row[order]
@@ -116,21 +127,23 @@ def _filter(repeated: DataFrame, bits: int, max_bytes: int) -> Bloom:
 
 
 def contexts(raw: np.ndarray, off: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """WIDE bytes around each anchor, zero outside its row, and how many of them lie in the row on either side."""
+    """FREE bytes on either side of each anchor, zero outside its row, and how many of them lie in the row."""
     row = np.searchsorted(off, at, "right") - 1
     left, right = np.minimum(at - off[row], FREE), np.minimum(off[row + 1] - at - K, FREE)
     padded = np.concatenate([np.zeros(FREE, np.uint8), raw, np.zeros(FREE, np.uint8)])
-    body = np.lib.stride_tricks.sliding_window_view(padded, WIDE)[at].copy()
-    column = np.arange(WIDE)
-    body[(column < (FREE - left)[:, None]) | (column >= (FREE + K + right)[:, None])] = 0
+    around = np.lib.stride_tricks.sliding_window_view(padded, 2 * FREE + K)[at]
+    body = np.concatenate([around[:, :FREE], around[:, FREE + K :]], 1)
+    column = np.arange(FREE)
+    body[:, :FREE][column < (FREE - left)[:, None]] = 0
+    body[:, FREE:][column >= right[:, None]] = 0
     return body, left.astype(np.uint8), right.astype(np.uint8)
 
 
-def _names(body: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _names(keys: np.ndarray, body: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     out = np.zeros(len(body), U64)
     for s in range(0, len(body), 1 << 15):
-        out[s : s + (1 << 15)] = (X._BYTE[body[s : s + (1 << 15)]] * X._POW[:WIDE]).sum(1, dtype=U64)
-    return X.mix(X.mix(out) + left.astype(U64) * U64(64) + right.astype(U64))
+        out[s : s + (1 << 15)] = (X._BYTE[body[s : s + (1 << 15)]] * X._POW[: 2 * FREE]).sum(1, dtype=U64)
+    return X.mix(X.mix(out + keys) + left.astype(U64) * U64(64) + right.astype(U64))
 
 
 def _candidates(docs: DataFrame, bloom: Bloom, bits: int) -> DataFrame:
@@ -143,13 +156,13 @@ def _candidates(docs: DataFrame, bloom: Bloom, bits: int) -> DataFrame:
             for part in X.slices(batch, "text"):
                 raw, off = X.buffers(part.column(1))
                 at, keys = anchors(raw, off)
-                live = wanted.has(keys)
+                live = wanted.has(short(keys))
                 at, keys = at[live], keys[live]
                 row = np.searchsorted(off, at, "right") - 1
                 body, left, right = contexts(raw, off, at)
                 doc = part.column(0).fill_null(LAST).to_numpy()
                 digest = part.column(2).to_numpy()
-                held.append((keys, _names(body, left, right), doc[row], digest[row], at - off[row], left, right, body))
+                held.append((keys, _names(keys, body, left, right), doc[row], digest[row], at - off[row], left, right, body))
                 size += len(at)
             if size > 400_000:
                 yield from flush(held)
@@ -165,23 +178,22 @@ def _candidates(docs: DataFrame, bloom: Bloom, bits: int) -> DataFrame:
         new = np.ones(len(keys), bool)
         new[1:] = name[1:] != name[:-1]
         number = np.cumsum(new) - 1
-        rows = []
+        rows, flush_id = [], uuid.uuid4().int >> 65
         for b, s in buckets(keys, bits):
             own = np.flatnonzero(new[s]) + s.start
-            rows.append((b, 0, pack(name[own]), pack(doc[own]), zstandard.compress(left[own].tobytes() + right[own].tobytes() + body[own].tobytes(), 1), None))
-            rows.append((b, 1, pack(name[own]), pack((number[s] - number[s.start]).astype(np.uint32)), pack(doc[s]) if s.stop > s.start else None, zstandard.compress(at[s].astype(np.int64).tobytes() + digest[s].tobytes(), 1)))
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)] if rows else None
-        if columns:
-            yield pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "a", "b", "c", "d"])
+            rows.append((b, 0, flush_id, pack(keys[own]), pack(doc[own]), zstandard.compress(left[own].tobytes() + right[own].tobytes() + body[own].tobytes(), 1)))
+            rows.append((b, 1, flush_id, pack((number[s] - number[s.start]).astype(np.uint32)), pack(doc[s]), pack(at[s]) + pack(digest[s] - doc[s])))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True)], ["bucket", "kind", "flush", "a", "b", "c"])
 
-    return docs.mapInArrow(run, "bucket int, kind int, a binary, b binary, c binary, d binary")
+    return docs.mapInArrow(run, "bucket int, kind int, flush long, a binary, b binary, c binary")
 
 
 def sample_ranks(body: np.ndarray) -> dict[int, np.ndarray]:
     """For every column of the cover sample: the rank of the DEPTH bytes from there among all sample suffixes."""
     columns = [c for c in range(WIDE - DEPTH + 1) if c % PERIOD in COVER]
     word = lambda c: np.ascontiguousarray(body[:, c : c + 8]).view(">u8").ravel().astype(U64)
-    words = [np.concatenate([word(c + k) for c in columns]) for k in (0, 8, 16, 18)]
+    words = [np.concatenate([word(c + k) for c in columns]) for k in (0, DEPTH - 8)]
     order = np.argsort(words[0], kind="stable")
     tie = np.zeros(len(order), bool)
     s = words[0][order]
@@ -210,10 +222,10 @@ def least_documents(keys_new: np.ndarray, doc: np.ndarray, left: np.ndarray, rig
         columns = np.array(sorted(ranks))
         for a in range(FREE + 1):
             s1 = columns[np.searchsorted(columns, a)]
-            s2 = columns[np.searchsorted(columns, a + SPAN - DEPTH, "right") - 1]
+            s2 = columns[np.searchsorted(columns, a + SUFFIX - DEPTH, "right") - 1]
             edge = np.zeros((len(part), 8), np.uint8)
             edge[:, : s1 - a] = part[:, a:s1]
-            tail = part[:, s2 + DEPTH : a + SPAN]
+            tail = part[:, s2 + DEPTH : a + SUFFIX]
             edge[:, 4 : 4 + tail.shape[1]] = tail
             x, y = ranks[s1].astype(U64) << U64(32) | ranks[s2].astype(U64), edge.view(U64).ravel()
             inside = (left[many] >= FREE - a) & (right[many] >= a)
@@ -228,28 +240,38 @@ def least_documents(keys_new: np.ndarray, doc: np.ndarray, left: np.ndarray, rig
     return out
 
 
-def _block(parts: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Names of a block's contexts, sorted, with their rows of least documents."""
-    name = np.concatenate([unpack(a, U64) for a, _, _ in parts])
-    doc = np.concatenate([unpack(b, np.int64) for _, b, _ in parts])
-    raw = [np.frombuffer(zstandard.decompress(c), np.uint8) for _, _, c in parts]
-    n = [len(r) // (WIDE + 2) for r in raw]
+def _block(parts: list[tuple[int, bytes, bytes, bytes]]) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """For each flush the rows of its contexts in a table, and the table: the least documents of each context."""
+    keys = [unpack(a, U64) for _, a, _, _ in parts]
+    n = [len(k) for k in keys]
+    key, doc = np.concatenate(keys), np.concatenate([unpack(b, np.int64) for _, _, b, _ in parts])
+    raw = [np.frombuffer(zstandard.decompress(c), np.uint8) for _, _, _, c in parts]
     left, right = np.concatenate([r[:k] for r, k in zip(raw, n, strict=True)]), np.concatenate([r[k : 2 * k] for r, k in zip(raw, n, strict=True)])
-    body = np.concatenate([r[2 * k :].reshape(k, WIDE) for r, k in zip(raw, n, strict=True)])
+    side = np.concatenate([r[2 * k :].reshape(k, 2 * FREE) for r, k in zip(raw, n, strict=True)])
+    name = _names(key, side, left, right)
     order = np.lexsort((doc, name))
     first = np.ones(len(order), bool)
     first[1:] = name[order[1:]] != name[order[:-1]]
+    row = np.empty(len(order), np.int64)
+    row[order] = np.cumsum(first) - 1
     own = order[first]
-    name, doc, left, right, body = name[own], doc[own], left[own], right[own], body[own]
-    key = np.ascontiguousarray(body[:, FREE : FREE + K])
-    hashed = X.mix((X._BYTE[key] * X._POW[:K]).sum(1, dtype=U64))
-    by = np.argsort(hashed)
+    key, doc, left, right, side = key[own], doc[own], left[own], right[own], side[own]
+    body = np.concatenate([side[:, :FREE], key.astype(">u8").view(np.uint8).reshape(-1, 8), side[:, FREE:]], 1)
+    by = np.argsort(key)
     same = np.zeros(len(by), bool)
-    same[1:] = hashed[by[1:]] == hashed[by[:-1]]
+    same[1:] = key[by[1:]] == key[by[:-1]]
     same[:-1] |= same[1:]
     shared = np.empty(len(by), bool)
     shared[by] = same
-    return name, least_documents(shared, doc, left, right, body)
+    at = np.concatenate([[0], np.cumsum(n)])
+    return {p[0]: row[s:e] for p, s, e in zip(parts, at[:-1], at[1:], strict=True)}, least_documents(shared, doc, left, right, body)
+
+
+def _two(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two packed columns, one behind the other."""
+    rest = zstandard.ZstdDecompressor().decompressobj()
+    first = rest.decompress(data)
+    return unplanes(first, np.int64), unpack(rest.unused_data, np.int64)
 
 
 def _runs(candidates: DataFrame, out_buckets: int) -> DataFrame:
@@ -259,20 +281,19 @@ def _runs(candidates: DataFrame, out_buckets: int) -> DataFrame:
         current, parts, ready = None, [], None
         for batch in batches:
             found = []
-            for b, kind, a, bb, c, d in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+            for b, kind, flush, a, bb, c in zip(*(col.to_pylist() for col in batch.columns), strict=True):
                 if b != current:
                     current, parts, ready = b, [], None
                 if kind == 0:
-                    parts.append((a, bb, c))
+                    parts.append((flush, a, bb, c))
                     continue
                 if ready is None:
                     ready, parts = _block(parts), []
-                names, table = ready
-                name = unpack(a, U64)[unpack(bb, np.uint32)]
-                doc = unpack(c, np.int64)
-                rest = np.frombuffer(zstandard.decompress(d), np.int64)
-                at, digest = rest[: len(doc)], rest[len(doc) :]
-                covered = table[np.searchsorted(names, name)] < doc[:, None]
+                row = ready[0][flush][unpack(a, np.uint32)]
+                table, doc = ready[1], unpack(bb, np.int64)
+                at, digest = _two(c)
+                digest = digest + doc
+                covered = table[row] < doc[:, None]
                 some = covered.any(1)
                 covered, at, digest = covered[some], at[some], digest[some]
                 # offset a covers [a, a + SPAN) of the context: offsets next to each other make one run
