@@ -18,6 +18,7 @@ from ._graph import components
 from ._store import Bloom, texts, written
 
 U64 = np.uint64
+BIN = 0.05  # width of a bin of differences, as a share of the leader's set
 _MUL = X.mix(np.arange(1, 65, dtype=U64) * U64(0xA24BAED4963EE407)) | U64(1)
 
 
@@ -208,7 +209,8 @@ def _unsettled(members: DataFrame, leaders: DataFrame, labels: DataFrame, sets:
     f = (100 - percent) / (100 + percent).  One of the two, say x, isn't linked with L, so |A| > f (n_x + n_L), and
     A and B must share t >= 1 elements; t follows from the sizes.  So they share one of the |A| - t + 1 rarest elements
     of A and one of the |B| - t + 1 rarest of B.  An edit's new shingles are rare, so copies of one text, each edited
-    elsewhere, meet in hardly any of these.
+    elsewhere, meet in hardly any of these.  As t depends on |B|, x meets partners bin by bin of |B|; and a pair is only
+    made where the elements left in both, from the common one on, are t or more (at the first common one they are).
     """
     f = (100 - percent) / (100 + percent)
     known = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
@@ -241,13 +243,21 @@ def _unsettled(members: DataFrame, leaders: DataFrame, labels: DataFrame, sets:
     shared = items.join(counts, ["leader", "item"]).groupBy("leader", "node").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("order"))
     rows = deltas.drop("items").join(shared, ["leader", "node"])
     most = F.col("n") * f * (1 + 100 / percent)  # f (n_x + n_y), as n_y is at most n_x * 100 / percent
-    t_apart = F.greatest(F.lit(1), F.ceil((F.col("d") + F.greatest(F.col("d") - most, F.lit(1)) - most) / 2 - 1e-9))
+    # partners are met bin by bin of their |B|, which makes t nearly exact
+    step = F.greatest(F.lit(1.0), F.col("n_leader") * BIN)
+    least = F.greatest(F.lit(1.0), F.col("d") - most, F.col("bin") * step)
+    t_apart = F.greatest(F.lit(1), F.ceil((F.col("d") + least - most) / 2 - 1e-9))
     t_other = F.greatest(F.lit(1), F.ceil((F.col("d") + f * (F.col("n_leader") - F.col("n"))) / 2 - 1e-9))
     alone = F.col("d") - F.size("order")
-    prefix = lambda t: F.slice("order", F.lit(1), F.greatest(F.lit(0), F.col("d") - t + 1 - alone).cast("int"))
-    one = rows.where("apart").select("leader", F.col("node").alias("x"), F.col("label").alias("label_x"), F.explode(prefix(t_apart)).alias("e")).select("leader", "x", "label_x", "e.item")
-    two = rows.select("leader", F.col("node").alias("y"), F.col("label").alias("label_y"), F.explode(prefix(t_other)).alias("e")).select("leader", "y", "label_y", "e.item")
-    pairs = one.join(two, ["leader", "item"]).where("x <> y and label_x <> label_y")
+    prefix = lambda t: F.posexplode(F.slice("order", F.lit(1), F.greatest(F.lit(0), F.col("d") - t + 1 - alone).cast("int"))).alias("at", "e")
+    side = lambda rows, t, k: rows.select("leader", "bin", "node", "label", "n", "d", alone.alias("alone"), prefix(t)).select("leader", "bin", "e.item", F.col("node").alias(k), F.col("label").alias(f"label_{k}"), F.col("n").alias(f"n_{k}"), F.col("d").alias(f"d_{k}"), (F.col("d") - F.col("alone") - F.col("at")).alias(f"rest_{k}"))
+    bins = F.sequence(F.floor(F.greatest(F.lit(1.0), F.col("d") - most) / step), F.floor((F.col("d") + most) / step))
+    one = side(rows.where("apart").withColumn("bin", F.explode(bins)), t_apart, "x")
+    two = side(rows.withColumn("bin", F.floor(F.col("d") / step)), t_other, "y")
+    # at their first common element, what is left of A and of B must suffice for t
+    reach = F.least("rest_x", "rest_y") >= (F.col("d_x") + F.col("d_y") - f * (F.col("n_x") + F.col("n_y"))) / 2 - 1e-9
+    alike = f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
+    pairs = one.join(two, ["leader", "bin", "item"]).where("x <> y and label_x <> label_y").where(alike).where(reach)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
