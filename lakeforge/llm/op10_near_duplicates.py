@@ -63,7 +63,7 @@ def super_minhash(sets: np.ndarray, off: np.ndarray, m: int) -> np.ndarray:
         if not len(e):
             break
         x = X.mix(e + U64(j + 1) * U64(0x9E3779B97F4A7C15))
-        k = j + ((x & U64(0xFFFFFFFF)) * U64(m - j) >> U64(32)).astype(np.int64)
+        k = ((x & U64(0xFFFFFFFF)) * U64(m - j) >> U64(32)).astype(np.uint16) + np.uint16(j)
         draws.append(k)
         at = k.copy()
         for t in range(j - 1, -1, -1):  # where Fisher-Yates has moved what lies at place k
