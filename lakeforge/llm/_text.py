@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 _P = U64(0x9E3779B97F4A7C15 | 1)
 _P_INV = U64(pow(int(_P), -1, 1 << 64))
-_BLOCK = 1 << 21
+_BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -55,7 +55,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows with about `most` bytes of text (always one row at least)."""
     _, off = buffers(batch.column(batch.schema.get_field_index(column)))
     start = 0
