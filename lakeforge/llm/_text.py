@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 _P = U64(0x9E3779B97F4A7C15 | 1)
 _P_INV = U64(pow(int(_P), -1, 1 << 64))
-_BLOCK = 1 << 21
+_BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -55,7 +55,7 @@ def _slide(x: np.ndarray, n: int, f) -> np.ndarray:
     return out if width == n else f(out[: len(x) - n + 1], out[n - width : n - width + len(x) - n + 1])
 
 
-def anchors(raw: np.ndarray, off: np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def anchors(raw: np.ndarray, off: np.ndarray, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the anchors of all SPAN-byte strings that lie within one row."""
     places, keys = [], []
     starts = len(raw) - SPAN + 1
