@@ -16,6 +16,14 @@ from ..session import shared_dir
 U64 = np.uint64
 
 
+def removed(table: DataFrame) -> None:
+    """Deletes a written table that nothing reads any more."""
+    spark = table.sparkSession
+    for where in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(where))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty) alone, so that no other column can get in the way."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

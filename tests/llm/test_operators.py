@@ -279,6 +279,19 @@ def test_op6_probabilities_add_up(docs, none):
     assert op6_quality_rules.judged(none).count() == 0
 
 
+def test_op6_keeps_every_ngram(docs):
+    """What a worker holds changes no perplexity: the other entries are looked up in the tables."""
+    score = lambda **most: sorted((str(r.doc_id), r.n_words, r.kept, round(r.log_perplexity, 9)) for r in op6_quality_rules.judged(docs, **most).collect())
+    base = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.lit(5).cast("long").alias("seed"))
+    model, tables = op6_quality_rules.train(base, head_bigrams=40, head_words=30)
+    assert len(model.pairs) <= 40 and len(model.words) <= 30 and model.rest == {0, 1, 2}
+    held = sum(len(op6_quality_rules.unpack(r.keys, np.uint64)) for r in tables.where("kind = 2").collect())
+    tok, before, off = op6_quality_rules.bigrams(pa.array([r.text for r in base.collect()]), op6_quality_rules.seeds(pa.array([5] * base.count())))
+    count = collections.Counter(zip(tok.tolist(), before.tolist(), strict=True))
+    assert held == sum(n > 1 for n in count.values()) > 40
+    assert score(head_bigrams=40, head_words=30) == score()
+
+
 def test_op7(spark, docs, none):
     r = op7_quality_classifier.query(spark, SF.replace("0.001", "0.01")).toPandas()
     labels = spark.read.parquet(SF.replace("0.001", "0.01") + "/labels.parquet").toPandas()
