@@ -118,10 +118,10 @@ def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Bloom:
-    """A Bloom filter in equal segments, one for each value of the key's leading bits; its size has a fixed bound."""
+    """A Bloom filter in equal segments, one for each value of the key's leading bits; words may hold those from `first` on alone."""
 
-    def __init__(self, bits: int, segment: int, hashes: int, words: np.ndarray):
-        self.bits, self.segment, self.hashes, self.words = bits, segment, hashes, words
+    def __init__(self, bits: int, segment: int, hashes: int, words: np.ndarray, first: int = 0):
+        self.bits, self.segment, self.hashes, self.words, self.first = bits, segment, hashes, words, first
 
     @staticmethod
     def places(keys: np.ndarray, i: int, segment: int) -> np.ndarray:
@@ -138,7 +138,7 @@ class Bloom:
     def has(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), bool)
         live = np.arange(len(keys))
-        base = (keys >> U64(64 - self.bits)) * U64(self.segment)
+        base = ((keys >> U64(64 - self.bits)) - U64(self.first)) * U64(self.segment)
         for i in range(self.hashes):
             at = (base[live] + self.places(keys[live], i, self.segment)).astype(np.int64)
             live = live[(self.words[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]

@@ -4,9 +4,11 @@ n-gram counts c are quantised to q = 1 + floor(log_B c); the filter holds (n-gra
 finds q by probing j = 1, 2, ... until it misses.  Probabilities come from these estimates by Dirichlet smoothing,
 order by order: p_k = (c_k + TAU p_(k-1)) / (c_context + TAU), from p_1 = (c + 1) / (N + V + 1).
 
-The filter's size follows the number of entries up to a fixed bound.  Where the entries would not fit, the count from
-which n-grams are admitted rises, the most numerous order first, as the histogram of all counts says.  All counts are
-made over the whole training part.  The base score needs exact counts: words that are frequent enough for a table of
+The filter's size follows the number of entries, and every n-gram of the training part is in it.  What a worker holds
+of it has a fixed bound: where the entries would not fit, the count from which n-grams are held rises, the most numerous
+order first, as the histogram of all counts says.  The n-grams below are in a second filter, whose segments lie in the
+shared folder and grow in number with the input; the n-grams that a worker doesn't find are probed there through a
+join, segment by segment.  The base score needs exact counts: words that are frequent enough for a table of
 bounded size are looked up in the worker, the others through a join.
 
 Defined results: a null text is an empty one, with the end token alone; a null doc_id is in the training part; rows
@@ -16,7 +18,7 @@ looked at.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._store import Bloom, Counts, bucket_bits, merged, pack, text_bytes, texts, tuned, unpack, unpack_counts, written
+from ._store import Bloom, Counts, bucket_bits, buckets, merged, pack, text_bytes, texts, tuned, unpack, unpack_counts, written
 
 U64 = np.uint64
 ORDER, BASE, TAU = 2, 1.5, 30.0
 FILTER_BYTES, HEAD_WORDS, ENTRY_BITS, LEVELS = 1 << 26, 4_000_000, 9.0, 64
+CHUNK = 1 << 24
 _END, _START = U64(0x6A09E667F3BCC909), U64(0xBB67AE8584CAA73B)
 _STEP, _KIND = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
 
@@ -81,6 +84,8 @@ class Model:
     floors: dict[int, int]
     head: np.ndarray
     head_counts: np.ndarray
+    rest: DataFrame | None = None  # bucket, part: segments of the n-grams below the floors; None where there are none
+    rest_shape: tuple[int, int] = (0, 0)
 
     def lookup(self, keys: np.ndarray, kind: int) -> np.ndarray:
         """Levels of distinct keys, by repeated probes."""
@@ -93,8 +98,13 @@ class Model:
             q[live] = j
         return q
 
-    def log10(self, tok: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """log10 p of each token."""
+    def absent(self, keys: np.ndarray, kind: int) -> np.ndarray:
+        """Those of the distinct keys that only the segments in the shared folder can tell."""
+        floor = self.floors.get(kind, 1)
+        return keys[self.lookup(keys, kind) < floor] if floor > 1 else keys[:0]
+
+    def log10(self, tok: np.ndarray, off: np.ndarray, more: dict[int, tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
+        """log10 p of each token; more: the sorted keys and the levels of n-grams below the floors."""
         table = estimates()
         context, p = None, None
         for k, keys in enumerate(ngrams(tok, off, self.order), 1):
@@ -102,7 +112,13 @@ class Model:
             s = keys[order]
             at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
             c = np.empty(len(keys))
-            c[order] = np.repeat(table[self.lookup(s[at], k)], np.diff(np.append(at, len(s))))
+            q = self.lookup(s[at], k)
+            if self.floors.get(k, 1) > 1:
+                low = np.flatnonzero(q < self.floors[k])
+                held, levels = (more or {}).get(k, (s[:0], q[:0]))
+                place = np.minimum(np.searchsorted(held, s[at][low]), max(len(held) - 1, 0))
+                q[low] = np.where(held[place] == s[at][low], levels[place], 0) if len(held) else 0
+            c[order] = np.repeat(table[q], np.diff(np.append(at, len(s))))
             if k == 1:
                 p = (c + 1) / (self.n + self.v + 1)
             else:
@@ -132,7 +148,7 @@ def _count(train: DataFrame, bits: int, order: int) -> DataFrame:
 
 
 def _floors(hist: dict[int, np.ndarray], most: float) -> tuple[dict[int, int], int]:
-    """Least admitted level of each order, so that the entries stay within `most`."""
+    """Least level of each order that a worker holds, so that the entries stay within `most`."""
     load = lambda k, f: int((hist[k][f:] * np.arange(f, LEVELS)).sum())
     floors = dict.fromkeys(hist, 1)
     while (total := sum(load(k, f) for k, f in floors.items())) > most:
@@ -155,21 +171,30 @@ def train(docs: DataFrame, order: int = ORDER, filter_bytes: int = FILTER_BYTES,
     floors, entries = _floors(hist, filter_bytes * 8 / ENTRY_BITS)
     segment, hashes = Bloom.shape(max(entries, 1), bits, filter_bytes, ENTRY_BITS)
 
-    def fill(batches):
-        for batch in batches:
-            parts = []
-            for kind, k, c in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                keys, num = unpack_counts(k, c)
-                q = level(num)
-                keys, q = keys[q >= floors[kind]], q[q >= floors[kind]]
-                part = np.zeros(segment // 8, np.uint8)
-                for j in range(1, int(q.max(initial=0)) + 1):
-                    part |= np.frombuffer(Bloom.fill(entry(keys[q >= j], kind, j, bits), segment, hashes), np.uint8)
-                parts.append(part.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(parts, pa.binary())], ["bucket", "part"])
+    def fill(held: bool, segment: int, hashes: int):
+        def run(batches):
+            for batch in batches:
+                parts = []
+                for kind, k, c in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                    keys, num = unpack_counts(k, c)
+                    q = level(num)
+                    take = (q >= floors[kind]) == held
+                    keys, q = keys[take], q[take]
+                    part = np.zeros(segment // 8, np.uint8)
+                    for j in range(1, int(q.max(initial=0)) + 1):
+                        part |= np.frombuffer(Bloom.fill(entry(keys[q >= j], kind, j, bits), segment, hashes), np.uint8)
+                    parts.append(part.tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(parts, pa.binary())], ["bucket", "part"])
+
+        return run
 
     packed = counts.select("kind", "bucket", "keys", "counts")
-    bloom = Bloom.gather(packed.mapInArrow(fill, "bucket int, part binary"), bits, segment, hashes)
+    bloom = Bloom.gather(packed.mapInArrow(fill(True, segment, hashes), "bucket int, part binary"), bits, segment, hashes)
+    below = sum(int((hist[k][:f] * np.arange(f)).sum()) for k, f in floors.items())
+    rest, shape = None, (0, 0)
+    if below:
+        shape = Bloom.shape(below, bits, below * 8, ENTRY_BITS)
+        rest = written(packed.where(F.col("kind").isin(*[k for k, f in floors.items() if f > 1])).mapInArrow(fill(False, *shape), "bucket int, part binary"), "segments")
     least = next((q for q in range(1, LEVELS) if hist[1][q:].sum() <= head_words), LEVELS)
 
     def split(high: bool):
@@ -190,32 +215,107 @@ def train(docs: DataFrame, order: int = ORDER, filter_bytes: int = FILTER_BYTES,
     head = [(unpack(r.keys, U64), unpack(r["counts"], np.int64)) for r in words.mapInArrow(split(True), "keys binary, counts binary").toLocalIterator()]
     keys, num = np.concatenate([h[0] for h in head] or [np.zeros(0, U64)]), np.concatenate([h[1] for h in head] or [np.zeros(0, np.int64)])
     by = np.argsort(keys)
-    return Model(bloom, order, n, v, documents, floors, keys[by], num[by]), words.mapInArrow(split(False), "key long, c long")
+    return Model(bloom, order, n, v, documents, floors, keys[by], num[by], rest, shape), words.mapInArrow(split(False), "key long, c long")
+
+
+_ROWS = ["rid", "doc_id", "n_tokens", "n_known", "base", "score", "rest"]
+
+
+def _chunked(rows: DataFrame, model: Model, box) -> DataFrame:
+    """The rows with a chunk each, of about CHUNK bytes of text, and for each chunk the keys that the worker's filter
+    doesn't find, packed by kind and bucket."""
+    schema = pa.schema([("chunk", pa.int64()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary())])
+    bits, order = model.bloom.bits, model.order
+
+    def probes(chunk, held):
+        for kind, parts in held.items():
+            keys = np.unique(np.concatenate(parts))
+            out = [(chunk, kind, b, pack(keys[s])) for b, s in buckets(keys, bits)]
+            if out:
+                chunks, kinds, places, packed = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(chunks), *[pa.nulls(len(out), t.type) for t in list(schema)[1:4]], pa.array(kinds, pa.int32()), pa.array(places, pa.int32()), pa.array(packed, pa.binary())], schema=schema)
+
+    def run(batches):
+        m, chunk, held, size = box.value, None, {}, 0
+        for batch in batches:
+            for part in X.slices(batch, "text"):
+                chunk = part.column(0)[0].as_py() if chunk is None else chunk
+                for k, keys in enumerate(ngrams(*tokens(part.column(2)), order), 1):
+                    held.setdefault(k, []).append(m.absent(np.unique(keys), k))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part)), part.column(0), part.column(1), part.column(2).cast(pa.string()), *[pa.nulls(len(part), t.type) for t in list(schema)[4:]]], schema=schema)
+                size += part.column(2).nbytes
+                if size > CHUNK:
+                    yield from probes(chunk, held)
+                    chunk, held, size = None, {}, 0
+        yield from probes(chunk, held)
+
+    return written(rows.mapInArrow(run, "chunk long, rid long, doc_id long, text string, kind int, bucket int, keys binary"), "chunks")
+
+
+def _levels(asked: DataFrame, model: Model) -> DataFrame:
+    """chunk, kind, keys, levels: what the segments in the shared folder hold of the keys."""
+    bits, (segment, hashes) = model.bloom.bits, model.rest_shape
+
+    def answer(parts: pa.Table, probes: pa.Table) -> pa.Table:
+        words, out = np.zeros(segment // 8, np.uint8), []
+        for part in parts["part"]:
+            words |= np.frombuffer(part.as_py(), np.uint8)
+        for r in probes.to_pylist():
+            keys = unpack(r["keys"], U64)
+            own = Model(Bloom(bits, segment, hashes, words, r["bucket"]), 0, 0, 0, 0, {}, keys[:0], keys[:0])
+            q = own.lookup(keys, r["kind"])
+            out.append((r["chunk"], r["kind"], pack(keys[q > 0]), pack(q[q > 0])))
+        chunks, kinds, keys, levels = zip(*out, strict=True) if out else [()] * 4
+        return pa.table({"chunk": pa.array(chunks, pa.int64()), "kind": pa.array(kinds, pa.int32()), "keys": pa.array(keys, pa.binary()), "levels": pa.array(levels, pa.binary())})
+
+    return model.rest.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, "chunk long, kind int, keys binary, levels binary")
 
 
 def scored(docs: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every row."""
-    box = docs.sparkSession.sparkContext.broadcast(model)
+    box = docs.sparkSession.sparkContext.broadcast(replace(model, rest=None))
 
-    def run(batches):
+    def score(part, more=None):
         m = box.value
         unit = np.log10(m.n + m.v + 1)
+        tok, off = tokens(part.column(2))
+        n = np.diff(off)
+        at = np.minimum(np.searchsorted(m.head, tok), max(len(m.head) - 1, 0))
+        known = m.head[at] == tok if len(m.head) else np.zeros(len(tok), bool)
+        c = np.where(known, m.head_counts[at] if len(m.head) else 0, 0)
+        add = lambda x: np.add.reduceat(x, off[:-1])
+        base = add(np.where(known, np.log10(c + 1) - unit, 0.0))
+        rest = tok[~known]
+        rest_off = np.concatenate([[0], np.cumsum(add((~known).astype(np.int64)))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(rest_off), pa.array(rest.view(np.int64)))
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(add(known.astype(np.int64))), pa.array(base), pa.array(add(m.log10(tok, off, more))), lists], _ROWS)
+
+    def run(batches):
         for batch in batches:
             for part in X.slices(batch, "text"):
-                tok, off = tokens(part.column(2))
-                n = np.diff(off)
-                at = np.minimum(np.searchsorted(m.head, tok), max(len(m.head) - 1, 0))
-                known = m.head[at] == tok if len(m.head) else np.zeros(len(tok), bool)
-                c = np.where(known, m.head_counts[at] if len(m.head) else 0, 0)
-                add = lambda x: np.add.reduceat(x, off[:-1])
-                base = add(np.where(known, np.log10(c + 1) - unit, 0.0))
-                rest = tok[~known]
-                rest_off = np.concatenate([[0], np.cumsum(add((~known).astype(np.int64)))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(rest_off), pa.array(rest.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(add(known.astype(np.int64))), pa.array(base), pa.array(add(m.log10(tok, off))), lists], ["rid", "doc_id", "n_tokens", "n_known", "base", "score", "rest"])
+                yield score(part)
+
+    def joined(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        parts = {}
+        for r in answers.to_pylist():
+            parts.setdefault(r["kind"], []).append((unpack(r["keys"], U64), unpack(r["levels"], np.int64)))
+        more = {}
+        for kind, found in parts.items():
+            keys, levels = (np.concatenate(x) for x in zip(*found, strict=True))
+            by = np.argsort(keys)
+            more[kind] = keys[by], levels[by]
+        return pa.Table.from_batches([score(part, more) for batch in rows.to_batches() for part in X.slices(batch, "text")])
 
     rows = texts(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    out = written(rows.mapInArrow(run, "rid long, doc_id long, n_tokens long, n_known long, base double, score double, rest array<long>"), "scored")
+    ddl = "rid long, doc_id long, n_tokens long, n_known long, base double, score double, rest array<long>"
+    if model.rest is None:
+        rows = rows.mapInArrow(run, ddl)
+    else:
+        every = _chunked(rows, model, box)
+        answers = _levels(every.where("kind is not null").select("chunk", "kind", "bucket", "keys"), model)
+        own = every.where("kind is null").select("rid", "doc_id", "text", "chunk")
+        rows = own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(joined, ddl)
+    out = written(rows, "scored")
     probes = out.select("rid", F.explode("rest").alias("key")).groupBy("rid", "key").agg(F.count("*").alias("times"))
     found = probes.join(tail, "key", "left").groupBy("rid").agg(F.sum(F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - F.lit(float(np.log10(model.n + model.v + 1))))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"))
     out = out.drop("rest").join(found, "rid", "left")

@@ -164,6 +164,17 @@ def test_op3(spark, docs, rows, none):
     assert op3_lm_scoring.scored(none, empty, rest).count() == 0
 
 
+def test_op3_keeps_every_ngram(docs):
+    """A worker's small filter changes no score but by the chance hits of a filter: the rest is probed by a join."""
+    score = lambda model, tail: sorted((str(r.doc_id), r.n_tokens, r.score) for r in op3_lm_scoring.scored(docs, model, tail).collect())
+    whole, small = op3_lm_scoring.train(docs), op3_lm_scoring.train(docs, filter_bytes=12_000)
+    assert whole[0].rest is None and max(small[0].floors.values()) > 1
+    want, got = score(*whole), score(*small)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert max(abs(a[2] - b[2]) / a[1] for a, b in zip(got, want, strict=True) if a[1] > 20) < 0.1
+    assert abs(sum(x[2] for x in got) / sum(x[2] for x in want) - 1) < 0.01
+
+
 def test_op3_filter_counts():
     from lakeforge.llm._store import Bloom
 
