@@ -1,10 +1,11 @@
 """Personal data: spans of fixed kinds, and terms that corpus co-occurrence shows to give a protected entity away.
 
-Base kinds come from four patterns with their checks.  Each distinct value found is a protected entity c.  For a term
-t that stands within WINDOW code points of c, with N documents, n(c), n(t) and n(c, t) of them holding c, t, and t
-near c:  information IC(c) = log(N / n(c)) and PMI(c; t) = log(N n(c, t) / (n(c) n(t))).  A term whose PMI reaches
-ALPHA times IC gives c away.  It is generalised to <TERM>, or removed where PMI reaches IC itself, in the places where
-it stands near c.  Pairs in fewer than SUPPORT documents say nothing.
+Base kinds come from four patterns with their checks.  Each distinct value found is a protected entity c.  A term t is
+a run of letters and digits that stands in a document outside of all spans found.  With N documents, n(c), n(t) and
+n(c, t) of them holding c, t and both:  information IC(c) = log(N / n(c)) and PMI(c; t) = log(N n(c, t) / (n(c) n(t))).
+A term whose PMI reaches ALPHA times IC gives c away.  It is generalised to <TERM>, or removed where PMI reaches IC
+itself, in all its places in the documents that hold c.  Pairs in fewer than SUPPORT documents say nothing: of an entity
+in one document, every word that stands nowhere else would have a PMI of IC.
 
 Only DataFrame functions are used.  Defined results: a null text is an empty one; rows equal in doc_id and text count
 once in the statistics and get the same spans; a null doc_id is allowed; spans of different kinds may overlap; where
@@ -13,14 +14,14 @@ they do, the text gets the placeholder of the first.  Columns besides doc_id and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._store import texts, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW, SUPPORT, ALPHA = 64, 3, 0.85
-_TERM = r"\p{L}{3,}+"
+SUPPORT, ALPHA = 3, 0.85
+_TERM = r"[\p{L}\p{N}]++"
 
 #: (kind, cheap guard, pattern).  The patterns match what the plain ones would, but start only where a run starts and
 #: never backtrack into it, so that long runs take linear time.
@@ -73,49 +74,66 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _contexts(text: Column, spans: Column) -> Column:
-    """For each span: its entity, and the text on either side with its place."""
+def _entities(text: Column, spans: Column) -> Column:
+    value = lambda s: F.lower(F.substring(text, s["start"] + 1, s["end"] - s["start"]))
+    return F.array_distinct(F.transform(spans, lambda s: F.xxhash64(s["rank"], value(s))))
 
-    def one(s: Column) -> Column:
-        start = F.greatest(s["start"] - WINDOW, F.lit(0))
-        value = F.lower(F.substring(text, s["start"] + 1, s["end"] - s["start"]))
-        left, right = F.substring(text, start + 1, s["start"] - start), F.substring(text, s["end"] + 1, F.lit(WINDOW))
-        # a word that the window's edge may have cut is left out
-        left = F.when(start > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-        right = F.when(F.length(right) == WINDOW, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-        return F.struct(F.xxhash64(s["rank"], value).alias("entity"), (s["start"] - F.length(left)).alias("left_at"), left.alias("left"), s["end"].alias("right_at"), right.alias("right"))
 
-    return F.transform(spans, one)
+def _masked(text: Column, spans: Column) -> Column:
+    """text with spaces in place of the spans."""
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.array_append(F.array_append(acc["out"], gap), blank).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of doc_id and text), spans and contexts of every row; written, for it is used more than once."""
+    """doc_id, digest (of doc_id and text), spans of every row, and entities and masked text where there are spans;
+    written, for it is used more than once."""
     rows = texts(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("digest"), base_spans(F.col("text")).alias("spans"))
-    rows = rows.select("doc_id", "digest", "spans", F.when(F.size("spans") > 0, _contexts(F.col("text"), F.col("spans"))).alias("contexts"))
+    has = F.size("spans") > 0
+    rows = rows.select("doc_id", "digest", "spans", F.when(has, _entities(F.col("text"), F.col("spans"))).alias("entities"), F.when(has, _masked(F.col("text"), F.col("spans"))).alias("masked"))
     return written(rows, "personal")
 
 
-def _near_terms(base: DataFrame) -> DataFrame:
-    """digest, entity, term, start, end of every term near an entity."""
-    sides = base.where("size(spans) > 0").select("digest", F.explode("contexts").alias("c")).select("digest", "c.entity", F.explode(F.array(F.struct(F.col("c.left_at").alias("at"), F.col("c.left").alias("side")), F.struct(F.col("c.right_at").alias("at"), F.col("c.right").alias("side")))).alias("s"))
-    hits = sides.select("digest", "entity", "s.at", "s.side", F.explode(_places(F.col("s.side"), _TERM, 4, lambda h: F.lit(True))).alias("p"))
-    word = F.lower(F.substring("side", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")))
-    return hits.select("digest", "entity", F.xxhash64(word).alias("term"), (F.col("at") + F.col("p.start")).alias("start"), (F.col("at") + F.col("p.end")).alias("end"))
+def _holders(base: DataFrame) -> DataFrame:
+    """digest, entities and masked text of the documents that hold any, once each."""
+    return base.where("size(spans) > 0").select("digest", "entities", "masked").dropDuplicates(["digest"])
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)), lambda w: F.xxhash64(w)))
+
+
+def _term_places(holders: DataFrame) -> DataFrame:
+    """digest, term, start, end of every term of the documents; places are running sums of lengths."""
+    hits, gaps = F.regexp_extract_all("masked", F.lit(_TERM), F.lit(0)), F.split("masked", _TERM, -1)
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("size"), F.xxhash64(F.lower(h)).alias("term")))
+    rows = holders.select("digest", F.posexplode(pairs).alias("k", "p"))
+    end = F.sum(F.col("p.gap") + F.col("p.size")).over(Window.partitionBy("digest").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    return rows.select("digest", F.col("p.term").alias("term"), (end - F.col("p.size")).alias("start"), end.alias("end"))
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
-    """term, n_term: the number of documents that hold each word of three letters or more."""
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)), lambda w: F.xxhash64(w)))
-    return texts(docs).select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    """term, n_term: the number of documents that hold each run of letters and digits."""
+    return texts(docs).select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
 
 
 def disclosing(docs: DataFrame, base: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """entity, term, remove: the pairs that reach the disclosure threshold."""
     n = base.count()
-    near = _near_terms(base).select("digest", "entity", "term").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    entities = near.select("digest", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = written(pairs.join(entities, "entity"), "pairs")
+    holders = _holders(base)
+    held = holders.select("digest", F.explode("entities").alias("entity"))
+    # n(c, t) is at most n(c), so that only entities with that support can have pairs
+    entities = held.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
+    held = written(held.join(entities, "entity"), "held")
+    words = holders.join(held.select("digest").distinct(), "digest", "left_semi").select("digest", F.explode(_words(F.col("masked"))).alias("term"))
+    pairs = held.join(words, "digest").groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    pairs = written(pairs, "pairs")
     known = pairs.join(document_counts(docs), "term")
     pmi = F.log(F.lit(float(max(n, 1))) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     information = F.log(F.lit(float(max(n, 1))) / F.col("n_entity"))
@@ -126,8 +144,10 @@ def disclosing(docs: DataFrame, base: DataFrame, alpha: float = ALPHA, support:
 def term_spans(docs: DataFrame, base: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """digest, terms: array<struct<start, rank, end, remove>> for the rows that have any."""
     flagged = written(disclosing(docs, base, alpha, support), "disclosing")
-    rows = _near_terms(base).join(flagged, ["entity", "term"])
-    rows = rows.groupBy("digest", "start", "end").agg(F.max("remove").alias("remove"))
+    holders = _holders(base)
+    told = holders.select("digest", F.explode("entities").alias("entity")).join(flagged, "entity").groupBy("digest", "term").agg(F.max("remove").alias("remove"))
+    told = written(told, "told")
+    rows = _term_places(holders.join(told.select("digest").distinct(), "digest", "left_semi")).join(told, ["digest", "term"])
     one = F.struct("start", F.lit(4).alias("rank"), "end", "remove")
     return written(rows.groupBy("digest").agg(F.array_sort(F.collect_list(one)).alias("terms")), "terms")
 

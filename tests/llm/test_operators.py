@@ -149,6 +149,22 @@ def test_op2_disclosing_terms(spark):
     assert op2_personal_data.sanitised(df.limit(0)).count() == 0
 
 
+def test_op2_terms_far_from_the_entity(spark):
+    """A heading gives a signature's address away; so do numbers and short names, in all their places."""
+    r = random.Random(4)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(3)) for _ in range(n))
+    rows = [(k, prose(60)) for k in range(100)]
+    rows += [(500 + k, f"Zorblax 😀 {prose(80)} 77123 {prose(80)} Li zorblax {prose(40)} anna.zorblax@mail.org") for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {x.doc_id: x.text for x in op2_personal_data.sanitised(df).collect()}
+    for k in range(4):
+        text = clean[500 + k]
+        assert not re.search(r"zorblax|77123|\bli\b", text, re.I) and text.endswith("<EMAIL>"), text
+        kept = [w for w in rows[100 + k][1].split() if len(w) == 3]
+        assert len(set(kept) & set(text.split())) > 0.9 * len(set(kept))
+    assert sum(clean[i] == t for i, t in rows[:100]) == 100
+
+
 def test_op3(spark, docs, rows, none):
     model, tail = op3_lm_scoring.train(docs.where(~op3_lm_scoring.held_out()), head_words=50)
     got = op3_lm_scoring.scored(docs, model, tail).collect()
