@@ -17,43 +17,12 @@ from lakeforge.llm import op6_quality_rules, op7_quality_classifier, op8_mixing,
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-DDL = "doc_id long, text string, lang string, source string, n_chars long, score string, ids string, size string, digest string, label string"
 
 
 def fold(s):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in s)
 
 
-@pytest.fixture(scope="module")
-def docs(spark):
-    """Copies, near copies, nulls, an empty and a very long text, repeated rows, and clashing columns."""
-    r = random.Random(5)
-    vocabulary = ["".join(r.choice("abcdeéßñ") for _ in range(r.randint(1, 9))) for _ in range(400)]
-    prose = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
-    texts = [None, "", " \n\t ", "one", "One two", prose(300), "x" * 400_000, prose(4000)]
-    base = prose(120).split(" ")
-    for _ in range(60):  # copies with few and with many edits
-        w = list(base)
-        for k in r.sample(range(len(w)), r.randint(0, 8)):
-            w[k] = r.choice(vocabulary) + "q"
-        texts.append(" ".join(w))
-    texts += [texts[5]] * 12 + [prose(60) + "\n" + " ".join(base[:40]) + "\nMail Anna.B@mail.example.com or +1 (743) 555-3824 from 10.0.0.256 10.0.0.255 4111 1111 1111 1111" for _ in range(6)]
-    texts += [prose(r.randint(1, 80)) for _ in range(60)]
-    rows = [(k * 3 - 5, t, [None, "en", "de"][k % 3], [None, "a", "b", "c"][k % 4], 7, "s", "i", "z", "d", "l") for k, t in enumerate(texts)]
-    rows += [rows[9], (None, "a text without an id, twice", None, None, None, *"sizdl"), (None, None, None, None, None, *"sizdl")]
-    return spark.createDataFrame(rows, DDL).repartition(5)
-
-
-@pytest.fixture(scope="module")
-def rows(docs):
-    return [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
-
-
-@pytest.fixture(scope="module")
-def none(docs):
-    return docs.limit(0)
-
-
 def test_word_hashes_do_not_depend_on_place(monkeypatch):
     t = ["a bb CCC", "bb\x0bccc", "", "é bb"]
     h, rows, first = _text.words(pa.array(t))
@@ -293,32 +262,6 @@ def test_op6_plain(docs, rows):
         assert (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, sum(mark)) == tuple(int(got[c][k]) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
 
 
-def test_op6_probabilities_add_up(docs, none):
-    base = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.lit(5).cast("long").alias("seed"))
-    m = op6_quality_rules.fit(base)
-    seen = m.words.astype(np.uint64)
-    for v in m.contexts[:20]:
-        total = np.exp(m.log_p(seen, np.full(len(seen), v, np.uint64))).sum()
-        unseen = m.unknown * float(m.look(m.contexts, m.weight, np.array([v]), 1.0)[0])
-        assert 0.97 < total + unseen < 1.03
-    out = op6_quality_rules.judged(docs).collect()
-    assert len(out) == docs.count() and all(not r.kept for r in out if r.n_words < 20)
-    assert op6_quality_rules.judged(none).count() == 0
-
-
-def test_op6_keeps_every_ngram(docs):
-    """What a worker holds changes no perplexity: the other entries are looked up in the tables."""
-    score = lambda **most: sorted((str(r.doc_id), r.n_words, r.kept, round(r.log_perplexity, 9)) for r in op6_quality_rules.judged(docs, **most).collect())
-    base = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.lit(5).cast("long").alias("seed"))
-    model, tables = op6_quality_rules.train(base, head_bigrams=40, head_words=30)
-    assert len(model.pairs) <= 40 and len(model.words) <= 30 and model.rest == {0, 1, 2}
-    held = sum(len(op6_quality_rules.unpack(r.keys, np.uint64)) for r in tables.where("kind = 2").collect())
-    tok, before, off = op6_quality_rules.bigrams(pa.array([r.text for r in base.collect()]), op6_quality_rules.seeds(pa.array([5] * base.count())))
-    count = collections.Counter(zip(tok.tolist(), before.tolist(), strict=True))
-    assert held == sum(n > 1 for n in count.values()) > 40
-    assert score(head_bigrams=40, head_words=30) == score()
-
-
 def test_op7(spark, docs, none):
     r = op7_quality_classifier.query(spark, SF.replace("0.001", "0.01")).toPandas()
     labels = spark.read.parquet(SF.replace("0.001", "0.01") + "/labels.parquet").toPandas()
