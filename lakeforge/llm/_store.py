@@ -10,10 +10,21 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage as written
-from ..session import shared_dir
+from ..session import cut_lineage, shared_dir
 
 U64 = np.uint64
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, tag: str = "cut") -> DataFrame:
+    """df as a table in the shared folder. Its shuffle files go as soon as it is written, for nothing reads them again."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return cut_lineage(df, tag)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
 
 
 def removed(table: DataFrame) -> None:
