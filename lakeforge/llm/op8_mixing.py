@@ -1,12 +1,20 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every document first gets floor(target / source size) certain whole copies.  For the rest, documents of a source are
-ranked by random odds u / (1 - u) divided by the odds of inclusion p / (1 - p), and taken in that order until the
-words still missing are reached; the last one is taken if that comes nearer.  u is a hash of seed, doc_id and text.
+The mix takes words, so a document's expected number of copies depends on its size: min(CAP, s * 2 ** (POWER * k)) with
+k = floor(log2(size)), and s such that a source's expected words are its target.  Its whole part are certain copies.
+What is left of it is the inclusion probability p of one more copy: documents of a source are ranked by random odds
+u / (1 - u) divided by inclusion odds p / (1 - p), and taken in that order until the words still missing are reached;
+the last one is taken if that comes nearer.  So the sample has a fixed size in words, and misses the target by at most
+half of the document at the cut.  u is a hash of seed, doc_id and text.
+
+The cut is found by narrowing: a histogram of the order's leading bits names the bin that holds it, and the next bits
+are looked at in that bin alone, until few distinct keys are left to sort.
 
 Defined results: a null or empty text has size 0 and takes nothing; a null source is a source of its own that comes
-last; rows equal in doc_id and text are taken or left together; sources without words get the target 0; an empty
-table gives an empty mix.  Columns besides doc_id, text and source are only passed on.
+last; rows equal in doc_id and text stand next to each other in the order, and a cut among them takes as many of them as
+the target asks for (any, for they are equal); sources without words get the target 0; an empty table gives an empty mix.
+Columns besides doc_id, text and source are only passed on, in a struct, so their names don't matter.  The driver holds
+a row for each source and size class.
 """
 
 from __future__ import annotations
@@ -17,11 +25,14 @@ from pyspark.sql import functions as F
 
 from ._store import written
 
-BINS = 1024
-MAX_BROADCAST_SOURCES = 50_000
+CAP, POWER = 3.0, 0.25
+KEY_BITS, STEP = 48, 12
+FEW = 100_000  # rows of a bin that are ranked without narrowing further
+SALTS = 4096
+MAX_BROADCAST = 200_000
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0) -> dict[str | None, float]:
+def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (1, 2, 3), cap: float = CAP) -> dict[str | None, float]:
     """Shares the total by weight; a source stops at cap times its size and the excess is shared again."""
     order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
@@ -38,68 +49,121 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (1, 2, 3)
     return out
 
 
-def n_words(text: str = "text") -> Column:
-    return F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]++"))).cast("long")
+def expected_copies(words: dict[int, int], target: float, cap: float = CAP, power: float = POWER) -> dict[int, float]:
+    """Copies of a document of each size class, for classes with so many words."""
+    total = sum(words.values())
+    if target >= cap * total:
+        return dict.fromkeys(words, cap)
+    copies = lambda s: {k: min(cap, s * 2 ** (power * k)) for k in words}
+    low, high = 0.0, cap  # no class has a factor below 1
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(x * words[k] for k, x in copies(mid).items()) < target else (low, mid)
+    return copies(high)
 
 
-def uniform(seed: int) -> Column:
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text")), 12)
-    return (h.cast("double") + 0.5) / float(1 << 52)
+def n_words(text: Column) -> Column:
+    return F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++"))).cast("long")
 
 
-def plan(docs: DataFrame, seed: int = 17, cap: float = 3.0, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
-    """One row per source: source, source_size, target, copies, p, cut_v, cut_id.  The driver sees one row per source."""
-    spark = docs.sparkSession
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"), uniform(seed).alias("u")), "sizes")
-    sizes = {r.source: r.size for r in rows.groupBy("source").agg(F.sum("size").alias("size")).toLocalIterator()}
-    goal = targets(sizes, weights, cap)
-    table = []
-    for s, size in sizes.items():
-        ratio = goal[s] / size if size else 0.0
-        copies = int(min(cap, ratio + 1e-12))
-        p = min(1.0, max(0.0, ratio - copies))
-        table.append((s, size, float(goal[s]), copies, p if p > 1e-12 else 0.0, goal[s] - copies * size))
-    side = (lambda df: F.broadcast(df)) if len(table) <= MAX_BROADCAST_SOURCES else (lambda df: df)
-    sources = spark.createDataFrame(table, "name string, source_size long, target double, copies int, p double, missing double")
-    ranked = rows.join(side(sources), F.col("source").eqNullSafe(F.col("name"))).select("source", "doc_id", "size", order_key(F.col("u"), F.col("p")).alias("v"), "missing").where("v < 1")
-    ranked = ranked.withColumn("bin", F.floor(F.col("v") * BINS))
-    bins = ranked.groupBy("source", "bin", "missing").agg(F.sum("size").alias("words"))
-    upto = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    bins = bins.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0))).where("before < missing")
-    last = bins.groupBy(F.col("source").alias("name")).agg(F.max(F.struct("bin", "before")).alias("last")).select("name", F.col("last.bin").alias("last_bin"), F.col("last.before").alias("before"))
-    last = written(last, "last")
-    near = ranked.join(side(last), F.col("source").eqNullSafe(F.col("name")) & (F.col("bin") == F.col("last_bin"))).select("source", "doc_id", "size", "v", "missing", "before")
-    run = W.partitionBy("source").orderBy("v", "doc_id").rowsBetween(W.unboundedPreceding, -1)
-    near = near.withColumn("sum", F.col("before") + F.coalesce(F.sum("size").over(run), F.lit(0)))
-    cuts = near.where("sum + size / 2 <= missing").groupBy("source").agg(F.max(F.struct("v", "doc_id")).alias("cut"))
-    # where not even the first of that bin is taken, the cut is the bin's lower edge
-    cut = last.join(side(cuts), F.col("name").eqNullSafe(F.col("source")), "left").select(F.col("name").alias("cut_name"), F.coalesce(F.col("cut.v"), F.col("last_bin") / float(BINS)).alias("cut_v"), F.when(F.col("cut").isNull(), F.lit(-(1 << 63))).otherwise(F.col("cut.doc_id")).alias("cut_id"))
-    out = sources.join(side(cut), F.col("name").eqNullSafe(F.col("cut_name")), "left")
-    return written(out.select(F.col("name").alias("source"), "source_size", "target", "copies", "p", F.coalesce("cut_v", F.lit(-1.0)).alias("cut_v"), "cut_id"), "mix")
-
-
-def order_key(u: Column, p: Column) -> Column:
-    """Q / (1 + Q) for Q = random odds / inclusion odds: the same order in a bounded range; 1 where p is 0."""
+def size_class(size: Column) -> Column:
+    """floor(log2(size)); -1 without words."""
+    return F.when(size > 0, F.length(F.bin(size)) - 1).otherwise(F.lit(-1))
+
+
+def draw(seed: int, doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(F.lit(seed), doc_id.cast("long"), text)
+
+
+def order_key(h: Column, p: Column) -> Column:
+    """KEY_BITS bits of Q / (1 + Q) for Q = random odds / inclusion odds; null where p is 0."""
+    u = (F.shiftrightunsigned(h, 12).cast("double") + 0.5) / float(1 << 52)
     q = u / (1 - u) * (1 - p) / p
-    return F.when(p <= 0, F.lit(1.0)).when(p >= 1, F.lit(0.0)).otherwise(F.least(q / (1 + q), F.lit(1 - 1e-12)))
+    return F.when(p > 0, F.least(F.floor(q / (1 + q) * float(1 << KEY_BITS)), F.lit((1 << KEY_BITS) - 1)).cast("long"))
+
+
+def _side(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= MAX_BROADCAST else df
 
 
-MIX = ("source_size", "target", "times")
+def plan(docs: DataFrame, seed: int = 17, cap: float = CAP, weights: tuple[float, ...] = (1, 2, 3), power: float = POWER) -> DataFrame:
+    """A row for each source and size class: source, class, source_size, target, copies, p, and the source's cut: its
+    cut_key and cut_draw, and how many (cut_take) of the cut_rows rows there are taken."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), draw(seed, F.col("doc_id"), F.col("text")).alias("h"))
+    rows = written(rows.withColumn("class", size_class(F.col("size"))), "sizes")
+    words: dict[str | None, dict[int, int]] = {}
+    for r in rows.groupBy("source", "class").agg(F.sum("size").alias("words")).toLocalIterator():
+        words.setdefault(r.source, {})[r["class"]] = r.words
+    sizes = {s: sum(x.values()) for s, x in words.items()}
+    goal = targets(sizes, weights, cap)
+    table, missing = [], []
+    for s, own in words.items():
+        rest = float(goal[s])
+        for k, x in expected_copies(own, goal[s], cap, power).items():
+            copies = int(x + 1e-9)
+            p = x - copies if x - copies > 1e-9 and k >= 0 else 0.0
+            rest -= copies * own[k]
+            table.append((s, k, sizes[s], float(goal[s]), copies, p))
+        missing.append((s, rest))
+    classes = spark.createDataFrame(table, "name string, size_class int, source_size long, target double, copies int, p double")
+    cut = spark.createDataFrame([], "source string, cut_key long, cut_draw long, cut_take long, cut_rows long")
+    if table:
+        known = _side(classes.where("p > 0").select("name", "size_class", "p"), len(table))
+        ranked = rows.join(known, F.col("source").eqNullSafe(F.col("name")) & (F.col("class") == F.col("size_class")))
+        ranked = ranked.select("source", "size", "h", order_key(F.col("h"), F.col("p")).alias("key"))
+        cut = _cut(written(ranked, "ranked"), spark.createDataFrame(missing, "name string, missing double"), len(missing))
+    out = classes.join(_side(cut, len(missing)), F.col("name").eqNullSafe(F.col("source")), "left")
+    return written(out.select(F.col("name").alias("source"), F.col("size_class").alias("class"), "source_size", "target", "copies", "p", F.coalesce("cut_key", F.lit(1 << KEY_BITS)).alias("cut_key"), "cut_draw", "cut_take", "cut_rows"), "mix")
+
+
+def _cut(ranked: DataFrame, open_bins: DataFrame, sources: int) -> DataFrame:
+    """source, cut_key, cut_draw, cut_take, cut_rows; sources that are taken whole have no row."""
+    open_bins = open_bins.withColumn("prefix", F.lit(0).cast("long"))
+    for shift in range(KEY_BITS - STEP, -1, -STEP):
+        inside = ranked.join(_side(open_bins, sources), F.col("source").eqNullSafe(F.col("name")) & (F.shiftright("key", shift + STEP) == F.col("prefix")))
+        bins = inside.groupBy("name", "missing", F.shiftright("key", shift).alias("prefix")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+        upto = W.partitionBy("name").orderBy("prefix").rowsBetween(W.unboundedPreceding, -1)
+        bins = bins.withColumn("missing", F.col("missing") - F.coalesce(F.sum("words").over(upto), F.lit(0)))
+        open_bins = written(bins.where("missing >= 0 and missing < words").select("name", "missing", "prefix", "n"), "bin")
+        most = open_bins.agg(F.max("n")).first()[0]
+        open_bins = open_bins.drop("n")
+        if shift == 0 or (most or 0) <= FEW:
+            break
+    inside = ranked.join(_side(open_bins, sources), F.col("source").eqNullSafe(F.col("name")) & (F.shiftright("key", shift) == F.col("prefix")))
+    groups = inside.groupBy("name", "missing", "key", "h").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.max("size").alias("size"))
+    upto = W.partitionBy("name").orderBy("key", "h").rowsBetween(W.unboundedPreceding, -1)
+    groups = groups.withColumn("missing", F.col("missing") - F.coalesce(F.sum("words").over(upto), F.lit(0))).where("missing >= 0 and missing < words")
+    take = F.least(F.floor(F.col("missing") / F.col("size") + 0.5), F.col("n")).cast("long")
+    return groups.select(F.col("name").alias("source"), F.col("key").alias("cut_key"), F.col("h").alias("cut_draw"), take.alias("cut_take"), F.col("n").alias("cut_rows"))
 
 
 def taken(docs: DataFrame, mix: DataFrame, seed: int = 17) -> DataFrame:
-    """docs with __source_size, __target and __times (whole copies the mix takes)."""
-    few = mix.count() <= MAX_BROADCAST_SOURCES
-    side = mix.select(*[F.col(c).alias(f"__{c}") for c in ("source", "source_size", "target", "copies", "p", "cut_v", "cut_id")])
-    side = F.broadcast(side) if few else side
-    out = docs.join(side, F.col("source").cast("string").eqNullSafe(F.col("__source")), "left").withColumn("__v", order_key(uniform(seed), F.col("__p")))
-    low = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    chosen = (F.col("__v") < F.col("__cut_v")) | ((F.col("__v") == F.col("__cut_v")) & (low <= F.coalesce("__cut_id", F.lit(-(1 << 63)))))
-    out = out.withColumn("__times", F.col("__copies") + ((F.col("__v") < 1) & chosen).cast("int"))
-    return out.select(*[docs[c] for c in docs.columns], *[f"__{c}" for c in MIX])
+    """row (struct of docs' columns), size, source_size, target and times (whole copies the mix takes) of every row."""
+    rows = docs.select(F.struct("*").alias("row"), n_words(F.col("text")).alias("size"), draw(seed, F.col("doc_id"), F.col("text")).alias("h"), F.col("source").cast("string").alias("own"))
+    rows = rows.withColumn("own_class", size_class(F.col("size")))
+    few = mix.count()
+    rows = rows.join(_side(mix, few), F.col("own").eqNullSafe(F.col("source")) & (F.col("own_class") == F.col("class")), "left")
+    rows = rows.withColumn("key", order_key(F.col("h"), F.col("p")))
+    at_cut = (F.col("key") == F.col("cut_key")) & (F.col("h") == F.col("cut_draw"))
+    before = (F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & (F.col("h") < F.col("cut_draw")))
+    chosen = F.coalesce(before | (at_cut & (F.col("cut_take") == F.col("cut_rows"))), F.lit(False))
+    names = ["row", "size", "source_size", "target"]
+    out = lambda df, more: df.select(*names, (F.col("copies") + more).cast("int").alias("times"))
+    if not mix.where("cut_take > 0 and cut_take < cut_rows").limit(1).count():
+        return out(rows, chosen.cast("int"))
+    # equal rows, of which some are taken: numbered salt by salt, for one of them may be a third of all rows
+    split = F.coalesce(at_cut & (F.col("cut_take") > 0) & (F.col("cut_take") < F.col("cut_rows")), F.lit(False))
+    held = written(rows.where(split).select(*names, "copies", "own", "cut_take", F.monotonically_increasing_id().alias("rid")), "split")
+    held = held.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)))
+    salts = held.groupBy(F.col("own").alias("name"), F.col("salt").alias("at")).agg(F.count("*").alias("n"))
+    salts = written(salts.select("name", "at", F.coalesce(F.sum("n").over(W.partitionBy("name").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset")), "salts")
+    held = held.join(F.broadcast(salts) if few <= 40 else salts, F.col("own").eqNullSafe(F.col("name")) & (F.col("salt") == F.col("at")))
+    place = F.row_number().over(W.partitionBy("own", "salt").orderBy("rid")) + F.col("offset")
+    return out(rows.where(~split), chosen.cast("int")).unionByName(out(held.withColumn("place", place), (F.col("place") <= F.col("cut_take")).cast("int")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    out = taken(docs, plan(docs)).withColumn("size", n_words())
-    return out.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__times")).cast("long").alias("taken"), F.col("__times").alias("times"))
+    out = taken(docs, plan(docs))
+    return out.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), "times")

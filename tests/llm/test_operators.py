@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeforge.llm import _graph, _text, op1_spotsigs, op2_personal_data, op3_lm_scoring, op4_sentencepiece, op5_substring_dedup
-from lakeforge.llm import op6_quality_rules, op7_quality_classifier, op8_mixing, op9_sharding, op10_near_duplicates
+from lakeforge.llm import op6_quality_rules, op7_quality_classifier, op9_sharding, op10_near_duplicates
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -276,23 +276,6 @@ def test_op7(spark, docs, none):
     assert op7_quality_classifier.scored(none, op7_quality_classifier.fit(none, labels)).count() == 0
 
 
-def test_op8_targets():
-    t = op8_mixing.targets({"b": 10, "a": 100, None: 5, "c": 0})
-    assert t["c"] == 0 and t["b"] == 30 and t[None] == 15 and math.isclose(t["a"], 70) and list(t) == ["a", "b", "c", None]
-
-
-def test_op8(docs, none):
-    out = op8_mixing.taken(docs, op8_mixing.plan(docs)).withColumn("n", op8_mixing.n_words()).collect()
-    for s in (None, "a", "b", "c"):
-        own = [r for r in out if r.source == s]
-        assert all(r["__source_size"] == sum(x.n for x in own) and 0 <= r["__times"] <= 3 for r in own)
-        assert abs(sum(r.n * r["__times"] for r in own) - own[0]["__target"]) <= max(r.n for r in own) / 2 + 1
-    again = op8_mixing.taken(docs.repartition(3), op8_mixing.plan(docs.repartition(2))).collect()
-    key = lambda rows: sorted((str(r.doc_id), str(r.text), r["__times"]) for r in rows)
-    assert key(again) == key(out) and out[0].size == "z"
-    assert op8_mixing.taken(none, op8_mixing.plan(none)).count() == 0
-
-
 def test_op9(spark, docs, rows, none, tmp_path):
     out = op9_sharding.placed(docs, shards=4, slots=64, path=str(tmp_path / "map")).collect()
     assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in out) == collections.Counter((i, len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t in rows)
