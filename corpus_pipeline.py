@@ -37,8 +37,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    out = op8_mixing.taken(docs, op8_mixing.plan(docs)).where("__times > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
+    out = op8_mixing.taken(docs, op8_mixing.plan(docs)).where("times > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
