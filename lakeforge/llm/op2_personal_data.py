@@ -1,15 +1,17 @@
 """Personal data: spans of fixed kinds, and terms that corpus co-occurrence shows to give a protected entity away.
 
-Base kinds come from four patterns with their checks.  Each distinct value found is a protected entity c.  A term t is
-a run of letters and digits that stands in a document outside of all spans found.  With N documents, n(c), n(t) and
-n(c, t) of them holding c, t and both:  information IC(c) = log(N / n(c)) and PMI(c; t) = log(N n(c, t) / (n(c) n(t))).
-A term whose PMI reaches ALPHA times IC gives c away.  It is generalised to <TERM>, or removed where PMI reaches IC
-itself, in all its places in the documents that hold c.  Pairs in fewer than SUPPORT documents say nothing: of an entity
-in one document, every word that stands nowhere else would have a PMI of IC.
+Base kinds come from four patterns with their checks.  Each distinct value found is a protected entity c, and so is each
+group of values (an e-mail's domain, an address's network, a card's issuer, a phone number's area) and each kind, for
+few values stand in more than one document.  A term t is a run of letters and digits that stands in a document outside
+of all spans found.  With N documents, n(c), n(t) and n(c, t) of them holding c, t and both:  information
+IC(c) = log(N / n(c)) and PMI(c; t) = log(N n(c, t) / (n(c) n(t))).  A term whose PMI reaches ALPHA times IC gives c
+away.  It is generalised to what it is (<NUMBER>, <NAME> for a capital, <WORD>), or removed where PMI reaches IC itself,
+in all its places in the documents that hold c.  Evidence: a pair counts from SUPPORT documents on, and where
+n(c, t) PMI, the log of how unlikely chance is, reaches EVIDENCE; below, every rare word of one document would do.
 
 Only DataFrame functions are used.  Defined results: a null text is an empty one; rows equal in doc_id and text count
 once in the statistics and get the same spans; a null doc_id is allowed; spans of different kinds may overlap; where
-they do, the text gets the placeholder of the first.  Columns besides doc_id and text are only passed on.
+they do, the text gets the placeholder of the first.  Columns besides doc_id and text are only passed on, in a struct.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from ._store import texts, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
-SUPPORT, ALPHA = 3, 0.85
+SUPPORT, ALPHA, EVIDENCE = 3, 0.85, 12.0
 _TERM = r"[\p{L}\p{N}]++"
 
 #: (kind, cheap guard, pattern).  The patterns match what the plain ones would, but start only where a run starts and
@@ -74,9 +76,21 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _digest(doc_id: Column, text: Column) -> Column:
+    """128 bits that name a row's doc_id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text)))
+
+
+def _group(rank: Column, value: Column) -> Column:
+    """Domain, network (two parts), issuer (six digits), area (four digits)."""
+    digits = _digits(value)
+    return F.when(rank == 0, F.regexp_extract(value, "@(.*)", 1)).when(rank == 1, F.regexp_extract(value, r"^[0-9]+\.[0-9]+", 0)).when(rank == 2, F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+
+
 def _entities(text: Column, spans: Column) -> Column:
     value = lambda s: F.lower(F.substring(text, s["start"] + 1, s["end"] - s["start"]))
-    return F.array_distinct(F.transform(spans, lambda s: F.xxhash64(s["rank"], value(s))))
+    each = lambda s: F.array(F.xxhash64(s["rank"], F.lit("value"), value(s)), F.xxhash64(s["rank"], F.lit("group"), _group(s["rank"], value(s))), F.xxhash64(s["rank"], F.lit("kind")))
+    return F.array_distinct(F.flatten(F.transform(spans, each)))
 
 
 def _masked(text: Column, spans: Column) -> Column:
@@ -94,7 +108,7 @@ def _masked(text: Column, spans: Column) -> Column:
 def found(docs: DataFrame) -> DataFrame:
     """doc_id, digest (of doc_id and text), spans of every row, and entities and masked text where there are spans;
     written, for it is used more than once."""
-    rows = texts(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("digest"), base_spans(F.col("text")).alias("spans"))
+    rows = texts(docs).select("doc_id", "text", _digest(F.col("doc_id"), F.col("text")).alias("digest"), base_spans(F.col("text")).alias("spans"))
     has = F.size("spans") > 0
     rows = rows.select("doc_id", "digest", "spans", F.when(has, _entities(F.col("text"), F.col("spans"))).alias("entities"), F.when(has, _masked(F.col("text"), F.col("spans"))).alias("masked"))
     return written(rows, "personal")
@@ -118,14 +132,18 @@ def _term_places(holders: DataFrame) -> DataFrame:
     return rows.select("digest", F.col("p.term").alias("term"), (end - F.col("p.size")).alias("start"), end.alias("end"))
 
 
-def document_counts(docs: DataFrame) -> DataFrame:
-    """term, n_term: the number of documents that hold each run of letters and digits."""
-    return texts(docs).select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+def document_counts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """term, n_term: the number of documents that hold each run of letters and digits. repeated: digest and number of
+    the rows that there are more than one of; each of k equal rows counts 1 / k."""
+    rows = texts(docs).select(_digest(F.col("doc_id"), F.col("text")).alias("digest"), "text").join(repeated, "digest", "left")
+    rows = rows.select((1 / F.coalesce("times", F.lit(1))).alias("part"), F.explode(_words(F.col("text"))).alias("term"))
+    return rows.groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("n_term"))
 
 
-def disclosing(docs: DataFrame, base: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def disclosing(docs: DataFrame, base: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, evidence: float = EVIDENCE) -> DataFrame:
     """entity, term, remove: the pairs that reach the disclosure threshold."""
-    n = base.count()
+    each = base.groupBy("digest").agg(F.count("*").alias("times"))
+    n, most = each.agg(F.count("*"), F.max("times")).first()
     holders = _holders(base)
     held = holders.select("digest", F.explode("entities").alias("entity"))
     # n(c, t) is at most n(c), so that only entities with that support can have pairs
@@ -133,47 +151,60 @@ def disclosing(docs: DataFrame, base: DataFrame, alpha: float = ALPHA, support:
     held = written(held.join(entities, "entity"), "held")
     words = holders.join(held.select("digest").distinct(), "digest", "left_semi").select("digest", F.explode(_words(F.col("masked"))).alias("term"))
     pairs = held.join(words, "digest").groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    pairs = written(pairs, "pairs")
-    known = pairs.join(document_counts(docs), "term")
-    pmi = F.log(F.lit(float(max(n, 1))) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    information = F.log(F.lit(float(max(n, 1))) / F.col("n_entity"))
-    known = known.withColumn("pmi", pmi).withColumn("ic", information).where((F.col("ic") > 0) & (F.col("pmi") >= alpha * F.col("ic")))
+    # n(t) is at least n(c, t), so the bound on PMI with n(t) = n(c, t) already rules pairs out
+    total = F.lit(float(max(n, 1)))
+    information = F.log(total / F.col("n_entity"))
+    pairs = written(pairs.withColumn("ic", information).where((F.col("ic") > 0) & (F.col("n_both") * F.col("ic") >= evidence)), "pairs")
+    repeated = each.where("times > 1") if (most or 0) > 1 else each.limit(0)
+    known = pairs.join(document_counts(docs, written(repeated, "repeated")), "term")
+    known = known.withColumn("pmi", F.log(total * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))))
+    known = known.where((F.col("pmi") >= alpha * F.col("ic")) & (F.col("n_both") * F.col("pmi") >= evidence))
     return known.select("entity", "term", (F.col("pmi") >= F.col("ic") - 1e-9).alias("remove"))
 
 
-def term_spans(docs: DataFrame, base: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """digest, terms: array<struct<start, rank, end, remove>> for the rows that have any."""
-    flagged = written(disclosing(docs, base, alpha, support), "disclosing")
+def term_spans(docs: DataFrame, base: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, evidence: float = EVIDENCE) -> DataFrame:
+    """digest, terms: array<struct<start, rank, end, remove>> for the rows that have any.
+
+    Documents meet flagged pairs by the terms they hold, not by their entities, of which one may stand everywhere; a term
+    has few entities that it gives away, for each must hold a good part of its documents.
+    """
+    flagged = written(disclosing(docs, base, alpha, support, evidence), "disclosing")
+    by_term = flagged.groupBy("term").agg(F.collect_list(F.struct("entity", "remove")).alias("marks"))
     holders = _holders(base)
-    told = holders.select("digest", F.explode("entities").alias("entity")).join(flagged, "entity").groupBy("digest", "term").agg(F.max("remove").alias("remove"))
-    told = written(told, "told")
+    own = holders.select("digest", "entities", F.explode(_words(F.col("masked"))).alias("term")).join(by_term, "term")
+    own = own.select("digest", "term", F.filter("marks", lambda m: F.array_contains(F.col("entities"), m["entity"])).alias("marks"))
+    told = written(own.where("size(marks) > 0").select("digest", "term", F.exists("marks", lambda m: m["remove"]).alias("remove")), "told")
     rows = _term_places(holders.join(told.select("digest").distinct(), "digest", "left_semi")).join(told, ["digest", "term"])
     one = F.struct("start", F.lit(4).alias("rank"), "end", "remove")
     return written(rows.groupBy("digest").agg(F.array_sort(F.collect_list(one)).alias("terms")), "terms")
 
 
-def sanitised(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def sanitised(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, evidence: float = EVIDENCE) -> DataFrame:
     """docs with personal data replaced by placeholders, and disclosing terms generalised or removed."""
     names = docs.columns
     base = found(docs)
-    terms = term_spans(docs, base, alpha, support)
+    terms = term_spans(docs, base, alpha, support, evidence)
     none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,remove:boolean>>)")
-    rows = docs.withColumn("__digest", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    rows = rows.join(terms.withColumnRenamed("digest", "__digest").withColumnRenamed("terms", "__terms"), "__digest", "left")
-    own = F.transform(base_spans(F.coalesce("text", F.lit(""))), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.lit(False).alias("remove")))
-    spans = F.array_sort(F.concat(own, F.coalesce("__terms", none)))
-    text, marks = F.col("text"), F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+    empty = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("own"), _digest(F.col("doc_id").cast("long"), empty).alias("digest"), base_spans(empty).alias("base"))
+    rows = rows.join(terms, "digest", "left")
+    own = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.lit(False).alias("remove")))
+    spans = F.array_sort(F.concat(own, F.coalesce("terms", none)))
+    text, marks = F.col("own"), F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS[:4]])
+
+    def mark(s: Column) -> Column:
+        term = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+        general = F.when(term.rlike(r"^\p{N}+$"), F.lit("<NUMBER>")).when(term.rlike(r"^\p{Lu}"), F.lit("<NAME>")).otherwise(F.lit("<WORD>"))
+        return F.when(s["remove"], F.lit("")).when(s["rank"] == 4, general).otherwise(F.try_element_at(marks, s["rank"] + 1))
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        mark = F.when(s["remove"], F.lit("")).otherwise(F.element_at(marks, s["rank"] + 1))
-        more = F.array_append(F.array_append(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])), mark)
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, more).otherwise(acc["out"]).alias("out"))
+        more = F.array_append(F.array_append(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])), mark(s))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
-    rows = rows.withColumn("__spans", spans).withColumn("text", F.when(F.size("__spans") > 0, clean).otherwise(text))
-    return rows.select(*names)
+    clean = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
+    rows = rows.withColumn("spans", spans).withColumn("clean", F.when(F.size("spans") > 0, clean).otherwise(text))
+    return rows.select(*[F.col("clean").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
