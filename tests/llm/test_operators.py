@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeforge.llm import _graph, _text, op1_spotsigs, op2_personal_data, op3_lm_scoring, op4_sentencepiece, op5_substring_dedup
-from lakeforge.llm import op6_quality_rules, op7_quality_classifier, op9_sharding, op10_near_duplicates
+from lakeforge.llm import op6_quality_rules, op7_quality_classifier, op10_near_duplicates
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -276,20 +276,6 @@ def test_op7(spark, docs, none):
     assert op7_quality_classifier.scored(none, op7_quality_classifier.fit(none, labels)).count() == 0
 
 
-def test_op9(spark, docs, rows, none, tmp_path):
-    out = op9_sharding.placed(docs, shards=4, slots=64, path=str(tmp_path / "map")).collect()
-    assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in out) == collections.Counter((i, len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t in rows)
-    for s in range(4):
-        own = sorted(r.slot for r in out if r.shard == s)
-        assert own == list(range(len(own)))
-    store = op9_sharding.SlotMap(spark, str(tmp_path / "map"))
-    old = store.load()[0]
-    assert store.rebalance(5) == 2 and store.versions() == [1, 2]
-    new = store.load()[0]
-    assert all(a == b or b == 4 for a, b in zip(old, new, strict=True))
-    assert op9_sharding.placed(none).count() == 0
-
-
 def test_super_minhash_is_the_sequential_form():
     sets = _text.mix(np.arange(1, 90, dtype=np.uint64))
     off, m = np.array([0, 1, 3, 20, 89]), 16
