@@ -27,18 +27,20 @@ def bodies(functions: DataFrame, files: DataFrame) -> DataFrame:
     """id, code: from the first function line that holds the name anywhere, up to the line on which the braces balance
     (the end of the file if they never do); '' if no line has the name or the file can't be read.
 
-    Each file's lines are joined to its own functions; running sums find the end.
+    Running brace sums are made once for each file; its functions meet the file's row, and find start and end in it.
     """
-    wanted = functions.select("id", "func_name", F.col("file_path").alias("path"))
-    rows = wanted.join(lines(files.select("path", "text")), "path")
-    trimmed = trim_space(F.col("line"))
-    start = F.when(trimmed.startswith("func ") & F.contains(F.col("line"), F.col("func_name")), F.col("line_no"))
-    rows = rows.withColumn("start", F.min(start).over(W.partitionBy("id"))).where(F.col("line_no") >= F.col("start"))
-    upto = W.partitionBy("id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    opened = F.sum(count_token(F.col("line"), "{")).over(upto)
-    rows = rows.withColumn("opened", opened).withColumn("balance", opened - F.sum(count_token(F.col("line"), "}")).over(upto))
-    rows = rows.withColumn("end", F.min(F.when((F.col("opened") > 0) & (F.col("balance") <= 0), F.col("line_no"))).over(W.partitionBy("id")))
-    rows = rows.where(F.col("end").isNull() | (F.col("line_no") <= F.col("end")))
-    code = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("body"))
-    code = code.select("id", F.concat(F.array_join(F.transform("body", lambda x: x["line"]), "\n"), F.lit("\n")).alias("code"))
+    wanted = functions.groupBy(F.col("file_path").alias("path")).agg(F.collect_list(F.struct("id", "func_name")).alias("names"))
+    upto = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    own_open, own_close = count_token(F.col("line"), "{"), count_token(F.col("line"), "}")
+    rows = lines(files.join(wanted.select("path"), "path", "left_semi").select("path", "text"))
+    rows = rows.select("path", "line_no", "line", F.sum(own_open).over(upto).alias("opened"), F.sum(own_open - own_close).over(upto).alias("balance"), own_open.alias("own_open"), (own_open - own_close).alias("own"))
+    rows = rows.withColumn("starts", trim_space(F.col("line")).startswith("func "))
+    each = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "line", "opened", "balance", "own_open", "own", "starts"))).alias("body"))
+    each = each.withColumn("heads", F.filter("body", lambda x: x["starts"])).join(wanted, "path").select("body", "heads", F.explode("names").alias("f"))
+    each = each.withColumn("head", F.try_element_at(F.filter("heads", lambda x: F.contains(x["line"], F.col("f.func_name"))), F.lit(1))).where("head is not null")
+    opened, balance = F.col("head.opened") - F.col("head.own_open"), F.col("head.balance") - F.col("head.own")
+    ends = F.filter("body", lambda x: (x["line_no"] >= F.col("head.line_no")) & (x["opened"] > opened) & (x["balance"] <= balance))
+    last = F.coalesce(F.try_element_at(ends, F.lit(1))["line_no"], F.size("body") - 1)
+    own = F.slice("body", F.col("head.line_no") + 1, last - F.col("head.line_no") + 1)
+    code = each.select("f.id", F.concat(F.array_join(F.transform(own, lambda x: x["line"]), "\n"), F.lit("\n")).alias("code"))
     return functions.select("id").join(code, "id", "left").select("id", F.coalesce("code", F.lit("")).alias("code"))

@@ -11,8 +11,10 @@ from .lookup import insert_or_ignore
 
 
 def save_catalog(catalog: DataFrame, entries: DataFrame) -> DataFrame:
-    """First entry of (package, func_name) wins, within a batch and across runs."""
-    return insert_or_ignore(catalog, entries, ["package", "func_name"], ["seq"])
+    """First entry of (package, func_name) wins, within a batch and across runs; new ones are numbered behind the stored."""
+    last = catalog.agg(F.max("seq")).first()[0]
+    behind = entries if last is None else entries.withColumn("seq", F.col("seq") + F.lit(last + 1))
+    return insert_or_ignore(catalog, behind, ["package", "func_name"], ["seq"])
 
 
 def sync_queue(functions: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -59,13 +61,13 @@ class StateStore:
     """Versioned tables below a path, through Hadoop's file systems. One writer at a time.
 
     A commit writes new snapshots of the tables named, then replaces the pointer file; a reader, or a restart after a
-    crash, sees all of a commit or nothing of it.
+    crash, sees all of a commit or nothing of it.  Snapshots that none of the last `keep` pointers names are deleted.
     """
 
     TABLES = {"catalog": schemas.CATALOG, "functions": schemas.FUNCTIONS, "dependencies": schemas.DEPENDENCIES}
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, keep: int = 4):
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -74,13 +76,17 @@ class StateStore:
             self.commit(**{name: spark.createDataFrame([], ddl) for name, ddl in self.TABLES.items()})
 
     def _pointer(self) -> dict[str, int]:
+        versions = self._pointers()
+        return versions[max(versions)] if versions else {}
+
+    def _pointers(self) -> dict[int, dict[str, int]]:
         versions = {}
         for status in self._fs.listStatus(self._path(self.path)):
             name = status.getPath().getName()
             if name.startswith("CURRENT.") and not name.endswith(".tmp"):
                 number, *rest = name.removeprefix("CURRENT.").split(",")
                 versions[int(number)] = {k: int(v) for k, _, v in (x.partition("=") for x in rest)}
-        return versions[max(versions)] if versions else {}
+        return versions
 
     def _last(self) -> int:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
@@ -99,7 +105,22 @@ class StateStore:
         self._fs.create(self._path(target + ".tmp")).close()
         if not self._fs.rename(self._path(target + ".tmp"), self._path(target)):
             raise OSError(f"can't commit {target}")
+        self._prune()
         return version
 
+    def _prune(self) -> None:
+        pointers = self._pointers()
+        last = sorted(pointers)[-self.keep :]
+        for name in self.TABLES:
+            kept, top = {pointers[v].get(name) for v in last}, self._path(f"{self.path}/{name}")
+            for status in self._fs.listStatus(top) if self._fs.exists(top) else []:
+                number = status.getPath().getName().removeprefix("v=")
+                if number.isdigit() and int(number) not in kept and int(number) < max(last):
+                    self._fs.delete(status.getPath(), True)
+        for status in self._fs.listStatus(self._path(self.path)):
+            name = status.getPath().getName()
+            if name.startswith("CURRENT.") and not name.endswith(".tmp") and int(name.removeprefix("CURRENT.").split(",")[0]) not in last:
+                self._fs.delete(status.getPath(), True)
+
     def close(self) -> None:
-        self.spark.catalog.clearCache()
+        """Nothing is held open."""

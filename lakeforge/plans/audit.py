@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from ..session import cut_lineage
 from .config import Config
 from .infer import Model, ask
 
+log = logging.getLogger(__name__)
 NO_CONTEXT = "no known dependencies"
 
 
@@ -52,6 +54,8 @@ def run_pass(store: StateStore, files: DataFrame, model: Model, config: Config,
     rows = cut_lineage(findings(functions, store.read("dependencies"), files, model, config.workers, number), "findings")
     append_report(rows, config.report_path)
     store.commit(functions=transition(functions, rows.select("id", F.lit(AUDITED).alias("status"))))
+    told = rows.agg(F.count("*").alias("n"), F.count_if(~F.col("clean")).alias("bad")).first()
+    log.info("audit pass %d: %d functions reported, %d with a finding", number, told.n, told.bad)
     return rows
 
 

@@ -1,24 +1,35 @@
 """The first pass: summaries for all pending functions, children before callers, in set-wise rounds.
 
-Every pending function is a root, so all first calls are one stage.  Enrichment goes up from the leaves: a round takes
-the functions whose children are all final; if a round finds none, what is left holds cycles, and the functions that
-reach themselves are taken together, seeing the stub for children that aren't final.  After max_depth rounds the rest
-keeps its first summary.  A child that failed doesn't make its caller be enriched.  A failed enrichment keeps the first
-summary (compat: blanks it).
+Every pending function is a root, so all first calls are one stage; an audited child without a summary is analysed
+anew with its callers, down to max_depth.  Enrichment goes up from the leaves: a round takes the functions whose children
+are all final; if a round finds none, what is left holds cycles, and the functions that reach themselves are taken together,
+seeing the stub for children that aren't final.  After max_depth rounds the rest keeps its first summary.  A child
+counts once it is extracted or audited, or its name has a summary; a failed one doesn't make its caller be enriched.
+A failed enrichment keeps the first summary (compat: blanks it).
+
+Functions are IN_PROGRESS until their summary is final, which alone is stored: after a crash the next start takes up
+those that are left.
 """
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.lookup import by_status, contexts, internal_edges
+from ..functions.text import or_empty
+from ..operators.lookup import by_status, contexts, has_summary, internal_edges, to_descend
 from ..operators.parse import bodies
 from ..operators.state import StateStore, finalise, save_dependencies, transition
-from ..schemas import EXTRACTED, FAILED, PENDING
+from ..schemas import AUDITED, EXTRACTED, FAILED, IN_PROGRESS, PENDING
 from ..session import cut_lineage
 from .config import Config
 from .infer import Model, discover, reply_dependencies
+from .progress import Progress
+
+log = logging.getLogger(__name__)
 
 
 def summary_prompt() -> Column:
@@ -34,54 +45,142 @@ def prompts(ids: DataFrame, functions: DataFrame, dependencies: DataFrame, files
     return rows.select("id", summary_prompt().alias("prompt"), (F.col("code") != "").alias("has_code"))
 
 
-def on_cycles(edges: DataFrame, max_steps: int = 100) -> DataFrame:
-    """id of every node of edges(function_id, child) that reaches itself within max_steps."""
-    reach = cut_lineage(edges.select("function_id", "child").distinct(), "reach")
-    size = reach.count()
-    for _ in range(max_steps):  # paths double in length in each step
-        far = reach.alias("a").join(reach.alias("b"), F.col("a.child") == F.col("b.function_id")).select("a.function_id", "b.child")
-        reach = cut_lineage(reach.union(far).distinct(), "reach")
-        if (new := reach.count()) == size:
+def reached(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
+    """node, depth: what edges(a, b) reach from roots(node), whose depth is 1; nothing beyond max_depth, and no node twice."""
+    front = cut_lineage(roots.select("node").distinct().withColumn("depth", F.lit(1)), "front")
+    seen = front
+    for depth in range(2, max_depth + 1):
+        step = front.join(edges, front.node == edges.a).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
+        front = cut_lineage(step.withColumn("depth", F.lit(depth)), "front")
+        if not front.limit(1).count():
             break
-        size = new
-    return reach.where("function_id = child").select(F.col("function_id").alias("id")).distinct()
+        seen = seen.union(front)
+    return seen
 
 
-def run_pass(store: StateStore, files: DataFrame, model: Model, config: Config) -> None:
-    pending = cut_lineage(by_status(store.read("functions"), PENDING).select("id"), "pending")
-    if not pending.limit(1).count():
-        return
-    first = prompts(pending, store.read("functions"), store.read("dependencies"), files)
-    replies = cut_lineage(discover(first, model, config.workers), "replies")
-    good = replies.where("ok").select("id", "summary")
-    functions = finalise(store.read("functions"), good)
-    functions = transition(functions, replies.where("not ok").select("id", F.lit(FAILED).alias("status")))
-    store.commit(functions=functions, dependencies=save_dependencies(store.read("dependencies"), reply_dependencies(replies)))
-    if config.fail_fast and replies.where("not ok").limit(1).count():
-        raise RuntimeError("a function could not be analysed; what is done is stored")
-    functions = store.read("functions")
-    alive = functions.where(F.col("status") == EXTRACTED).select("id")
-    edges = internal_edges(reply_dependencies(replies), functions).select("function_id", "child").where("function_id <> child").distinct()
-    edges = edges.join(alive.withColumnRenamed("id", "child"), "child", "left_semi").join(good.select(F.col("id").alias("function_id")), "function_id", "left_semi")
-    edges = cut_lineage(edges, "edges")
+def _spread(labels: DataFrame, edges: DataFrame, best) -> DataFrame:
+    """Carries labels(node, label) along edges(a, b) to the end."""
+    while True:
+        near = labels.join(edges, labels.node == edges.a).groupBy(F.col("b").alias("node")).agg(best("label").alias("near"))
+        new = cut_lineage(labels.join(near, "node", "left").select("node", "label", best_of(best, "label", "near")), "labels")
+        labels = new.select("node", F.col("new").alias("label"))
+        if not new.where("new <> label").limit(1).count():
+            return labels
+
+
+def best_of(best, a: str, b: str) -> Column:
+    return (F.greatest if best is F.max else F.least)(F.col(a), F.coalesce(b, a)).alias("new")
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """id of every node of edges(function_id, child) that reaches itself.
+
+    Nodes without a way in or out are trimmed; of the rest, a node's label is the greatest node that reaches it, and
+    the nodes from which the label's own node can be reached with the same label are its cycle's. Those go, and the search
+    goes on with what is left. State grows with the edges, never with the pairs.
+    """
+    left = cut_lineage(edges.select(F.col("function_id").alias("a"), F.col("child").alias("b")).distinct(), "cycle-edges")
+    found = left.select(F.col("a").alias("id")).limit(0)
+    loops = left.where("a = b").select(F.col("a").alias("id"))
+    size = left.count()
+    while size:
+        trimmed = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+        trimmed = cut_lineage(trimmed, "cycle-edges")
+        if (new := trimmed.count()) < size:
+            left, size = trimmed, new
+            continue
+        nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+        color = _spread(nodes.withColumn("label", F.col("node")), left, F.max)
+        a, b = color.select(F.col("node").alias("a"), F.col("label").alias("la")), color.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        inside = cut_lineage(left.join(a, "a").join(b, "b").where("la = lb").select(F.col("b").alias("a"), F.col("a").alias("b")), "cycle-inner")  # backwards
+        own = reached(inside, color.where("node = label").join(inside.select(F.col("a").alias("node")).distinct(), "node", "left_semi"), 1 << 30).select("node")
+        own = cut_lineage(own, "cycle")
+        closed = inside.join(own, inside.a == own.node, "left_semi").join(own, inside.b == own.node, "left_semi")
+        found = found.union(closed.select(F.col("a").alias("id"))).union(closed.select(F.col("b").alias("id")))
+        gone = color.where("node = label").select("node").union(own).distinct()
+        left = cut_lineage(left.join(gone, left.a == gone.node, "left_anti").join(gone, left.b == gone.node, "left_anti"), "cycle-edges")
+        size = left.count()
+    return found.union(loops).distinct()
+
+
+def rounds(edges: DataFrame, most: int) -> Iterator[DataFrame]:
+    """The nodes that edges(function_id, child) start from, round by round: those whose children have all been taken or have
+    no children; where there are none, those on cycles."""
+    edges = cut_lineage(edges.where("function_id <> child").select("function_id", "child").distinct(), "edges")
     left = cut_lineage(edges.select(F.col("function_id").alias("id")).distinct(), "left")
-    for _ in range(config.max_depth - 1):
+    for _ in range(most):
         if not left.limit(1).count():
-            break
+            return
         open_edges = edges.join(left.withColumnRenamed("id", "child"), "child", "left_semi").join(left.withColumnRenamed("id", "function_id"), "function_id", "left_semi")
         ready = cut_lineage(left.join(open_edges.select(F.col("function_id").alias("id")), "id", "left_anti"), "ready")
-        hidden = None
         if not ready.limit(1).count():
             ready = cut_lineage(on_cycles(open_edges), "ready")
-            hidden = ready
-        functions = store.read("functions")
-        seen = functions
-        if hidden is not None:  # members of a cycle see the stub for each other
-            seen = functions.join(hidden.withColumn("hide", F.lit(True)), "id", "left").withColumn("summary", F.when(F.col("hide"), F.lit("")).otherwise(F.col("summary"))).drop("hide")
-        again = cut_lineage(discover(prompts(ready, seen, store.read("dependencies"), files), model, config.workers, retries=0), "enriched")
-        if config.compat:
-            again = again.withColumn("summary", F.when(F.col("ok"), F.col("summary")).otherwise(F.lit("")))
-        else:
-            again = again.where("ok")
-        store.commit(functions=finalise(functions, again.select("id", "summary")))
+        yield ready
         left = cut_lineage(left.join(ready, "id", "left_anti"), "left")
+
+
+def heights(edges: DataFrame, most: int) -> DataFrame:
+    """id, height: the round in which each caller is taken, from 1."""
+    out = edges.select(F.col("function_id").alias("id"), F.lit(0).alias("height")).limit(0)
+    for k, ready in enumerate(rounds(edges, most), 1):
+        out = out.union(ready.select("id", F.lit(k).alias("height")))
+    return out
+
+
+def _discovered(store: StateStore, ids: DataFrame, files: DataFrame, model: Model, config: Config) -> DataFrame:
+    """First replies of the ids, which are claimed first; failures and dependencies are stored."""
+    store.commit(functions=transition(store.read("functions"), ids.select("id", F.lit(IN_PROGRESS).alias("status"))))
+    first = prompts(ids, store.read("functions"), store.read("dependencies"), files)
+    replies = cut_lineage(discover(first, model, config.workers), "replies")
+    told = replies.agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("bad"), F.coalesce(F.sum(F.col("attempts") - 1), F.lit(0)).alias("again"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("s")).first()
+    log.info("first replies: %d functions, %d retries, %d failures, %.1f s of calls", told.n, told.again, told.bad, told.s)
+    failed = replies.where("not ok").select("id", F.lit(FAILED).alias("status"))
+    store.commit(functions=transition(store.read("functions"), failed), dependencies=save_dependencies(store.read("dependencies"), reply_dependencies(replies)))
+    if told.bad and config.fail_fast:
+        raise RuntimeError(f"{told.bad} functions could not be analysed; what is done is stored")
+    return replies
+
+
+def run_pass(store: StateStore, files: DataFrame, model: Model, config: Config) -> None:
+    todo = cut_lineage(by_status(store.read("functions"), PENDING).select("id"), "pending")
+    total = todo.count()
+    log.info("pending functions: %d", total)
+    replies, progress = None, Progress(total)
+    for depth in range(1, config.max_depth + 1):
+        if not todo.limit(1).count():
+            break
+        new = _discovered(store, todo, files, model, config)
+        replies = new if replies is None else cut_lineage(replies.union(new), "replies")
+        functions = store.read("functions")
+        again = to_descend(reply_dependencies(new), functions).select(F.col("child").alias("id")).distinct()
+        todo = cut_lineage(again.join(functions.where(F.col("status") == AUDITED), "id", "left_semi"), "descended")
+        log.info("depth %d: %d audited children without a summary", depth, todo.count())
+    if replies is None:
+        return
+    good = cut_lineage(replies.where("ok").select("id", "summary"), "good")
+    functions = store.read("functions")
+    dependencies = reply_dependencies(replies)
+    told = has_summary(dependencies.select("dep_name").distinct(), functions)
+    alive = functions.where(F.col("status").isin(EXTRACTED, AUDITED)).select("id").union(good.select("id")).distinct()
+    edges = internal_edges(dependencies, functions).join(good.select(F.col("id").alias("function_id")), "function_id", "left_semi")
+    named = edges.join(told, "dep_name", "left_semi").select("function_id", "child")
+    edges = cut_lineage(named.union(edges.join(alive.withColumnRenamed("id", "child"), "child", "left_semi").select("function_id", "child")).distinct(), "edges")
+    enriched = cut_lineage(edges.select(F.col("function_id").alias("id")).distinct(), "enriched")
+    store.commit(functions=finalise(functions, good.join(enriched, "id", "left_anti")))
+    inner = edges.join(enriched.withColumnRenamed("id", "child"), "child", "left_semi").select("function_id", "child")
+    alone = enriched.join(inner.where("function_id <> child").select(F.col("function_id").alias("id")), "id", "left_anti")
+    # callers of final functions alone come first, and with them those of callers that call nobody else
+    marks = inner.union(alone.select("id", F.lit("").alias("child")))
+    progress.tick(total - enriched.count())
+    for k, ready in enumerate(rounds(marks, config.max_depth - 1), 1):
+        known = prompts(ready, store.read("functions"), store.read("dependencies"), files)
+        again = cut_lineage(discover(known, model, config.workers, retries=0), "again")
+        kept = F.when(F.col("ok"), F.col("summary")).otherwise(F.lit("") if config.compat else F.col("first"))
+        again = again.join(good.select("id", F.col("summary").alias("first")), "id").select("id", kept.alias("summary"))
+        store.commit(functions=finalise(store.read("functions"), again))
+        progress.tick(n := ready.count())
+        log.info("round %d: %d functions enriched; %s", k, n, progress.text())
+    rest = good.join(store.read("functions").where(F.col("status") == IN_PROGRESS), "id", "left_semi")
+    if rest.limit(1).count():
+        log.warning("%d functions stand higher than the maximum depth and keep their first summary", rest.count())
+        store.commit(functions=finalise(store.read("functions"), rest))

@@ -6,6 +6,8 @@ import hashlib
 import json
 import logging
 import re
+import time
+import urllib.error
 import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -131,14 +133,14 @@ def decode_reply(text: str) -> tuple[bool, str, list[tuple[str, str]]]:
 
 
 def discover(prompts: DataFrame, model: Model, workers: int, retries: int = RETRIES) -> DataFrame:
-    """prompts (id, prompt, has_code): id, ok, summary, external, attempts. A reply that can't be had or read is asked
+    """prompts (id, prompt, has_code): id, ok, summary, external, attempts, seconds. A reply that can't be had or read is asked
     for again with a note. The caller writes the result before it uses it, so that no call is made twice."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
-                ok, summary, external, attempt = False, "", [], 0
+                ok, summary, external, attempt, start = False, "", [], 0, time.monotonic()
                 for attempt in range(1, retries + 2):  # noqa: B007
                     try:
                         if r.has_code:
@@ -147,10 +149,10 @@ def discover(prompts: DataFrame, model: Model, workers: int, retries: int = RETR
                         ok = False
                     if ok:
                         break
-                rows.append((r.id, ok, summary, [{"name": n, "type": t} for n, t in external], attempt))
-            yield pd.DataFrame(rows, columns=["id", "ok", "summary", "external", "attempts"])
+                rows.append((r.id, ok, summary, [{"name": n, "type": t} for n, t in external], attempt, time.monotonic() - start))
+            yield pd.DataFrame(rows, columns=["id", "ok", "summary", "external", "attempts", "seconds"])
 
-    ddl = "id string, ok boolean, summary string, external array<struct<name:string,type:string>>, attempts int"
+    ddl = "id string, ok boolean, summary string, external array<struct<name:string,type:string>>, attempts int, seconds double"
     return prompts.repartition(workers).mapInPandas(run, ddl)
 
 

@@ -9,25 +9,32 @@ from dataclasses import fields
 from pyspark.sql import SparkSession
 
 from ..operators.parse import catalog_entries
-from ..operators.state import StateStore, reset_status, save_catalog, sync_queue
+from ..operators.state import StateStore, record_count, reset_status, save_catalog, sync_queue
 from ..schemas import IN_PROGRESS, PENDING
-from ..session import cut_lineage, local_session, ship
+from ..session import clear_tables, cut_lineage, local_session, ship
 from ..sources.scan import source_files
 from . import audit, graph
 from .config import Config
 from .infer import HttpModel, Model
 
 
+log = logging.getLogger(__name__)
+
+
 def run(spark: SparkSession, config: Config, model: Model | None = None) -> StateStore:
     ship(spark)
     model = model or HttpModel(config.endpoint, config.model)
     store = StateStore(spark, config.state_dir)
     files = cut_lineage(source_files(spark, config.root), "files")
-    catalog = cut_lineage(save_catalog(store.read("catalog"), catalog_entries(files)), "catalog")
+    entries = cut_lineage(catalog_entries(files), "entries")
+    log.info("catalog entries found: %d in %d files", entries.count(), files.count())
+    catalog = cut_lineage(save_catalog(store.read("catalog"), entries), "catalog")
     functions = reset_status(sync_queue(store.read("functions"), catalog), IN_PROGRESS, PENDING)
     store.commit(catalog=catalog, functions=functions)
+    log.info("functions stored: %d", record_count(store.read("functions")))
     graph.run_pass(store, files, model, config)
     audit.run_passes(store, files, model, config)
+    clear_tables(spark)
     return store
 
 

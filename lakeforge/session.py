@@ -44,17 +44,29 @@ _shared: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset (tests, a single machine)."""
+    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset and all runs on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         where = _shared.setdefault(app, "") or tempfile.mkdtemp(prefix="lakeforge-")
         _shared[app] = where
     return where.rstrip("/")
 
 
+def tables_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lakeforge/{spark.sparkContext.applicationId}"
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Deletes what this application has written to the shared folder; nothing that reads it may run after."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame, tag: str = "cut") -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/lakeforge/{tag}-{uuid.uuid4().hex}"
+    path = f"{tables_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
