@@ -62,7 +62,7 @@ def super_minhash(sets: np.ndarray, off: np.ndarray, m: int) -> np.ndarray:
     for j in range(m):
         if not len(e):
             break
-        x = X.mix(e + U64(j + 1) * U64(0x9E3779B97F4A7C15))
+        x = X.mix(e + U64((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
         k = ((x & U64(0xFFFFFFFF)) * U64(m - j) >> U64(32)).astype(np.uint16) + np.uint16(j)
         draws.append(k)
         at = k.copy()
