@@ -22,18 +22,19 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._store import Bloom, Counts, bucket_bits, buckets, merged, pack, text_bytes, texts, tuned, unpack, unpack_counts, written
+from ._store import Bloom, Counts, bucket_bits, buckets, merged, pack, removed, text_bytes, texts, tuned, unpack, unpack_counts, written
 
 U64 = np.uint64
 ORDER, BASE, TAU = 2, 1.5, 30.0
 FILTER_BYTES, HEAD_WORDS, ENTRY_BITS, LEVELS = 1 << 26, 4_000_000, 9.0, 64
 CHUNK = 1 << 24
 _END, _START = U64(0x6A09E667F3BCC909), U64(0xBB67AE8584CAA73B)
-_STEP, _KIND = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
+_STEP, _KIND = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +53,7 @@ def ngrams(tok: np.ndarray, off: np.ndarray, order: int) -> list[np.ndarray]:
         before = np.empty_like(tok)
         before[1:] = out[-1][:-1]
         before[off[:-1]] = _START
-        out.append(X.mix(before * _STEP + tok + U64(k)))
+        out.append(X.mix(before * U64(_STEP) + tok + U64(k)))
     return out
 
 
@@ -70,7 +71,7 @@ def estimates(base: float = BASE) -> np.ndarray:
 
 def entry(keys: np.ndarray, kind: int, j: int, bits: int) -> np.ndarray:
     """What the filter holds for (n-gram, level); it stays in the key's bucket."""
-    low = X.mix(keys + U64(j) * _STEP + U64(kind) * _KIND) >> U64(bits)
+    low = X.mix(keys + U64((j * _STEP + kind * _KIND) % (1 << 64))) >> U64(bits)
     return keys >> U64(64 - bits) << U64(64 - bits) | low
 
 
@@ -215,16 +216,18 @@ def train(docs: DataFrame, order: int = ORDER, filter_bytes: int = FILTER_BYTES,
     head = [(unpack(r.keys, U64), unpack(r["counts"], np.int64)) for r in words.mapInArrow(split(True), "keys binary, counts binary").toLocalIterator()]
     keys, num = np.concatenate([h[0] for h in head] or [np.zeros(0, U64)]), np.concatenate([h[1] for h in head] or [np.zeros(0, np.int64)])
     by = np.argsort(keys)
-    return Model(bloom, order, n, v, documents, floors, keys[by], num[by], rest, shape), words.mapInArrow(split(False), "key long, c long")
+    tail = written(words.mapInArrow(split(False), "key long, c long"), "tail")
+    removed(counts)
+    return Model(bloom, order, n, v, documents, floors, keys[by], num[by], rest, shape), tail
 
 
 _ROWS = ["rid", "doc_id", "n_tokens", "n_known", "base", "score", "rest"]
 
 
 def _chunked(rows: DataFrame, model: Model, box) -> DataFrame:
-    """The rows with a chunk each, of about CHUNK bytes of text, and for each chunk the keys that the worker's filter
+    """The rows, their texts compressed, with a chunk each, of about CHUNK bytes of text, and for each chunk the keys that the worker's filter
     doesn't find, packed by kind and bucket."""
-    schema = pa.schema([("chunk", pa.int64()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary())])
+    schema = pa.schema([("chunk", pa.int64()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("text", pa.binary()), ("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary())])
     bits, order = model.bloom.bits, model.order
 
     def probes(chunk, held):
@@ -242,14 +245,14 @@ def _chunked(rows: DataFrame, model: Model, box) -> DataFrame:
                 chunk = part.column(0)[0].as_py() if chunk is None else chunk
                 for k, keys in enumerate(ngrams(*tokens(part.column(2)), order), 1):
                     held.setdefault(k, []).append(m.absent(np.unique(keys), k))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part)), part.column(0), part.column(1), part.column(2).cast(pa.string()), *[pa.nulls(len(part), t.type) for t in list(schema)[4:]]], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part)), part.column(0), part.column(1), pa.array([zstandard.compress(t.encode(), 3) for t in part.column(2).to_pylist()], pa.binary()), *[pa.nulls(len(part), t.type) for t in list(schema)[4:]]], schema=schema)
                 size += part.column(2).nbytes
                 if size > CHUNK:
                     yield from probes(chunk, held)
                     chunk, held, size = None, {}, 0
         yield from probes(chunk, held)
 
-    return written(rows.mapInArrow(run, "chunk long, rid long, doc_id long, text string, kind int, bucket int, keys binary"), "chunks")
+    return written(rows.mapInArrow(run, "chunk long, rid long, doc_id long, text binary, kind int, bucket int, keys binary"), "chunks")
 
 
 def _levels(asked: DataFrame, model: Model) -> DataFrame:
@@ -304,7 +307,15 @@ def scored(docs: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
             keys, levels = (np.concatenate(x) for x in zip(*found, strict=True))
             by = np.argsort(keys)
             more[kind] = keys[by], levels[by]
-        return pa.Table.from_batches([score(part, more) for batch in rows.to_batches() for part in X.slices(batch, "text")])
+        out, held, size = [], [], 0
+        for k, t in enumerate(rows["text"]):
+            held.append(zstandard.decompress(t.as_py()))
+            size += len(held[-1])
+            if size > 1 << 20 or k == rows.num_rows - 1:
+                s = slice(k + 1 - len(held), k + 1)
+                out.append(score(pa.RecordBatch.from_arrays([rows["rid"][s].combine_chunks(), rows["doc_id"][s].combine_chunks(), pa.array(held, pa.binary()).cast(pa.string())], ["rid", "doc_id", "text"]), more))
+                held, size = [], 0
+        return pa.Table.from_batches(out)
 
     rows = texts(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     ddl = "rid long, doc_id long, n_tokens long, n_known long, base double, score double, rest array<long>"
@@ -312,10 +323,13 @@ def scored(docs: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
         rows = rows.mapInArrow(run, ddl)
     else:
         every = _chunked(rows, model, box)
-        answers = _levels(every.where("kind is not null").select("chunk", "kind", "bucket", "keys"), model)
+        answers = written(_levels(every.where("kind is not null").select("chunk", "kind", "bucket", "keys"), model), "levels")
         own = every.where("kind is null").select("rid", "doc_id", "text", "chunk")
         rows = own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(joined, ddl)
     out = written(rows, "scored")
+    if model.rest is not None:
+        removed(every)
+        removed(answers)
     probes = out.select("rid", F.explode("rest").alias("key")).groupBy("rid", "key").agg(F.count("*").alias("times"))
     found = probes.join(tail, "key", "left").groupBy("rid").agg(F.sum(F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - F.lit(float(np.log10(model.n + model.v + 1))))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"))
     out = out.drop("rest").join(found, "rid", "left")

@@ -134,7 +134,8 @@ def test_op2_terms_far_from_the_entity(spark):
     assert sum(clean[i] == t for i, t in rows[:100]) == 100
 
 
-def test_op3(spark, docs, rows, none):
+def test_op3(spark, docs, rows, none, monkeypatch):
+    monkeypatch.setattr(op3_lm_scoring, "ENTRY_BITS", 60.0)  # a filter with hardly any chance hits
     model, tail = op3_lm_scoring.train(docs.where(~op3_lm_scoring.held_out()), head_words=50)
     got = op3_lm_scoring.scored(docs, model, tail).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
@@ -144,7 +145,23 @@ def test_op3(spark, docs, rows, none):
     assert (model.n, model.v) == (n, v) and len(model.head) <= 50
     want = collections.Counter((i, len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t)), 5)) for i, t in rows)
     assert collections.Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 5)) for r in got) == want
-    assert all(r.score < 0 for r in got)
+    # the score: Dirichlet smoothing over quantised counts
+    pairs = collections.Counter((a, b) for i, t in rows if not held(i) for a, b in zip(["<s>", *tokens(t)], tokens(t), strict=False))
+    base, tau, documents = op3_lm_scoring.BASE, op3_lm_scoring.TAU, sum(not held(i) for i, _ in rows)
+    quantised = lambda k: op3_lm_scoring.estimates()[1 + math.floor(math.log(k) / math.log(base) + 1e-9)] if k else 0.0
+
+    def plain(t):
+        total, before, room = 0.0, "<s>", documents
+        for w in tokens(t):
+            p, k = (quantised(c[w]) + 1) / (n + v + 1), quantised(pairs[before, w])
+            total += math.log10((k + tau * p) / (max(room, k) + tau))
+            before, room = w, quantised(c[w])
+        return total
+
+    want = {(i, len(tokens(t)), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t)), 5)): plain(t) for i, t in rows}
+    off = [abs(r.score - want[r.doc_id, r.n_tokens, round(r.base_score, 5)]) / r.n_tokens for r in got]
+    assert np.mean(np.array(off) < 1e-9) > 0.97
+    assert sum(r.score for r in got if held(r.doc_id)) > sum(r.base_score for r in got if held(r.doc_id))
     empty, rest = op3_lm_scoring.train(none)
     assert op3_lm_scoring.scored(none, empty, rest).count() == 0
 
