@@ -31,7 +31,7 @@ from ._store import Bloom, Counts, bucket_bits, buckets, merged, pack, removed,
 
 U64 = np.uint64
 ORDER, BASE, TAU = 2, 1.5, 30.0
-FILTER_BYTES, HEAD_WORDS, ENTRY_BITS, LEVELS = 1 << 26, 4_000_000, 9.0, 64
+FILTER_BYTES, HEAD_WORDS, ENTRY_BITS, LEVELS = 1 << 23, 2_000_000, 9.0, 64
 CHUNK = 1 << 24
 _END, _START = U64(0x6A09E667F3BCC909), U64(0xBB67AE8584CAA73B)
 _STEP, _KIND = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
