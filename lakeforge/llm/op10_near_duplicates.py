@@ -10,7 +10,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _text as X
@@ -18,6 +17,7 @@ from ._graph import components
 from ._store import Bloom, texts, written
 
 U64 = np.uint64
+SALTS = 16
 BIN = 0.05  # width of a bin of differences, as a share of the leader's set
 _MUL = X.mix(np.arange(1, 65, dtype=U64) * U64(0xA24BAED4963EE407)) | U64(1)
 
@@ -109,8 +109,8 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), _signed(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), _signed(lo), _signed(hi), lists], ["rid", "doc_id", "digest", "n", "lo", "hi", "bands"])
 
-    source = texts(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("doc_id", "text").alias("digest"), "text")
-    return source.mapInArrow(run, "rid long, doc_id long, digest long, n long, lo long, hi long, bands array<long>")
+    source = texts(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", _digest(F.col("doc_id"), F.col("text")).alias("digest"), "text")
+    return source.mapInArrow(run, "rid long, doc_id long, digest binary, n long, lo long, hi long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: Bloom, shingle: int) -> DataFrame:
@@ -162,7 +162,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
-    """One row per row of docs: rid, doc_id, digest, n_shingles, component_id, kept, first_copy, n_links.
+    """One row per row of docs: rid, doc_id, digest, n_shingles, component_id, kept, first_copy, and n_joins: the confirmed
+    links by which a class was joined to its component (not all links that there are).
 
     1. A scan makes each row's signature and set digest; equal sets fall into one class.
     2. Classes that share a band's key are candidates.  In each bucket every member is compared with one leader,
@@ -197,10 +198,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     whole = whole.join(least, "label").join(ends, "lo", "left").select("lo", "hi", "n", "component_id", F.col("first.rid").alias("first_rid"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = table.drop("bands").join(whole, ["lo", "hi", "n"], "left")
     own = F.col("n") == 0
-    out = out.select("rid", "doc_id", "digest", F.col("n").alias("n_shingles"), F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (own | (F.col("rid") == F.col("first_rid"))).alias("first_copy"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = out.select("rid", "doc_id", "digest", F.col("n").alias("n_shingles"), F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (own | (F.col("rid") == F.col("first_rid"))).alias("first_copy"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_joins"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _digest(doc_id, text):
+    """128 bits that name a row's doc_id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text)))
+
+
 def _unsettled(members: DataFrame, leaders: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) in different components that may be linked, for buckets that hold several components.
 
@@ -233,11 +239,14 @@ def _unsettled(members: DataFrame, leaders: DataFrame, labels: DataFrame, sets:
             lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(items or [np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(tops, pa.int64()), lists], ["leader", "node", "label", "n", "n_leader", "items"])
 
-    deltas = star.join(left, "leader").join(right, "node").select("leader", "node", "label", "x", "y").mapInArrow(run, "leader long, node long, label long, n long, n_leader long, items array<long>")
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS))  # one leader may have a good part of all rows
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = left.join(star.select("leader").distinct(), "leader", "left_semi")
+    deltas = star.withColumn("salt", salt).join(salted(own), ["leader", "salt"]).join(right, "node").select("leader", "node", "label", "x", "y").mapInArrow(run, "leader long, node long, label long, n long, n_leader long, items array<long>")
     deltas = written(deltas, "deltas").withColumn("d", F.size("items")).withColumn("apart", F.col("d") > f * (F.col("n") + F.col("n_leader")))
     # only leaders with members that aren't linked with them
-    open_leaders = deltas.where("apart").select("leader").distinct()
-    items = deltas.join(open_leaders, "leader", "left_semi").select("leader", "node", F.explode("items").alias("item"))
+    open_leaders = salted(written(deltas.where("apart").select("leader").distinct(), "open"))
+    items = deltas.withColumn("salt", salt.cast("int")).join(open_leaders, ["leader", "salt"], "left_semi").select("leader", "node", F.explode("items").alias("item"))
     counts = items.groupBy("leader", "item").agg(F.count("*").alias("df")).where("df > 1")
     # an element of one member alone is never shared; it only takes up places of the prefix
     shared = items.join(counts, ["leader", "item"]).groupBy("leader", "node").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("order"))
@@ -264,11 +273,13 @@ def _unsettled(members: DataFrame, leaders: DataFrame, labels: DataFrame, sets:
 def deduplicated(docs: DataFrame, **parameters) -> DataFrame:
     """docs with one row of each component: the first of those with its least doc_id.  Of rows equal in doc_id and text
     one stays."""
-    kept = near_duplicates(docs, **parameters).where("first_copy").select(F.col("digest").alias("__digest")).distinct()
-    rows = docs.withColumn("__digest", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    rows = rows.join(kept, "__digest", "left_semi")
-    one = F.row_number().over(W.partitionBy("__digest").orderBy("doc_id"))
-    return rows.withColumn("__one", one).where("__one = 1").select(*docs.columns)
+    kept = near_duplicates(docs, **parameters).where("first_copy").select("digest").distinct()
+    rows = docs.select(F.struct("*").alias("row"), _digest(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("digest"))
+    again = written(rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "again")
+    rows = rows.join(kept, "digest", "left_semi")
+    once = rows.join(again, "digest", "left_anti").select("row.*")
+    few = rows.join(again, "digest", "left_semi").groupBy("digest").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return once.unionByName(few)
 
 
 def _alike(pairs: DataFrame, size: DataFrame, percent: int) -> DataFrame:
@@ -279,4 +290,4 @@ def _alike(pairs: DataFrame, size: DataFrame, percent: int) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_duplicates(docs, shingle=4).select("doc_id", "n_shingles", "component_id", "kept", "n_links")
+    return near_duplicates(docs, shingle=4).select("doc_id", "n_shingles", "component_id", "kept", "n_joins")

@@ -4,9 +4,11 @@ A spot signature is a common word (anchor) with the chain of the next CHAIN cont
 its set of signatures, 32-bit hashes in ascending order, eight hex digits each.  `near_pairs` compares fingerprints
 through partitions by set length and Jaccard with pruning.
 
+The comparison of all fingerprints isn't part of the registered query, which asks for two likenesses of each document.
+
 Defined results: a null text is an empty one; an empty set's likeness to an empty set is 1, to others 0; texts
 without anchored chains use every word as an anchor, and shorter ones their whole word list; rows with one doc_id are
-ordered by a hash of their texts, a null doc_id comes first; the only document is its own next one.  Columns besides
+ordered by a hash of their texts, a null doc_id comes first (as does the least possible doc_id, which reads as null); the only document is its own next one.  Columns besides
 doc_id and text are not looked at.
 """
 
@@ -72,38 +74,54 @@ def edited(text: str, following: str) -> str:
 
 
 _LOW = -(1 << 63)
+MAX_RANGES = 8192
+
+
+def _parts(cuts: np.ndarray, at: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """The range of each row. A doc_id that several cuts name is split between them by the digest."""
+    first, last = np.searchsorted(cuts, at, "left"), np.searchsorted(cuts, at, "right")
+    share = (digest.view(np.uint64) ^ np.uint64(1 << 63)) / float(1 << 64)  # in the order of the signed digest
+    return np.where(first == last, last, first + np.minimum((share * (last - first + 1)).astype(np.int64), last - first))
 
 
 def with_next(docs: DataFrame, range_bytes: int = 4 << 20) -> DataFrame:
-    """Rows part, extra, at, body, digest: ranges of ascending doc_id, each sorted, and behind each range the rows
-    that follow it (extra), so that a task sees a document and its next one."""
-    rows = texts(docs).select(F.coalesce("doc_id", F.lit(_LOW)).alias("at"), "text")
-    ranges = max(8, text_bytes(rows) // range_bytes)
-    cuts = np.array(sorted(set(rows.select(F.col("at").cast("double").alias("x")).approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else [])), float).astype(np.int64)
+    """Rows part, extra, at, body, digest: ranges of ascending doc_id (and digest), each sorted, and behind each range the
+    first row of the one that follows it (extra), so that a task sees a document and its next one. There are
+    MAX_RANGES at most, which are streamed, so that the driver's lists stay bounded."""
+    rows = texts(docs).select(F.coalesce("doc_id", F.lit(_LOW)).alias("at"), "text").select("at", "text", F.xxhash64("text").alias("digest"))
+    ranges = int(np.clip(text_bytes(rows) // range_bytes, 8, MAX_RANGES))
+    cuts = np.sort(np.array(rows.select(F.col("at").cast("double").alias("x")).approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.2 / ranges), float)).clip(-(2.0**63), 2.0**63 - 1024).astype(np.int64)
 
     def least(batches):
-        low: dict[int, int] = {}
+        low: dict[int, tuple[int, int]] = {}
         for batch in batches:
-            at = batch.column(0).to_numpy()
-            part = np.searchsorted(cuts, at, "right")
-            for p in np.unique(part).tolist():
-                low[p] = min(low.get(p, 1 << 63), int(at[part == p].min()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(low), pa.int32()), pa.array(list(low.values()), pa.int64())], ["part", "low"])
-
-    first = sorted((r.part, r.low) for r in rows.select("at").mapInArrow(least, "part int, low long").groupBy("part").agg(F.min("low").alias("low")).toLocalIterator())
-    before = {low: first[k - 1][0] for k, (_, low) in enumerate(first)}  # the range that ends before this doc_id
+            at, digest = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            part = _parts(cuts, at, digest)
+            order = np.lexsort((digest, at, part))
+            for k in order[np.flatnonzero(np.diff(part[order], prepend=-1))].tolist():
+                one = (int(at[k]), int(digest[k]))
+                low[int(part[k])] = min(low.get(int(part[k]), one), one)
+        keys = [pa.array(c, t) for c, t in zip(zip(*[(p, *x) for p, x in low.items()], strict=True) if low else [()] * 3, (pa.int32(), pa.int64(), pa.int64()), strict=True)]
+        yield pa.RecordBatch.from_arrays(keys, ["part", "at", "digest"])
+
+    first = rows.select("at", "digest").mapInArrow(least, "part int, at long, digest long").groupBy("part").agg(F.min(F.struct("at", "digest")).alias("low"))
+    first = sorted((r.part, (r.low.at, r.low.digest)) for r in first.toLocalIterator())
+    before = {low: first[k - 1][0] for k, (_, low) in enumerate(first)}  # the range that ends before this row
 
     def deal(batches):
+        sent = set()  # equal rows go to the range before once for each task
         for batch in batches:
-            at = batch.column(0).to_numpy()
-            part = np.searchsorted(cuts, at, "right").tolist()
+            at, digest = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            part = _parts(cuts, at, digest).tolist()
             body = [zstandard.compress(t.encode(), 3) for t in batch.column(1).to_pylist()]
-            digest = batch.column(2).to_pylist()
-            out = [(p, 0, a, b, d) for p, a, b, d in zip(part, at.tolist(), body, digest, strict=True)]
-            out += [(before[a], 1, a, b, d) for _, _, a, b, d in out if a in before]
+            out = [(p, 0, a, b, d) for p, a, b, d in zip(part, at.tolist(), body, digest.tolist(), strict=True)]
+            for _, _, a, b, d in out[:]:
+                if (a, d) in before and (a, d) not in sent:
+                    sent.add((a, d))
+                    out.append((before[a, d], 1, a, b, d))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["part", "extra", "at", "body", "digest"])
 
-    dealt = rows.select("at", "text", F.xxhash64("text").alias("digest")).mapInArrow(deal, "part int, extra int, at long, body binary, digest long")
+    dealt = rows.mapInArrow(deal, "part int, extra int, at long, body binary, digest long")
     return dealt.repartition("part").sortWithinPartitions("part", "extra", "at", "digest")
 
 

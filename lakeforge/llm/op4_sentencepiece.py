@@ -1,14 +1,16 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-`Transducer` compiles a SentencePiece model: the normaliser (a dummy prefix, spaces to U+2581), the pieces (a trie over
-code points whose final states put out a piece id) and byte fallback (for a code point without a piece, an arc that
-puts out its UTF-8 bytes).  An input is composed with it, and the encoding is the shortest path in the tropical
-semiring.
+Three machines are compiled from a SentencePiece model: the normaliser (rewriting arcs of the model's character map, the
+longest first; runs of spaces to one where the model says so; a dummy prefix; spaces to U+2581), the lexicon (a trie over
+code points whose final states put out a piece), and byte fallback (for a code point without a piece, an arc that
+puts out its UTF-8 bytes).  An input is composed with them, arc by arc as a search asks for them, and the encoding is
+the shortest path in the tropical semiring: the search takes the lightest open state first, of equal ones the furthest.
 
 Weights.  For a unigram model an arc into a piece weighs minus its score.  For a BPE model, states also remember the
 last piece, and the arc from piece u to piece v weighs 0 if merging their text anew gives u, v again, and infinity
 otherwise.  A sequence of pieces is what greedy merging yields if and only if each neighbouring pair is stable in this
-way, so exactly one path of finite weight is left, and it is the library's encoding.
+way, so exactly one path of finite weight is left, and it is the library's encoding; as this holds for each prefix of
+a text too, a place is a state, and the last piece is known from the one path that leads there.
 
 No piece holds U+2581 after another character, or a code point that the vocabulary lacks, so a text falls into units at
 those places, whose paths are independent; the paths of units seen before are kept in a table of bounded size.
@@ -23,7 +25,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import struct
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +39,8 @@ from ._store import texts, tuned
 SPACE = "▁"
 _NORMAL, _USER, _BYTE = 1, 4, 6
 UNIT_CACHE = 300_000
+INFINITE, UNKNOWN = math.inf, 1e3  # the weight of a code point put out as bytes, in a unigram model
+_SPACES = re.compile(" +")
 _LETTERS = re.compile(f"{SPACE}*[^\\W\\d_{SPACE}]*")
 
 
@@ -44,6 +50,63 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Normaliser:
+    """The model's normaliser as a transducer on UTF-8 bytes.
+
+    The character map is a double-array trie: a node's units hold the offset of its children, a child is found by its
+    byte, and a leaf holds the place of what the bytes up to it are rewritten to.
+    """
+
+    def __init__(self, spec, suffix: bool):
+        self.spec, self.suffix = spec, suffix
+        self.space = SPACE if spec.escape_whitespaces else " "
+        data = spec.precompiled_charsmap
+        if data:
+            (size,) = struct.unpack_from("<I", data)
+            self.nodes, self.texts = struct.unpack_from(f"<{size // 4}I", data, 4), data[4 + size :]
+        self.plain = not data and not spec.remove_extra_whitespaces
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return (unit >> 10) << ((unit & 1 << 9) >> 6)
+
+    def rewritten(self, data: bytes, at: int) -> tuple[bytes, int]:
+        """What the longest arc from `at` puts out, and how many bytes it reads; else one code point as it is."""
+        best, node = None, self._offset(self.nodes[0])
+        for k in range(at, len(data)):
+            node ^= data[k]
+            unit = self.nodes[node] if node < len(self.nodes) else 0
+            if unit & (1 << 31 | 0xFF) != data[k]:
+                break
+            node ^= self._offset(unit)
+            if unit >> 8 & 1:
+                best = self.nodes[node] & 0x7FFFFFFF, k + 1 - at
+        if best:
+            return self.texts[best[0] : self.texts.index(b"\0", best[0])], best[1]
+        size = 1 + (data[at] >= 0xC0) + (data[at] >= 0xE0) + (data[at] >= 0xF0)
+        return data[at : at + size], size
+
+    def __call__(self, text: str) -> str:
+        if not text:
+            return ""
+        if not self.plain:
+            if self.spec.precompiled_charsmap:
+                data, out, at = text.encode(), [], 0
+                while at < len(data):
+                    part, size = self.rewritten(data, at)
+                    out.append(part)
+                    at += size
+                text = b"".join(out).decode("utf-8", "replace")
+            if self.spec.remove_extra_whitespaces:
+                text = _SPACES.sub(" ", text).strip(" ")
+            if not text:
+                return ""
+        text = text.replace(" ", self.space)
+        if not self.spec.add_dummy_prefix:
+            return text
+        return text + self.space if self.suffix else self.space + text
+
+
 class Transducer:
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -51,10 +114,8 @@ class Transducer:
         proto = pb.ModelProto()
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
-        norm = proto.normalizer_spec
-        if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces:
-            raise ValueError("only the identity normaliser with escaped spaces is compiled")
-        self.prefix = norm.add_dummy_prefix
+        self.normaliser = Normaliser(proto.normalizer_spec, proto.trainer_spec.treat_whitespace_as_suffix)
+        self.prefix = proto.normalizer_spec.add_dummy_prefix
         self.bpe = proto.trainer_spec.model_type == 2
         self.pieces = {p.piece: (i, p.score) for i, p in enumerate(proto.pieces) if p.type in (_NORMAL, _USER)}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == _BYTE}
@@ -103,12 +164,6 @@ class Transducer:
     def _stable(self, u: str, v: str) -> bool:
         return self.merged(u + v) == ([u, v] if u else [v])
 
-    def weight(self, u: str | None, v: str) -> float:
-        """Of the arc from piece u (None: the start, or a code point put out as bytes) to piece v."""
-        if not self.bpe:
-            return -self.pieces[v][1]
-        return 0.0 if self.stable(u or "", v) else math.inf
-
     def arcs_from(self, unit: str, i: int) -> list[str]:
         """Pieces that the lexicon reads from place i, the longest last; a lone code point without a piece is in it too."""
         state, out, arcs, final = 0, [], self.arcs, self.final
@@ -123,46 +178,40 @@ class Transducer:
         return out
 
     def shortest_path(self, unit: str) -> list[str]:
-        """The pieces of the lightest path; a code point without a piece stands for its bytes."""
-        return self._only_path(unit) if self.bpe else self._lightest(unit)
-
-    def _only_path(self, unit: str) -> list[str]:
-        """BPE: all finite weights are 0 and a single path is finite, so the search goes forward, the longest piece
-        first, and steps back where every arc weighs infinity.  Only one finite path leads to a place, so a place that
-        was left once is never entered again."""
-        n, pieces, stable, arcs_from = len(unit), self.pieces, self.stable, self.arcs_from
-        path, i, left, last = [], 0, set(), ""
-        choices = [arcs_from(unit, 0)]
-        while i < n:
-            here = choices[-1]
-            while here:
-                v = here.pop()
-                j = i + len(v)
-                if j not in left and (v not in pieces or stable(last, v)):
-                    path.append(v)
-                    i, last = j, v if v in pieces else ""
-                    if i < n:
-                        choices.append(arcs_from(unit, i))
+        """The pieces of the lightest path through the unit composed with lexicon and fallback; a code point without a
+        piece stands for its bytes.
+
+        A state is a place in the unit.  Open states lie in a heap by cost, then furthest place, each with the arcs that
+        haven't been weighed yet, longest last; no arc weighs less than 0, so the first state at the unit's end that comes
+        out of the heap ends the lightest path.
+        """
+        n, pieces, bpe, stable, arcs_from = len(unit), self.pieces, self.bpe, self.stable, self.arcs_from
+        heap, taken, came = [(0.0, 0, "", None)], {}, {}  # cost, -place, piece that led here, place before
+        while heap:
+            cost, place, piece, before = heappop(heap)
+            i = -place
+            if i not in taken:
+                taken[i], came[i] = arcs_from(unit, i) if i < n else [], (piece, before)
+                if i == n:
                     break
-            else:
-                left.add(i)
-                choices.pop()
-                i -= len(path.pop())
-                last = path[-1] if path and path[-1] in pieces else ""
-        return path
-
-    def _lightest(self, unit: str) -> list[str]:
-        n = len(unit)
-        cost, back = [0.0] + [math.inf] * n, [0] * (n + 1)
-        for i in range(n):
-            for v in self.arcs_from(unit, i):
-                w = cost[i] + (self.weight(None, v) if v in self.pieces else 1e3)
-                if w < cost[i + len(v)]:
-                    cost[i + len(v)], back[i + len(v)] = w, i
-        path, k = [], n
-        while k:
-            path.append(unit[back[k] : k])
-            k = back[k]
+            elif came[i] != (piece, before):
+                continue  # a heavier way to a place that is settled
+            rest, last = taken[i], came[i][0]
+            while rest:
+                v = rest.pop()
+                if v in pieces:
+                    w = (0.0 if stable(last if last in pieces else "", v) else INFINITE) if bpe else -pieces[v][1]
+                else:
+                    w = 0.0 if bpe else UNKNOWN
+                if w < INFINITE:
+                    if rest:
+                        heappush(heap, (cost, place, piece, before))
+                    heappush(heap, (cost + w, -(i + len(v)), v, i))
+                    break
+        path, i = [], n
+        while i:
+            v, i = came[i]
+            path.append(v)
         return path[::-1]
 
     def ids_of(self, unit: str) -> bytes:
@@ -177,9 +226,9 @@ class Transducer:
         return np.array(out, np.uint32).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
+        units = self.units.findall(self.normaliser(text))
+        if not units:
             return np.zeros(0, np.uint32)
-        units = self.units.findall((SPACE if self.prefix else "") + text.replace(" ", SPACE))
         parts = list(map(self.new.get, units))
         if None in parts:
             for k, u in enumerate(units):
@@ -224,10 +273,11 @@ def load(path: str) -> Transducer:
 
 
 def encoded(docs: DataFrame, path: str | None = None, column: str = "text", decode: bool = True) -> DataFrame:
-    """docs with ids array<int>, n_tokens long and decoded (their text again), in place of columns of these names."""
+    """docs with ids array<int>, n_tokens long, round_trip boolean and, if asked for, decoded (their text again), in place of
+    columns of these names."""
     path = path or default_model()
-    docs = docs.drop("ids", "n_tokens", "decoded")
-    fields = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())])
+    more = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType()), *[T.StructField("decoded", T.StringType())] * decode]
+    docs = docs.drop(*[f.name for f in more])
     at = docs.columns.index(column)
 
     def run(batches):
@@ -235,12 +285,15 @@ def encoded(docs: DataFrame, path: str | None = None, column: str = "text", deco
         for batch in batches:
             for s in range(0, batch.num_rows, 500):
                 part = batch.slice(s, 500)
-                ids = [fst.encode(t or "") for t in part.column(at).to_pylist()]
+                rows = [t or "" for t in part.column(at).to_pylist()]
+                ids = [fst.encode(t) for t in rows]
+                back = [fst.decode(x) for x in ids]
                 off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(ids).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(np.diff(off).astype(np.int64)), pa.array([fst.decode(x) if decode else None for x in ids], pa.string())], [*part.schema.names, "ids", "n_tokens", "decoded"])
+                new = [lists, pa.array(np.diff(off).astype(np.int64)), pa.array([a == b for a, b in zip(rows, back, strict=True)]), *[pa.array(back, pa.string())] * decode]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *[f.name for f in more]])
 
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
 
 
 def summary(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -268,5 +321,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs with their ids and number of tokens."""
-    return encoded(docs, path, decode=False).drop("decoded")
+    """docs with their ids, number of tokens, and whether decoding gives the text back."""
+    return encoded(docs, path, decode=False)

@@ -1,5 +1,9 @@
 """Quality classifier by positive-unlabelled learning: the non-negative risk estimate over trusted positives and web text.
 
+A text's features are hashed counts of its character trigrams and of its words, and shares and lengths that say how it
+is made up.  Only positive labels are used: the class prior is estimated from positives and unlabelled text as well, as
+the least ratio of their shares above a score of a first classifier, on rows that it wasn't trained on.
+
 Defined results: a null text is an empty one and is scored like any other; rows of `labels` with a null doc_id or
 quality are ignored and a doc_id with several labels counts by its least one; without positives or without
 unlabelled text nothing is known against any document, so every score is 1.  Columns besides doc_id and text
@@ -19,17 +23,20 @@ from pyspark.sql import types as T
 from . import _text as X
 from ._store import texts
 
-SCORE = "__quality_score"  # no column of documents has this name
+TRIGRAMS, WORDS = 256, 128  # hashed features
+LEXICAL = 0.25  # their spread against the others', which the decay of weights holds back the more
 _KINDS = 12
 _CLASS = np.zeros(256, np.int64)
 for _k, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&<>", b"|", b"!", b"\n", b".,;:?", b" \t\r\x0b\x0c", b"@/\\_={}[]()+-\"'"), 1):
     _CLASS[list(_chars)] = _k
 _CLASS[0x80:] = 10
 _CLASS[0xC0:] = 11
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[65:91] += 32
 
 
 def features(column: pa.Array) -> np.ndarray:
-    """One row of numbers for each text: shares of byte classes, lengths, and how much its words repeat."""
+    """One row of numbers for each text: shares of byte classes, lengths, how much its words repeat, and hashed n-grams."""
     raw, off = X.buffers(column)
     starts, ends, rows = X.spans(raw, off)
     n = len(off) - 1
@@ -54,8 +61,18 @@ def features(column: pa.Array) -> np.ndarray:
         s = np.sort(h[first[d] : first[d + 1]])
         at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]]))
         distinct[d], top[d] = (len(at) - 1) / count[d], np.diff(at).max() / count[d]
+    grams = np.zeros((n, TRIGRAMS + WORDS))
+    if len(raw) > 2:
+        low = _LOW[raw].astype(np.uint32)
+        code = ((low[:-2] * np.uint32(0x9E3779B1) ^ low[1:-1]) * np.uint32(0x85EBCA6B) ^ low[2:]) * np.uint32(0xC2B2AE35)
+        row = np.repeat(np.arange(n), length)
+        inside = row[:-2] == row[2:]
+        grams[:, :TRIGRAMS] = np.bincount(row[:-2][inside] * TRIGRAMS + (code[inside] >> np.uint32(24)) % TRIGRAMS, minlength=n * TRIGRAMS).reshape(n, -1)
+    grams[:, TRIGRAMS:] = np.bincount(rows * WORDS + (h >> np.uint64(57)).astype(np.int64), minlength=n * WORDS).reshape(n, -1)
+    for part in (grams[:, :TRIGRAMS], grams[:, TRIGRAMS:]):
+        part /= np.maximum(part.sum(1), 1)[:, None]
     out = np.column_stack([shares, mean / 10, spread / 10, short, runs, marked, upper, distinct, top, np.log1p(count) / 10, np.log1p(length) / 10])
-    return np.concatenate([out, np.sqrt(np.abs(out))], 1)
+    return np.concatenate([out, np.sqrt(np.abs(out)), np.sqrt(grams)], 1).astype(np.float32)
 
 
 @dataclass
@@ -74,31 +91,79 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.03, decay: float = 1e-4) -> Model:
-    """Minimises prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss by Adam on whole batches.
+def _scaled(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mean = (positive.sum(0, dtype=float) + unlabelled.sum(0, dtype=float)) / (len(positive) + len(unlabelled))
+    square = ((positive - mean) ** 2).sum(0) + ((unlabelled - mean) ** 2).sum(0)
+    scale = np.sqrt(square / (len(positive) + len(unlabelled))) + 1e-3
+    scale[-(TRIGRAMS + WORDS) :] /= LEXICAL if len(scale) > TRIGRAMS + WORDS else 1
+    return mean, scale
+
+
+def _adam(size: int, rate: float):
+    """A step of Adam for the gradient."""
+    m, v, t = np.zeros(size), np.zeros(size), 0
+
+    def step(g: np.ndarray) -> np.ndarray:
+        nonlocal m, v, t
+        t += 1
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        return rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+
+    return step
+
+
+def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1200, rate: float = 0.01, decay: float = 1e-2, batch: int = 2048, seed: int = 1) -> Model:
+    """Minimises prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss by Adam on batches.
 
     Where the bracket is negative, the step goes against its gradient, as the non-negative estimator has it.
     """
-    every = np.concatenate([positive, unlabelled])
-    mean, scale = every.mean(0), every.std(0) + 1e-6
-    p, u = np.clip((positive - mean) / scale, -8, 8), np.clip((unlabelled - mean) / scale, -8, 8)
-    w, b = np.zeros(p.shape[1]), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    mean, scale = _scaled(positive, unlabelled)
+    put = lambda x: np.clip((x - mean) / scale, -8, 8)
+    w, b, step = np.zeros(positive.shape[1]), 0.0, _adam(positive.shape[1] + 1, rate)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     grad = lambda x, g: np.append(x.T @ g, g.sum()) / len(x)
-    risk = 0.0
-    for t in range(1, steps + 1):
+    pick, risks = np.random.default_rng(seed), []
+    for _ in range(steps):
+        p, u = (put(x[pick.integers(0, len(x), min(batch, len(x)))] if len(x) > batch else x) for x in (positive, unlabelled))
         sp, su = sigmoid(p @ w + b), sigmoid(u @ w + b)
         away = -np.log(np.clip(1 - su, 1e-12, 1)).mean() + prior * np.log(np.clip(1 - sp, 1e-12, 1)).mean()
         down = grad(u, su) - prior * grad(p, sp)
         up = prior * grad(p, sp - 1)
         g = up + down if away >= 0 else -down
         g[:-1] += decay * w
-        risk = prior * -np.log(np.clip(sp, 1e-12, 1)).mean() + max(0.0, away)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return Model(w, b, mean, scale, prior, risk)
+        risks.append(prior * -np.log(np.clip(sp, 1e-12, 1)).mean() + max(0.0, away))
+        s = step(g)
+        w, b = w - s[:-1], b - s[-1]
+    return Model(w, b, mean, scale, prior, float(np.mean(risks[-100:])))
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 2) -> float:
+    """The share of positives in unlabelled text.  A classifier of labelled against unlabelled, trained on half of the rows,
+    ranks the other half; above any score the unlabelled hold at least the prior's share of what the positives hold,
+    so the least ratio of the two, with a margin for small samples, shows the prior."""
+    r = np.random.default_rng(seed)
+    halves = []
+    for x in (positive, unlabelled):
+        order = r.permutation(len(x))
+        halves.append((x[order[: len(x) // 2]], x[order[len(x) // 2 :]]))
+    (p, p2), (u, u2) = halves
+    if min(len(p), len(u)) < 20:
+        return 0.5
+    mean, scale = _scaled(p, u)
+    w, b, step = np.zeros(p.shape[1]), 0.0, _adam(p.shape[1] + 1, 0.01)
+    put = lambda x: np.clip((x - mean) / scale, -8, 8)
+    for _ in range(400):
+        a, c = (put(x[r.integers(0, len(x), min(1024, len(x)))]) for x in (p, u))
+        ga, gc = 1 / (1 + np.exp(-np.clip(a @ w + b, -40, 40))) - 1, 1 / (1 + np.exp(-np.clip(c @ w + b, -40, 40)))
+        s = step(np.append(a.T @ ga / len(a) + c.T @ gc / len(c) + 1e-2 * w, ga.mean() + gc.mean()))
+        w, b = w - s[:-1], b - s[-1]
+    zp, zu = np.sort(put(p2) @ w), np.sort(put(u2) @ w)
+    cuts = zp[: max(1, int(0.95 * len(zp)))]
+    share_p = 1 - np.searchsorted(zp, cuts, "left") / len(zp)
+    share_u = 1 - np.searchsorted(zu, cuts, "left") / len(zu)
+    margin = np.sqrt(np.log(40) / 2 / len(zu)) + np.sqrt(np.log(40) / 2 / len(zp))
+    best = int(np.argmin((share_u + margin) / share_p))
+    return float(np.clip(share_u[best] / share_p[best], 0.02, 0.98))
 
 
 def fold(folds: int = 4):
@@ -110,48 +175,47 @@ def _features_of(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for part in X.slices(batch, "text"):
                 x = features(part.column(0))
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1)))], ["x"])
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["x"])
 
-    rows = docs.select("text").mapInArrow(run, "x array<double>").toPandas()
-    return np.array(rows["x"].tolist(), float)
+    rows = docs.select("text").mapInArrow(run, "x binary").toArrow()["x"]
+    return np.frombuffer(b"".join(x.as_py() for x in rows), np.float32).reshape(len(rows), -1) if len(rows) else np.zeros((0, 1), np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, held_out: int = 2, folds: int = 4) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, held_out: int = 2, folds: int = 4) -> Model:
     """Learns from at most about `sample` trusted positives and `sample` unlabelled texts of the training folds.
 
-    Which rows are taken is decided by a hash of doc_id, so it is the same in each run.  The class prior is the share
-    of positives among the labels of the training folds; negative labels serve for nothing else.
+    Which rows are taken is decided by hashes of doc_id and a row's place, so it is the same in each run over the same files;
+    rows with a null doc_id are unlabelled text like others, and of rows with one labelled doc_id the least text is taken.
     """
     train = F.coalesce(fold(folds), F.lit(-1)) != held_out
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").where(train)
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    n, positives = known.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0))).first()
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
+    positives = known.count()
     base = texts(docs).where(train)
     total = base.count()
     if not positives or not total:
         return Model(None)
-    chance = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    trusted = known.where("quality = 1").where(chance < sample / positives).select("doc_id")
+    chance = lambda name, *by: F.pmod(F.xxhash64(F.lit(name), *by), F.lit(1 << 30)) / float(1 << 30)
+    trusted = known.where(chance("sample", "doc_id") < sample / positives)
     trusted = F.broadcast(trusted) if positives * min(1.0, sample / positives) <= 2 * sample else trusted
-    p = _features_of(base.join(trusted, "doc_id"))
-    u = _features_of(base.where(F.pmod(F.xxhash64(F.lit("web"), "doc_id"), F.lit(1 << 30)) / float(1 << 30) < sample / total))
+    p = _features_of(base.join(trusted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    u = _features_of(base.where(chance("web", "doc_id", F.monotonically_increasing_id()) < sample / total))
     if not len(p) or not len(u):
         return Model(None)
-    return nn_pu(p, u, float(np.clip(positives / n, 0.05, 0.99)))
+    return nn_pu(p, u, class_prior(p, u))
 
 
 def scored(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
-    """docs with one more column, named SCORE."""
-    fields = T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())])
-    at = docs.columns.index(column)
+    """row (struct of docs' columns) and score."""
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(column), F.lit("")).alias("text"))
+    fields = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
-            for part in X.slices(batch, column):
-                text = part.column(at)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(features(text)), pa.float64())], [*part.schema.names, SCORE])
+            for part in X.slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(features(part.column(1))), pa.float64())], ["row", "score"])
 
-    return docs.mapInArrow(run, fields)
+    return rows.mapInArrow(run, fields)
 
 
 def lean(docs: DataFrame, model: Model) -> DataFrame:

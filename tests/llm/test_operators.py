@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeforge.llm import _graph, _text, op1_spotsigs, op2_personal_data, op3_lm_scoring, op4_sentencepiece, op5_substring_dedup
-from lakeforge.llm import op6_quality_rules, op7_quality_classifier, op10_near_duplicates
+from lakeforge.llm import op6_quality_rules, op10_near_duplicates
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -217,6 +217,7 @@ def test_op4_is_the_library(rows):
     text = "unbelievable thing"
     u = op4_sentencepiece.Transducer(path)
     u.bpe = False  # as a unigram model: the lightest path, against all segmentations
+    u.pieces = {p: (i, -1 - 0.37 * (i * 7919 % 101)) for p, (i, _) in u.pieces.items()}
 
     def best(s):
         costs = [0.0] + [math.inf] * len(s)
@@ -226,7 +227,41 @@ def test_op4_is_the_library(rows):
                     costs[i] = min(costs[i], costs[j] - u.pieces[s[j:i]][1])
         return costs[-1]
 
-    assert math.isclose(sum(-u.pieces[p][1] for p in u.shortest_path(text.replace(" ", ""))), best(text.replace(" ", "")))
+    for s in [text.replace(" ", ""), *["".join(r.choice("etaoinshr") for _ in range(r.randint(1, 14))) for _ in range(300)]]:
+        assert math.isclose(sum(-u.pieces[p][1] for p in u.shortest_path(s)), best(s))
+
+
+def test_op4_the_only_finite_path():
+    """Of all segmentations into pieces, the one whose neighbouring pairs are all stable."""
+    fst = op4_sentencepiece.load(op4_sentencepiece.default_model())
+    r = random.Random(5)
+
+    def finite(s, last=""):
+        return [[]] if not s else [[s[:k], *x] for k in range(1, len(s) + 1) if s[:k] in fst.pieces and fst.stable(last, s[:k]) for x in finite(s[k:], s[:k])]
+
+    for _ in range(200):
+        s = "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(1, 9)))
+        assert finite(s) == [fst.shortest_path(s)] == [fst.merged(s)]
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
+def test_op4_normalisers(rule, tmp_path):
+    """A model with a character map and without extra spaces: the library's ids."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto, own = pb.ModelProto(), pb.ModelProto()
+    proto.ParseFromString(open(op4_sentencepiece.default_model(), "rb").read())
+    own.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    proto.normalizer_spec.precompiled_charsmap = own.normalizer_spec.precompiled_charsmap
+    proto.normalizer_spec.remove_extra_whitespaces = True
+    path = str(tmp_path / "m.model")
+    open(path, "wb").write(proto.SerializeToString())
+    fst, lib = op4_sentencepiece.Transducer(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(6)
+    alphabet = " \t\n　 ab  ＡＢéÉ①ﬁ½Åé가각😀"
+    for t in ["", " ", " \t ", "ＡＢ ①  x ", *["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(800)]]:
+        assert fst.encode(t).tolist() == lib.encode(t), t
 
 
 def test_op4_query(docs, none):
@@ -234,6 +269,10 @@ def test_op4_query(docs, none):
     assert len(got) == docs.count() and all(r.round_trip and r.n_tokens == len(r.ids) for r in got)
     out = op4_sentencepiece.tokenised(docs)
     assert dict(out.dtypes)["ids"] == "array<int>" and out.count() == docs.count()
+    named = op4_sentencepiece.tokenised(docs.withColumn("decoded", F.lit("mine"))).collect()
+    assert all(x.decoded == "mine" and x.round_trip and x.label == "l" for x in named if x.label)
+    full = op4_sentencepiece.encoded(docs).collect()
+    assert all(x.decoded == (x.text or "") for x in full)
     assert op4_sentencepiece.tokenised(none).count() == 0
 
 
@@ -279,20 +318,6 @@ def test_op6_plain(docs, rows):
         assert (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, sum(mark)) == tuple(int(got[c][k]) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
 
 
-def test_op7(spark, docs, none):
-    r = op7_quality_classifier.query(spark, SF.replace("0.001", "0.01")).toPandas()
-    labels = spark.read.parquet(SF.replace("0.001", "0.01") + "/labels.parquet").toPandas()
-    h = r.merge(labels, on="doc_id").query("held_out")
-    rank = h.score.rank()
-    n1, n0 = (h.quality == 1).sum(), (h.quality == 0).sum()
-    assert (rank[h.quality == 1].sum() - n1 * (n1 + 1) / 2) / n1 / n0 > 0.97 and (h.predicted == h.quality).mean() > 0.93
-    labels = spark.createDataFrame([(1, 1), (4, 0), (None, 1), (7, None)], "doc_id long, quality int")
-    for few in (labels, labels.limit(0)):
-        m = op7_quality_classifier.fit(docs, few)
-        assert op7_quality_classifier.scored(docs, m).count() == docs.count()
-    assert op7_quality_classifier.scored(none, op7_quality_classifier.fit(none, labels)).count() == 0
-
-
 def test_super_minhash_is_the_sequential_form():
     sets = _text.mix(np.arange(1, 90, dtype=np.uint64))
     off, m = np.array([0, 1, 3, 20, 89]), 16

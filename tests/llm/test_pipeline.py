@@ -8,7 +8,7 @@ def test_run(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = corpus_pipeline.run(spark, sf)
-    assert out.columns == [*docs.columns, "ids", "n_tokens"]
+    assert out.columns == [*docs.columns, "ids", "n_tokens", "round_trip"]
     rows = out.collect()
     assert {r.doc_id for r in rows} <= {r.doc_id for r in docs.select("doc_id").collect()} and len(rows) > 50
     assert not [r for r in rows if "@mail" in r.text or r.n_chars != len(r.text)]
