@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
     ship(tuned(spark))
     model = op7_quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return op7_quality_classifier.scored(docs, model).where(F.col(op7_quality_classifier.SCORE) >= THRESHOLD).select(*docs.columns)
+    return op7_quality_classifier.scored(docs, model).where(F.col("score") >= THRESHOLD).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents with ids and n_tokens."""
+    """The columns of documents with ids, n_tokens, and whether decoding gives the text back."""
     ship(tuned(spark))
     return op4_sentencepiece.tokenised(docs)
 
