@@ -86,8 +86,8 @@ def on_cycles(edges: DataFrame) -> DataFrame:
     while size:
         trimmed = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
         trimmed = cut_lineage(trimmed, "cycle-edges")
-        if (new := trimmed.count()) < size:
-            left, size = trimmed, new
+        left, before, size = trimmed, size, trimmed.count()
+        if size < 0.9 * before or not size:
             continue
         nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
         color = _spread(nodes.withColumn("label", F.col("node")), left, F.max)

@@ -292,12 +292,11 @@ def tree_levels(spark, sf_dir):
     return G.heights(down.select(F.col("a").cast("string").alias("function_id"), F.col("b").cast("string").alias("child")), 20)
 
 
-@query(f"WITH RECURSIVE {_EDGES}, r(a, b) AS (SELECT a, b FROM e WHERE a < 400 AND b < 400 UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b WHERE e.b < 400) SELECT DISTINCT CAST(a AS VARCHAR) AS id FROM r WHERE a = b")
+@query(f"WITH RECURSIVE {_EDGES}, r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT DISTINCT CAST(a AS VARCHAR) AS id FROM r WHERE a = b")
 def cycle_members(spark, sf_dir):
-    """What reaches itself, among the first nodes of the same graph."""
+    """What reaches itself in the same graph."""
     down, up = _tree(spark, sf_dir)
-    e = down.union(up).where("a < 400 and b < 400")
-    return G.on_cycles(e.select(F.col("a").cast("string").alias("function_id"), F.col("b").cast("string").alias("child")))
+    return G.on_cycles(down.union(up).select(F.col("a").cast("string").alias("function_id"), F.col("b").cast("string").alias("child")))
 
 
 _REPLY = "concat(CASE WHEN p_size % 4 = 0 THEN 'O K' WHEN p_size % 4 = 1 THEN concat('ok ', p_size) WHEN p_size % 4 = 2 THEN 'NOT OK' ELSE p_name END, CASE WHEN p_size % 3 = 0 THEN ', all good' ELSE '' END)"
