@@ -72,8 +72,45 @@ def best_of(best, a: str, b: str) -> Column:
     return (F.greatest if best is F.max else F.least)(F.col(a), F.coalesce(b, a)).alias("new")
 
 
-def on_cycles(edges: DataFrame) -> DataFrame:
-    """id of every node of edges(function_id, child) that reaches itself.
+def _members(edges: list[tuple[str, str]]) -> list[str]:
+    """The nodes on cycles: strong components of two nodes or more, and loops (Tarjan, with a stack of its own)."""
+    out: dict[str, list[str]] = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+    number, low, held, on, found = {}, {}, [], set(), {a for a, b in edges if a == b}
+    for root in out:
+        if root in number:
+            continue
+        work = [(root, iter(out[root]))]
+        number[root] = low[root] = len(number)
+        held.append(root)
+        on.add(root)
+        while work:
+            node, rest = work[-1]
+            child = next(rest, None)
+            if child is None:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == number[node]:
+                    own = []
+                    while not own or own[-1] != node:
+                        own.append(held.pop())
+                    on.difference_update(own)
+                    found.update(own if len(own) > 1 else ())
+            elif child not in number:
+                number[child] = low[child] = len(number)
+                held.append(child)
+                on.add(child)
+                work.append((child, iter(out.get(child, ()))))
+            elif child in on:
+                low[node] = min(low[node], number[child])
+    return sorted(found)
+
+
+def on_cycles(edges: DataFrame, small: int = 200_000) -> DataFrame:
+    """id of every node of edges(function_id, child) that reaches itself. Up to `small` edges are searched on the driver,
+    which spares a job for each step; beyond, the search is one of joins, with the same result.
 
     Nodes without a way in or out are trimmed; of the rest, a node's label is the greatest node that reaches it, and
     the nodes from which the label's own node can be reached with the same label are its cycle's. Those go, and the search
@@ -83,6 +120,8 @@ def on_cycles(edges: DataFrame) -> DataFrame:
     found = left.select(F.col("a").alias("id")).limit(0)
     loops = left.where("a = b").select(F.col("a").alias("id"))
     size = left.count()
+    if size <= small:
+        return edges.sparkSession.createDataFrame([(x,) for x in _members([(r.a, r.b) for r in left.collect()])], found.schema)
     while size:
         trimmed = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
         trimmed = cut_lineage(trimmed, "cycle-edges")
