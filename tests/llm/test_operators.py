@@ -134,6 +134,50 @@ def test_op2_terms_far_from_the_entity(spark):
     assert sum(clean[i] == t for i, t in rows[:100]) == 100
 
 
+def plain_disclosing(rows):
+    """(rank, level, entity, term, remove) of the pairs that reach the threshold, by plain counting of distinct rows."""
+    held, words = {}, {}
+    for i, t in {(i, t or "") for i, t in rows}:
+        masked, own = list(t), set()
+        for s, k, e in spans(t):
+            v, digits = t[s:e].lower(), re.sub("[^0-9]", "", t[s:e])
+            own |= {(k, "value", v), (k, "group", (v.partition("@")[2], ".".join(v.split(".")[:2]), digits[:6], digits[:4])[k]), (k, "kind", None)}
+            masked[s:e] = " " * (e - s)
+        low = lambda x: set(re.findall(r"[^\W_]+", x.lower()))
+        held[i, t], words[i, t] = (own, low("".join(masked))), low(t)
+    n, nt = len(held), collections.Counter(w for x in words.values() for w in x)
+    nc = collections.Counter(c for own, _ in held.values() for c in own)
+    both = collections.Counter((c, w) for own, ws in held.values() for c in own for w in ws)
+    out = set()
+    for (c, w), k in both.items():
+        ic, pmi = math.log(n / nc[c]), math.log(n * k / nc[c] / nt[w])
+        if k >= op2_personal_data.SUPPORT and ic > 0 and pmi >= op2_personal_data.ALPHA * ic and k * pmi >= op2_personal_data.EVIDENCE:
+            out.add((*c, w, pmi >= ic - 1e-9))
+    return out
+
+
+def test_op2_is_plain_counting(spark):
+    """Repeated rows count once, far terms count, groups and kinds are entities, very long texts are read to the end."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(3))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    rows = [(k, prose(50)) for k in range(300)]
+    rows += [(1000 + k, f"Heading Zorblax {prose(60)} {word()}.{k}@one.example.org {prose(3)}") for k in range(9)]
+    rows += [(2000 + k, f"quux {prose(20)} 10.7.{k}.{k + 1} {prose(20)} corge call +44 20 7946 09{k}{k}") for k in range(5)]
+    rows += [(3000, "long " + prose(60_000) + " grault one@two.org"), (3001, "grault one@two.org"), (3002, "one@two.org grault"), (None, None), (3003, "")]
+    every = rows + [rows[300]] * 40 + [rows[310]] * 3
+    df = spark.createDataFrame(every, "doc_id long, text string").repartition(6)
+    got = {tuple(x) for x in op2_personal_data.disclosing(df, op2_personal_data.found(df)).collect()}
+    want = plain_disclosing(rows)
+    assert {w for *_, w, _ in want} >= {"zorblax", "heading", "quux", "corge", "grault"} and {x[1] for x in want} >= {"group", "value"}
+    hashed = spark.createDataFrame(sorted(want, key=str), "rank int, level string, entity string, term string, remove boolean")
+    entity = F.when(F.col("level") == "kind", F.xxhash64("rank", "level")).otherwise(F.xxhash64("rank", "level", "entity"))
+    assert got == {tuple(x) for x in hashed.select(entity, F.xxhash64("term"), "remove").collect()}
+    clean = op2_personal_data.sanitised(df).collect()
+    long = next(x.text for x in clean if x.doc_id == 3000)
+    assert len(clean) == len(every) and "grault" not in long and long.endswith("<EMAIL>") and len({x.text for x in clean if x.doc_id == 1000}) == 1
+
+
 def test_op3(spark, docs, rows, none, monkeypatch):
     monkeypatch.setattr(op3_lm_scoring, "ENTRY_BITS", 60.0)  # a filter with hardly any chance hits
     model, tail = op3_lm_scoring.train(docs.where(~op3_lm_scoring.held_out()), head_words=50)

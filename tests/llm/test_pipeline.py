@@ -26,3 +26,14 @@ def test_stages_keep_columns_and_take_odd_rows(spark):
 
 def test_registered():
     assert [int(n[2:].split("_")[0]) for n in queries()] == list(range(1, 11))
+
+
+def test_stages_allow_any_other_names(spark):
+    """Columns named like the stages' own."""
+    names = "row, times, digest, score, key, size, spans, base, text2, own, class, terms, salt, copies, decoded".split(", ")
+    rows = [(k, f"some words {k} of text a{k}@b{k}.org", "en", "ab"[k % 2], 9, *names) for k in range(8)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        assert all([r[n] for n in names] == names for r in out.collect()), name
