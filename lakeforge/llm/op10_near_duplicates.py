@@ -240,7 +240,8 @@ def _unsettled(members: DataFrame, leaders: DataFrame, labels: DataFrame, sets:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(tops, pa.int64()), lists], ["leader", "node", "label", "n", "n_leader", "items"])
 
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS))  # one leader may have a good part of all rows
-    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # their repeats aren't seen in the estimate of a table's size, so they are never broadcast
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     own = left.join(star.select("leader").distinct(), "leader", "left_semi")
     deltas = star.withColumn("salt", salt).join(salted(own), ["leader", "salt"]).join(right, "node").select("leader", "node", "label", "x", "y").mapInArrow(run, "leader long, node long, label long, n long, n_leader long, items array<long>")
     deltas = written(deltas, "deltas").withColumn("d", F.size("items")).withColumn("apart", F.col("d") > f * (F.col("n") + F.col("n_leader")))
