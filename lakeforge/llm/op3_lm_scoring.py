@@ -18,6 +18,7 @@ looked at.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -224,10 +225,36 @@ def train(docs: DataFrame, order: int = ORDER, filter_bytes: int = FILTER_BYTES,
 _ROWS = ["rid", "doc_id", "n_tokens", "n_known", "base", "score", "rest"]
 
 
-def _chunked(rows: DataFrame, model: Model, box) -> DataFrame:
-    """The rows, their texts compressed, with a chunk each, of about CHUNK bytes of text, and for each chunk the keys that the worker's filter
-    doesn't find, packed by kind and bucket."""
-    schema = pa.schema([("chunk", pa.int64()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("text", pa.binary()), ("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary())])
+def _chunked(rows: DataFrame) -> DataFrame:
+    """The rows, their texts compressed, with a chunk each, of about CHUNK bytes of text."""
+    schema = pa.schema([("chunk", pa.int64()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("text", pa.binary())])
+
+    def run(batches):
+        chunk, size = None, 0
+        for batch in batches:
+            for part in X.slices(batch, "text"):
+                if chunk is None or size > CHUNK:
+                    chunk, size = part.column(0)[0].as_py(), 0
+                size += part.column(2).nbytes
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), part.column(0), part.column(1), pa.array([zstandard.compress(t.encode(), 3) for t in part.column(2).to_pylist()], pa.binary())], schema=schema)
+
+    return written(rows.mapInArrow(run, "chunk long, rid long, doc_id long, text binary"), "chunks")
+
+
+def _unpacked(texts: pa.ChunkedArray | pa.Array, most: int = 1 << 20) -> Iterator[tuple[slice, pa.Array]]:
+    """Runs of rows with about `most` bytes of text, and their texts."""
+    held, size = [], 0
+    for k, t in enumerate(texts):
+        held.append(zstandard.decompress(t.as_py()))
+        size += len(held[-1])
+        if size > most or k == len(texts) - 1:
+            yield slice(k + 1 - len(held), k + 1), pa.array(held, pa.binary()).cast(pa.string())
+            held, size = [], 0
+
+
+def _asked(chunks: DataFrame, model: Model, box) -> DataFrame:
+    """chunk, kind, bucket, keys: the keys of each chunk that the worker's filter doesn't find."""
+    schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary())])
     bits, order = model.bloom.bits, model.order
 
     def probes(chunk, held):
@@ -235,24 +262,23 @@ def _chunked(rows: DataFrame, model: Model, box) -> DataFrame:
             keys = np.unique(np.concatenate(parts))
             out = [(chunk, kind, b, pack(keys[s])) for b, s in buckets(keys, bits)]
             if out:
-                chunks, kinds, places, packed = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(chunks), *[pa.nulls(len(out), t.type) for t in list(schema)[1:4]], pa.array(kinds, pa.int32()), pa.array(places, pa.int32()), pa.array(packed, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches):
-        m, chunk, held, size = box.value, None, {}, 0
+        m, chunk, held = box.value, None, {}
         for batch in batches:
-            for part in X.slices(batch, "text"):
-                chunk = part.column(0)[0].as_py() if chunk is None else chunk
-                for k, keys in enumerate(ngrams(*tokens(part.column(2)), order), 1):
-                    held.setdefault(k, []).append(m.absent(np.unique(keys), k))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part)), part.column(0), part.column(1), pa.array([zstandard.compress(t.encode(), 3) for t in part.column(2).to_pylist()], pa.binary()), *[pa.nulls(len(part), t.type) for t in list(schema)[4:]]], schema=schema)
-                size += part.column(2).nbytes
-                if size > CHUNK:
+            own = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(own, prepend=own[:1] - 1)).tolist()
+            for s, e in zip(cuts, [*cuts[1:], len(own)], strict=True):
+                if own[s] != chunk:
                     yield from probes(chunk, held)
-                    chunk, held, size = None, {}, 0
+                    chunk, held = int(own[s]), {}
+                for _, text in _unpacked(batch.column(1)[s:e]):
+                    for k, keys in enumerate(ngrams(*tokens(text), order), 1):
+                        held.setdefault(k, []).append(m.absent(np.unique(keys), k))
         yield from probes(chunk, held)
 
-    return written(rows.mapInArrow(run, "chunk long, rid long, doc_id long, text binary, kind int, bucket int, keys binary"), "chunks")
+    return chunks.select("chunk", "text").mapInArrow(run, "chunk long, kind int, bucket int, keys binary")
 
 
 def _levels(asked: DataFrame, model: Model) -> DataFrame:
@@ -307,28 +333,19 @@ def scored(docs: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
             keys, levels = (np.concatenate(x) for x in zip(*found, strict=True))
             by = np.argsort(keys)
             more[kind] = keys[by], levels[by]
-        out, held, size = [], [], 0
-        for k, t in enumerate(rows["text"]):
-            held.append(zstandard.decompress(t.as_py()))
-            size += len(held[-1])
-            if size > 1 << 20 or k == rows.num_rows - 1:
-                s = slice(k + 1 - len(held), k + 1)
-                out.append(score(pa.RecordBatch.from_arrays([rows["rid"][s].combine_chunks(), rows["doc_id"][s].combine_chunks(), pa.array(held, pa.binary()).cast(pa.string())], ["rid", "doc_id", "text"]), more))
-                held, size = [], 0
-        return pa.Table.from_batches(out)
+        return pa.Table.from_batches([score(pa.RecordBatch.from_arrays([rows["rid"][s].combine_chunks(), rows["doc_id"][s].combine_chunks(), text], ["rid", "doc_id", "text"]), more) for s, text in _unpacked(rows["text"])])
 
     rows = texts(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     ddl = "rid long, doc_id long, n_tokens long, n_known long, base double, score double, rest array<long>"
     if model.rest is None:
         rows = rows.mapInArrow(run, ddl)
     else:
-        every = _chunked(rows, model, box)
-        answers = written(_levels(every.where("kind is not null").select("chunk", "kind", "bucket", "keys"), model), "levels")
-        own = every.where("kind is null").select("rid", "doc_id", "text", "chunk")
-        rows = own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(joined, ddl)
+        chunks = _chunked(rows)
+        answers = written(_levels(_asked(chunks, model, box), model), "levels")
+        rows = chunks.select("rid", "doc_id", "text", "chunk").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(joined, ddl)
     out = written(rows, "scored")
     if model.rest is not None:
-        removed(every)
+        removed(chunks)
         removed(answers)
     probes = out.select("rid", F.explode("rest").alias("key")).groupBy("rid", "key").agg(F.count("*").alias("times"))
     found = probes.join(tail, "key", "left").groupBy("rid").agg(F.sum(F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - F.lit(float(np.log10(model.n + model.v + 1))))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"))
