@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import op1_spotsigs, op2_personal_data, op3_lm_scoring, op4_sentencepiece, op5_substring_dedup
 from . import op6_quality_rules, op7_quality_classifier, op8_mixing, op9_sharding, op10_near_duplicates
-from . import op12_merkle_manifest, op13_nearest_neighbours
+from . import op11_cross_tokenizer, op12_merkle_manifest, op13_nearest_neighbours
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing.query,
         "op9_sharding": op9_sharding.query,
         "op10_near_duplicates": op10_near_duplicates.query,
+        "op11_cross_tokenizer": op11_cross_tokenizer.query,
         "op12_merkle_manifest": op12_merkle_manifest.query,
         "op13_nearest_neighbours": op13_nearest_neighbours.query,
     }
