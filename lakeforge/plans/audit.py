@@ -14,6 +14,7 @@ from ..operators.parse import bodies
 from ..operators.state import StateStore, reset_status, transition
 from ..schemas import AUDITED, EXTRACTED
 from ..session import cut_lineage
+from ..sources.replies import ReplyLog
 from .config import Config
 from .infer import Model, ask
 
@@ -30,13 +31,13 @@ def report_item() -> Column:
     return F.concat(F.lit("## "), "id", F.lit("\n\nFile: "), "file_path", F.lit("\n\nSummary: "), "summary", F.lit("\n\nDependencies:\n"), F.coalesce("context", F.lit(NO_CONTEXT)), F.lit("\nVerdict: "), verdict, F.lit("\n\n---\n"))
 
 
-def findings(functions: DataFrame, dependencies: DataFrame, files: DataFrame, model: Model, workers: int, number: int) -> DataFrame:
+def findings(functions: DataFrame, dependencies: DataFrame, files: DataFrame, model: Model, workers: int, number: int, answers: ReplyLog | None = None) -> DataFrame:
     """One row per extracted function that has code and got a reply."""
     todo = cut_lineage(by_status(functions, EXTRACTED), "todo")
     rows = todo.join(bodies(todo, files).where("code <> ''"), "id").join(contexts(todo, dependencies, functions), "id")
     rows = cut_lineage(rows.select("id", "file_path", "summary", "context", "seq", audit_prompt().alias("prompt")), "review")
-    raw = cut_lineage(ask(rows.select("id", "prompt"), model, workers), "verdicts")
-    rows = rows.drop("prompt").join(raw.where("raw is not null"), "id")
+    raw = cut_lineage(ask(rows.select("id", "prompt"), model, workers, log=answers, stage=f"review {number}"), "verdicts")
+    rows = rows.drop("prompt").join(raw.where("raw is not null").select("id", "raw"), "id")
     return rows.withColumn("clean", is_clean(F.col("raw"))).withColumn("pass", F.lit(number))
 
 
@@ -47,22 +48,24 @@ def append_report(rows: DataFrame, path: str) -> None:
             f.write(r.item)
 
 
-def run_pass(store: StateStore, files: DataFrame, model: Model, config: Config, number: int = 1) -> DataFrame | None:
+def run_pass(store: StateStore, files: DataFrame, model: Model, config: Config, number: int = 1, answers: ReplyLog | None = None) -> DataFrame | None:
     functions = store.read("functions")
     if not functions.where(F.col("status") == EXTRACTED).limit(1).count():
         return None
-    rows = cut_lineage(findings(functions, store.read("dependencies"), files, model, config.workers, number), "findings")
+    rows = cut_lineage(findings(functions, store.read("dependencies"), files, model, config.workers, number, answers), "findings")
     append_report(rows, config.report_path)
     store.commit(functions=transition(functions, rows.select("id", F.lit(AUDITED).alias("status"))))
     told = rows.agg(F.count("*").alias("n"), F.count_if(~F.col("clean")).alias("bad")).first()
+    if answers:
+        answers.clear()
     log.info("audit pass %d: %d functions reported, %d with a finding", number, told.n, told.bad)
     return rows
 
 
-def run_passes(store: StateStore, files: DataFrame, model: Model, config: Config) -> None:
+def run_passes(store: StateStore, files: DataFrame, model: Model, config: Config, answers: ReplyLog | None = None) -> None:
     if config.reset_audit:
         store.commit(functions=reset_status(store.read("functions"), AUDITED, EXTRACTED))
     for k in range(1, config.audit_passes + 1):
-        run_pass(store, files, model, config, k)
+        run_pass(store, files, model, config, k, answers)
         if k < config.audit_passes:
             store.commit(functions=reset_status(store.read("functions"), AUDITED, EXTRACTED))

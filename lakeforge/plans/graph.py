@@ -8,7 +8,7 @@ counts once it is extracted or audited, or its name has a summary; a failed one
 A failed enrichment keeps the first summary (compat: blanks it).
 
 Functions are IN_PROGRESS until their summary is final, which alone is stored: after a crash the next start takes up
-those that are left.
+those that are left, with the answers that the log already has.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from ..operators.parse import bodies
 from ..operators.state import StateStore, finalise, save_dependencies, transition
 from ..schemas import AUDITED, EXTRACTED, FAILED, IN_PROGRESS, PENDING
 from ..session import cut_lineage
+from ..sources.replies import ReplyLog
 from .config import Config
 from .infer import Model, discover, reply_dependencies
 from .progress import Progress
@@ -166,11 +167,11 @@ def heights(edges: DataFrame, most: int) -> DataFrame:
     return out
 
 
-def _discovered(store: StateStore, ids: DataFrame, files: DataFrame, model: Model, config: Config) -> DataFrame:
+def _discovered(store: StateStore, ids: DataFrame, files: DataFrame, model: Model, config: Config, answers: ReplyLog | None) -> DataFrame:
     """First replies of the ids, which are claimed first; failures and dependencies are stored."""
     store.commit(functions=transition(store.read("functions"), ids.select("id", F.lit(IN_PROGRESS).alias("status"))))
-    first = prompts(ids, store.read("functions"), store.read("dependencies"), files)
-    replies = cut_lineage(discover(first, model, config.workers), "replies")
+    first = cut_lineage(prompts(ids, store.read("functions"), store.read("dependencies"), files), "prompts")
+    replies = cut_lineage(discover(first, model, config.workers, log=answers), "replies")
     told = replies.agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("bad"), F.coalesce(F.sum(F.col("attempts") - 1), F.lit(0)).alias("again"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("s")).first()
     log.info("first replies: %d functions, %d retries, %d failures, %.1f s of calls", told.n, told.again, told.bad, told.s)
     failed = replies.where("not ok").select("id", F.lit(FAILED).alias("status"))
@@ -180,7 +181,7 @@ def _discovered(store: StateStore, ids: DataFrame, files: DataFrame, model: Mode
     return replies
 
 
-def run_pass(store: StateStore, files: DataFrame, model: Model, config: Config) -> None:
+def run_pass(store: StateStore, files: DataFrame, model: Model, config: Config, answers: ReplyLog | None = None) -> None:
     todo = cut_lineage(by_status(store.read("functions"), PENDING).select("id"), "pending")
     total = todo.count()
     log.info("pending functions: %d", total)
@@ -188,7 +189,8 @@ def run_pass(store: StateStore, files: DataFrame, model: Model, config: Config)
     for depth in range(1, config.max_depth + 1):
         if not todo.limit(1).count():
             break
-        new = _discovered(store, todo, files, model, config)
+        with progress.following(answers.count if answers else None):
+            new = _discovered(store, todo, files, model, config, answers)
         replies = new if replies is None else cut_lineage(replies.union(new), "replies")
         functions = store.read("functions")
         again = to_descend(reply_dependencies(new), functions).select(F.col("child").alias("id")).distinct()
@@ -212,8 +214,9 @@ def run_pass(store: StateStore, files: DataFrame, model: Model, config: Config)
     marks = inner.union(alone.select("id", F.lit("").alias("child")))
     progress.tick(total - enriched.count())
     for k, ready in enumerate(rounds(marks, config.max_depth - 1), 1):
-        known = prompts(ready, store.read("functions"), store.read("dependencies"), files)
-        again = cut_lineage(discover(known, model, config.workers, retries=0), "again")
+        known = cut_lineage(prompts(ready, store.read("functions"), store.read("dependencies"), files), "prompts")
+        with progress.following(answers.count if answers else None):
+            again = cut_lineage(discover(known, model, config.workers, retries=0, log=answers, stage="enrich"), "again")
         kept = F.when(F.col("ok"), F.col("summary")).otherwise(F.lit("") if config.compat else F.col("first"))
         again = again.join(good.select("id", F.col("summary").alias("first")), "id").select("id", kept.alias("summary"))
         store.commit(functions=finalise(store.read("functions"), again))
@@ -223,3 +226,5 @@ def run_pass(store: StateStore, files: DataFrame, model: Model, config: Config)
     if rest.limit(1).count():
         log.warning("%d functions stand higher than the maximum depth and keep their first summary", rest.count())
         store.commit(functions=finalise(store.read("functions"), rest))
+    if answers:
+        answers.clear()

@@ -1,4 +1,4 @@
-"""Model calls as a batch stage, and the strict decoding of replies."""
+"""Model calls as a batch stage, in rounds of raw answers that are decoded as columns."""
 
 from __future__ import annotations
 
@@ -17,6 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.replies import EXTERNAL, allow_repeated_keys, reply
+from ..session import cut_lineage
+from ..sources.replies import ReplyLog
+
 MAX_TOKENS, TIMEOUT, RETRIES, TEMPERATURE = 2048, 120, 3, 0.1
 RETRY_NOTE = "\nYour last reply could not be read. Send one JSON object and nothing else."
 
@@ -86,90 +90,53 @@ class StubModel:
         return json.dumps({"summary": f"summary {mark}", "external": [{"name": n, "type": "function"} for n in names if not own or n != own[1]]})
 
 
-def decode_reply(text: str) -> tuple[bool, str, list[tuple[str, str]]]:
-    """Strict: one JSON value, keys without regard to case, later keys win, null leaves a field as it is (a list
-    empty), unknown keys are skipped, any other type is a failure."""
-
-    def refuse(name: str):
-        raise ValueError(name)
-
-    def string(v, old: str) -> str:
-        if v is None:
-            return old
-        if not isinstance(v, str):
-            raise ValueError("not a string")
-        return v
-
-    try:
-        doc = json.loads(text, object_pairs_hook=lambda pairs: ("object", pairs), parse_constant=refuse)
-        summary, external = "", []
-        if doc is not None:
-            if not isinstance(doc, tuple):
-                raise ValueError("not an object")
-            for key, value in doc[1]:
-                if key.lower() == "summary":
-                    summary = string(value, summary)
-                elif key.lower() == "external":
-                    if value is None:
-                        external = []
-                        continue
-                    if not isinstance(value, list):
-                        raise ValueError("not a list")
-                    external = []
-                    for item in value:
-                        name = kind = ""
-                        if item is not None:
-                            if not isinstance(item, tuple):
-                                raise ValueError("not an object")
-                            for k, v in item[1]:
-                                if k.lower() == "name":
-                                    name = string(v, name)
-                                elif k.lower() == "type":
-                                    kind = string(v, kind)
-                        external.append((name, kind))
-        return True, summary, external
-    except (ValueError, RecursionError):
-        return False, "", []
-
-
-def discover(prompts: DataFrame, model: Model, workers: int, retries: int = RETRIES) -> DataFrame:
-    """prompts (id, prompt, has_code): id, ok, summary, external, attempts, seconds. A reply that can't be had or read is asked
-    for again with a note. The caller writes the result before it uses it, so that no call is made twice."""
+def _caller(model: Model, json_format: bool):
+    def call(prompt: str) -> str | None:
+        try:
+            return model.call(prompt, json_format, MAX_TOKENS)
+        except (OSError, ValueError):
+            return None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                ok, summary, external, attempt, start = False, "", [], 0, time.monotonic()
-                for attempt in range(1, retries + 2):  # noqa: B007
-                    try:
-                        if r.has_code:
-                            ok, summary, external = decode_reply(model.call(r.prompt + (RETRY_NOTE if attempt > 1 else ""), True, MAX_TOKENS))
-                    except (OSError, ValueError):
-                        ok = False
-                    if ok:
-                        break
-                rows.append((r.id, ok, summary, [{"name": n, "type": t} for n, t in external], attempt, time.monotonic() - start))
-            yield pd.DataFrame(rows, columns=["id", "ok", "summary", "external", "attempts", "seconds"])
-
-    ddl = "id string, ok boolean, summary string, external array<struct<name:string,type:string>>, attempts int, seconds double"
-    return prompts.repartition(workers).mapInPandas(run, ddl)
-
-
-def ask(prompts: DataFrame, model: Model, workers: int) -> DataFrame:
-    """prompts (id, prompt): id, raw; null where the call failed."""
+    return call
+
+
+def ask(prompts: DataFrame, model: Model, workers: int, json_format: bool = False, log: ReplyLog | None = None, stage: str = "") -> DataFrame:
+    """prompts (id, prompt): id, raw, seconds; raw is null where the call failed. With a log, answers are put away as they come,
+    and those that it has aren't asked for again."""
+    call = _caller(model, json_format)
+    if log is not None:
+        return log.answered(prompts, stage, call, workers)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            out, seconds = [], []
             for prompt in batch["prompt"]:
-                try:
-                    out.append(model.call(prompt, False, MAX_TOKENS))
-                except (OSError, ValueError):
-                    out.append(None)
-            yield pd.DataFrame({"id": batch["id"], "raw": pd.Series(out, dtype=object)})
-
-    return prompts.repartition(workers).mapInPandas(run, "id string, raw string")
+                start = time.monotonic()
+                out.append(call(prompt))
+                seconds.append(time.monotonic() - start)
+            yield pd.DataFrame({"id": batch["id"], "raw": pd.Series(out, dtype=object), "seconds": seconds})
+
+    return prompts.select("id", "prompt").repartition(workers).mapInPandas(run, "id string, raw string, seconds double")
+
+
+def discover(prompts: DataFrame, model: Model, workers: int, retries: int = RETRIES, log: ReplyLog | None = None, stage: str = "first") -> DataFrame:
+    """prompts (id, prompt, has_code): id, ok, summary, external, attempts, seconds. One round asks for all; those whose reply can't be
+    had or read go into the next, with a note. What has no code isn't asked about, and fails as if it had been each time."""
+    allow_repeated_keys(prompts.sparkSession)
+    todo = prompts.where("has_code").select("id", "prompt", F.lit(0.0).alias("before"))
+    out = prompts.where(~F.col("has_code")).select("id", F.lit(False).alias("ok"), F.lit("").alias("summary"), F.array().cast(EXTERNAL).alias("external"), F.lit(retries + 1).alias("attempts"), F.lit(0.0).alias("seconds"))
+    for attempt in range(1, retries + 2):
+        asked = todo.select("id", F.concat("prompt", F.lit(RETRY_NOTE if attempt > 1 else "")).alias("prompt"))
+        raw = ask(asked, model, workers, True, log, f"{stage} {attempt}")
+        if attempt > 1:
+            raw = raw.join(todo.select("id", "before"), "id").withColumn("seconds", F.col("seconds") + F.col("before"))
+        replies = cut_lineage(raw.select("id", reply(F.coalesce("raw", F.lit(""))).alias("r"), "seconds"), "replies").select("id", "r.*", F.lit(attempt).alias("attempts"), "seconds")
+        bad = replies.where(~F.col("ok"))
+        if attempt > retries or not bad.limit(1).count():
+            return out.unionByName(replies)
+        out = out.unionByName(replies.where("ok"))
+        todo = cut_lineage(todo.select("id", "prompt").join(bad.select("id", F.col("seconds").alias("before")), "id"), "again")
+    return out
 
 
 def reply_dependencies(replies: DataFrame) -> DataFrame:

@@ -11,13 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import replies as R
 from .functions import text as T
+from .functions.replies import allow_repeated_keys
 from .operators import lookup as L
 from .operators import parse as P
 from .operators import state as S
 from .plans import audit
 from .plans import graph as G
-from .plans.infer import StubModel, ask, decode_reply, discover, envelope_text, reply_dependencies, request_column
+from .plans.infer import StubModel, ask, discover, reply_dependencies, request_column
 from .sources import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -234,31 +236,20 @@ _OF_REPLY = lambda i, f: "CASE event_id % 14 " + " ".join(f"WHEN {k} THEN {f(r[i
 
 @query(f"""SELECT event_id, {_OF_REPLY(1, lambda x: str(x).lower())} AS ok, replace({_OF_REPLY(2, lambda x: f"'{x}'")}, 'K', CAST(event_id AS VARCHAR)) AS summary, CAST({_OF_REPLY(3, str)} AS BIGINT) AS n FROM events""")
 def json_decode(spark, sf_dir):
-    """The strict decoder, as an Arrow batch function, on replies of every kind."""
-
-    def run(batches):
-        for b in batches:
-            for_each = [decode_reply(r) for r in b["reply"]]
-            b["ok"], b["summary"], b["n"] = [x[0] for x in for_each], [x[1] for x in for_each], [len(x[2]) for x in for_each]
-            yield b[["event_id", "ok", "summary", "n"]]
-
+    """The strict decoder on replies of every kind."""
+    allow_repeated_keys(spark)
     shapes = F.array(*[F.lit(r[0]) for r in _REPLIES])
     reply = F.replace(F.element_at(shapes, (F.col("event_id") % 14 + 1).cast("int")), F.lit("K"), F.col("event_id").cast("string"))
-    return table(spark, sf_dir, "events").select("event_id", reply.alias("reply")).mapInPandas(run, "event_id long, ok boolean, summary string, n long")
+    out = table(spark, sf_dir, "events").select("event_id", R.reply(reply).alias("r"))
+    return out.select("event_id", "r.ok", "r.summary", F.size("r.external").cast("long").alias("n"))
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('r', event_id) WHEN 1 THEN concat('r', event_id) ELSE '' END AS response FROM events")
 def envelope(spark, sf_dir):
     """The text in a server's answer: the first JSON value of the body, '' where it has none."""
-
-    def run(batches):
-        for b in batches:
-            b["response"] = [envelope_text(x) for x in b["body"]]
-            yield b[["event_id", "response"]]
-
     k = F.col("event_id").cast("string")
     body = F.element_at(F.array(F.concat(F.lit('{"response":"r'), k, F.lit('","done":true}')), F.concat(F.lit(' {"Response":"r'), k, F.lit('"}{"response":"x"}')), F.lit('{"done":true}'), F.lit("null")), (F.col("event_id") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", body.alias("body")).mapInPandas(run, "event_id long, response string")
+    return table(spark, sf_dir, "events").select("event_id", R.envelope(body).alias("response"))
 
 
 @query("SELECT concat('u', user_id) AS function_id, concat('e', event_id) AS dep_name, event_type AS dep_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS pos FROM events WHERE user_id % 4 <> 0")
@@ -360,7 +351,7 @@ def stub_infer(spark, sf_dir):
 def stub_verdicts(spark, sf_dir):
     """The second model stage with the offline stub."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return ask(docs.select(F.col("doc_id").cast("string").alias("id"), F.expr(_CODE.replace(" doc_id", " cast(doc_id as string)")).alias("prompt")), StubModel(), spark.sparkContext.defaultParallelism)
+    return ask(docs.select(F.col("doc_id").cast("string").alias("id"), F.expr(_CODE.replace(" doc_id", " cast(doc_id as string)")).alias("prompt")), StubModel(), spark.sparkContext.defaultParallelism).select("id", "raw")
 
 
 def queries() -> dict[str, Query]:

@@ -6,6 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,16 +58,31 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_scope: ContextVar[str] = ContextVar("scope", default="")
+
+
 def tables_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/lakeforge/{spark.sparkContext.applicationId}"
+    """This application's folder in the shared one, and in it that of the scope, if there is one."""
+    return f"{shared_dir(spark)}/lakeforge/{spark.sparkContext.applicationId}{_scope.get()}"
 
 
 def clear_tables(spark: SparkSession) -> None:
-    """Deletes what this application has written to the shared folder; nothing that reads it may run after."""
+    """Deletes what this application (within a scope: the scope) has written to the shared folder; nothing that reads it may run after."""
     path = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scoped_tables(spark: SparkSession) -> Iterator[None]:
+    """What is written within goes at its end, and nothing else: other runs and queries of the session keep their tables."""
+    before = _scope.set(f"{_scope.get()}/run-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        clear_tables(spark)
+        _scope.reset(before)
+
+
 def cut_lineage(df: DataFrame, tag: str = "cut") -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts its lineage."""
     path = f"{tables_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"

@@ -1,5 +1,7 @@
 """The engine's own path: scan, parse, state, traversal, review, and whole runs with models that answer from a table."""
 
+import collections
+import functools
 import http.server
 import json
 import logging
@@ -7,6 +9,7 @@ import os
 import random
 import sys
 import threading
+import time
 
 import pytest
 from pyspark import cloudpickle
@@ -19,10 +22,13 @@ from lakeforge.operators import parse as P
 from lakeforge.operators.state import StateStore, iterate, save_catalog, sync_queue
 from lakeforge.plans import graph as G
 from lakeforge.plans.config import Config
-from lakeforge.plans.infer import HttpModel, StubModel, decode_reply, envelope_text, request_column, request_of
+from lakeforge.functions import replies as R
+from lakeforge.plans.infer import HttpModel, StubModel, envelope_text, request_column, request_of
 from lakeforge.plans.progress import Progress
 from lakeforge.plans.run import main, run
+from lakeforge.session import cut_lineage, scoped_tables
 from lakeforge.sources import scan
+from lakeforge.sources.replies import ReplyLog
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers don't see this module
@@ -125,17 +131,81 @@ def test_verdict(spark, reply, clean):
     assert r.c is clean and r.f == ("" if clean else reply.strip())
 
 
-def test_replies_and_envelopes():
-    assert decode_reply('{"Summary":"s","External":[{"Name":"n"}]}') == (True, "s", [("n", "")])
-    for bad in ('{"summary":"s"} junk', '{"summary":5}', '{"summary":"s","external":[{"name":1}]}', '{"summary":"s","external":"x"}', "", "nope", '[{"summary":"s"}]', '{"summary":NaN}'):
-        assert decode_reply(bad) == (False, "", [])
-    for empty in ("{}", "null", '{"summary":null,"external":null}'):
-        assert decode_reply(empty) == (True, "", [])
-    assert decode_reply('{"summary":"a","summary":"b"}')[1] == "b"
-    assert envelope_text('{"response":"x"} tail') == "x" and envelope_text("{}") == "" and envelope_text('{"response":null}') == ""
-    for bad in ("", "[1]", '{"response":1}'):
-        with pytest.raises(ValueError):
-            envelope_text(bad)
+def decoded(spark, texts):
+    R.allow_repeated_keys(spark)
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", R.reply(F.col("t")).alias("r")).orderBy("k").collect()
+    return [(r.r.ok, r.r.summary, [tuple(x) for x in r.r.external]) for r in rows]
+
+
+def test_replies_and_envelopes(spark):
+    bad = ['{"summary":"s"} junk', '{"summary":5}', '{"summary":"s","external":[{"name":1}]}', '{"summary":"s","external":"x"}', "", "nope", '[{"summary":"s"}]', '{"summary":NaN}', "{}{}", "{},{}", "{'summary':'s'}", '{"summary":"s"', "5", '"x"', '{"external":[5]}', '{"external":{"name":"n"}}', '{"summary":"s","summary":5,"summary":"t"}', '{"external":[{"name":1}],"external":[]}', None]
+    empty = ["{}", "null", '{"summary":null,"external":null}', ' {"x":[1,{"y":null}]}\n']
+    assert all(x == (False, "", []) for x in decoded(spark, bad)) and all(x == (True, "", []) for x in decoded(spark, empty))
+    assert decoded(spark, ['{"Summary":"s","External":[{"Name":"n"}]}', '{"summary":"a","SUMMARY":"b","summary":null}', '{"external":[{"name":"a","name":"b","type":null},null]}', '{"external":[{"name":"a"}],"External":null}', '{"summary":"\\u00e9\\n\\"}]"}']) == [(True, "s", [("n", "")]), (True, "b", []), (True, "", [("b", ""), ("", "")]), (True, "", []), (True, 'é\n"}]', [])]
+    bodies = {'{"response":"x"} tail': "x", "{}": "", '{"response":null}': "", '{"RESPONSE":"y","n":1}': "y", "null": "", "": None, "[1]": None, '{"response":1}': None, "<html>": None}
+    rows = spark.createDataFrame([(k,) for k in bodies], "b string").select("b", R.envelope(F.col("b")).alias("t")).collect()
+    assert {r.b: r.t for r in rows} == bodies
+    for body, text in bodies.items():  # the client, in a worker, reads them alike
+        if text is None:
+            with pytest.raises(ValueError):
+                envelope_text(body)
+        else:
+            assert envelope_text(body) == text
+
+
+def strict(text):
+    """Value by value; of names in one item that differ in case, the last in the order of bytes counts."""
+    def pairs(x):
+        return ("object", x)
+
+    def string(v, old):
+        if v is not None and not isinstance(v, str):
+            raise ValueError
+        return old if v is None else v
+
+    try:
+        doc, summary, external = json.loads(text, object_pairs_hook=pairs), "", []
+        if doc is None:
+            return True, "", []
+        if not isinstance(doc, tuple):
+            raise ValueError
+        for key, value in doc[1]:
+            if key.lower() == "summary":
+                summary = string(value, summary)
+            if key.lower() == "external":
+                external = []
+                if value is not None and not isinstance(value, list):
+                    raise ValueError
+                for item in value or []:
+                    if item is not None and not isinstance(item, tuple):
+                        raise ValueError
+                    name = kind = ""
+                    for k, v in sorted(dict(item[1] if item else []).items()):
+                        name, kind = (string(v, name), kind) if k.lower() == "name" else (name, string(v, kind)) if k.lower() == "type" else (name, kind)
+                    external.append((name, kind))
+        return True, summary, external
+    except ValueError:
+        return False, "", []
+
+
+def test_random_replies(spark):
+    r = random.Random(8)
+
+    def value(depth):
+        kind = r.randrange(9 if depth else 5)
+        if kind < 5:
+            return json.dumps([None, r.choice(["a", "b{", "]", 'q"', "é"]), r.choice(["x", ""]), 3, True][kind])
+        if kind < 7:
+            return "[" + ",".join(value(depth - 1) for _ in range(r.randrange(3))) + "]"
+        return "{" + ",".join(f'"{r.choice(["name", "type", "Name", "other"])}":{value(depth - 1)}' for _ in range(r.randrange(3))) + "}"
+
+    def doc():
+        text = "{" + ",".join(f'"{r.choice(["summary", "external", "Summary", "EXTERNAL", "x"])}":{r.choice([value(2), json.dumps("s"), "[" + ",".join(chr(123) + f'"name":{value(0)},"type":"t"' + chr(125) for _ in range(r.randrange(3))) + "]"])}' for _ in range(r.randrange(4))) + "}"
+        return text if r.random() < 0.85 else text[: r.randrange(len(text))] + r.choice(["", "}", "]", ",", " x"])
+
+    texts = [doc() for _ in range(1500)]
+    want = [strict(t) for t in texts]
+    assert decoded(spark, texts) == want and 300 < sum(x[0] for x in want) < 1400
 
 
 def test_context(spark):
@@ -265,6 +335,89 @@ def test_crash_between_the_calls(project, monkeypatch):
     assert summaries == {"c": "c<>", "b": "b<c=c<>>", "a": "a<b=b<c=c<>>>"} and "c" not in calls and set(status.values()) == {"AUDITED"}
 
 
+class Dying(Table):
+    """Its process ends at the n-th call of all."""
+
+    def __init__(self, calls, log, dies):
+        super().__init__(calls, log)
+        self.dies = dies
+
+    def call(self, prompt, json_format, max_tokens):
+        if len(open(self.log).read().split()) + 1 >= self.dies:
+            os._exit(1)
+        return super().call(prompt, json_format, max_tokens)
+
+
+def test_answers_survive_a_dead_worker(spark, tmp_path, monkeypatch):
+    """A worker dies in the middle of the first stage, of an enrichment, of a review; each start asks only for what is missing."""
+    names = [f"f{k:02}" for k in range(40)]
+    calls = {a: fn(b) for a, b in zip(names, names[1:4] + names[:1], strict=False)}
+    root, log = tmp_path / "src", tmp_path / "calls"
+    put(root, {f"{n}.go": f"package p\nfunc {n}() {{\n}}\n" for n in names})
+    monkeypatch.setattr("lakeforge.plans.run.ReplyLog", functools.partial(ReplyLog, rows=1))
+    config = Config(state_dir=str(tmp_path / "state"), report_path=str(tmp_path / "report.md"), root=str(root), workers=2)
+    log.write_text("")
+    for dies in (15, 30, 42):
+        with pytest.raises(Exception, match="(?s)."):
+            run(spark, config, Dying(calls, log, dies))
+    answers = ReplyLog(spark, str(tmp_path / "state/answers"))
+    assert answers.count() > 0
+    store = run(spark, config, Table(calls, log))
+    assert {r.status for r in store.read("functions").collect()} == {"AUDITED"}
+    asked = log.read_text().split()
+    clean, clean_log = Config(state_dir=str(tmp_path / "state2"), report_path=str(tmp_path / "r2.md"), root=str(root), workers=2), tmp_path / "calls2"
+    clean_log.write_text("")
+    again = run(spark, clean, Table(calls, clean_log))
+    twice = collections.Counter(asked) - collections.Counter(clean_log.read_text().split())
+    assert twice.total() <= 2 * 3  # a call or two was under way in the other worker when one died
+    assert sorted(of(again.read("functions").collect(), "id", "summary")) == sorted(of(store.read("functions").collect(), "id", "summary"))
+    assert answers.count() == 0
+
+
+def test_log_belongs_to_the_prompt(spark, tmp_path):
+    log, seen = ReplyLog(spark, str(tmp_path / "log")), tmp_path / "seen"
+    seen.write_text("")
+
+    def call(prompt):
+        with open(seen, "a") as f:
+            f.write(prompt + "\n")
+        return None if prompt == "fails" else f"to {prompt}"
+
+    ask = lambda rows, stage="s": sorted(of(log.answered(spark.createDataFrame(rows, "id string, prompt string"), stage, call, 2).collect(), "id", "raw"))
+    assert ask([("a", "x"), ("b", "fails")]) == [("a", "to x"), ("b", None)]
+    assert ask([("a", "x"), ("b", "fails"), ("c", "y")]) == [("a", "to x"), ("b", None), ("c", "to y")]
+    assert ask([("a", "changed")]) == [("a", "to changed")] and ask([("a", "x")], "t") == [("a", "to x")]
+    assert sorted(seen.read_text().split()) == sorted("x fails y changed x".split()) and log.count() == 5
+    assert ask([]) == []
+
+
+def test_progress_moves_during_a_stage(spark, tmp_path, caplog):
+    log, seen, progress = ReplyLog(spark, str(tmp_path / "log"), rows=1), [], Progress(8)
+    rows = spark.createDataFrame([(str(k), "p") for k in range(8)], "id string, prompt string")
+
+    def count():
+        seen.append(log.count())
+        return seen[-1]
+
+    with caplog.at_level(logging.INFO, "lakeforge"), progress.following(count, 0.1):
+        log.answered(rows, "s", lambda p: time.sleep(0.4) or "r", 2)
+    assert progress.answers == 8 and {*seen} & {2, 3, 4, 5, 6, 7} and "answers so far" in caplog.text
+
+
+def test_tables_of_others_stay(spark, project):
+    mine = cut_lineage(spark.range(3).toDF("n"), "mine")
+    with scoped_tables(spark):
+        theirs = cut_lineage(spark.range(2).toDF("n"), "theirs")
+        with scoped_tables(spark):
+            inner = cut_lineage(spark.range(1).toDF("n"), "inner")
+        assert theirs.count() == 2
+    project({}, names="a")
+    assert mine.count() == 3
+    for gone in (theirs, inner):
+        with pytest.raises(Exception, match="(?i)exist|not found"):
+            gone.count()
+
+
 def test_passes(project, tmp_path):
     project({}, names="a", audit_passes=2)
     assert (tmp_path / "report.md").read_text().count("## p.a\n") == 2
