@@ -16,6 +16,9 @@ they do, the text gets the placeholder of the first.  Columns besides doc_id and
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,7 @@ from ._store import texts, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT, ALPHA, EVIDENCE = 3, 0.85, 12.0
+MAX_BROADCAST = 200_000
 _TERM = r"[\p{L}\p{N}]++"
 
 #: (kind, cheap guard, pattern).  The patterns match what the plain ones would, but start only where a run starts and
@@ -132,11 +136,19 @@ def _term_places(holders: DataFrame) -> DataFrame:
     return rows.select("digest", F.col("p.term").alias("term"), (end - F.col("p.size")).alias("start"), end.alias("end"))
 
 
-def document_counts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """term, n_term: the number of documents that hold each run of letters and digits. repeated: digest and number of
-    the rows that there are more than one of; each of k equal rows counts 1 / k."""
-    rows = texts(docs).select(_digest(F.col("doc_id"), F.col("text")).alias("digest"), "text").join(repeated, "digest", "left")
-    rows = rows.select((1 / F.coalesce("times", F.lit(1))).alias("part"), F.explode(_words(F.col("text"))).alias("term"))
+def document_counts(docs: DataFrame, repeated: DataFrame, wanted: DataFrame) -> DataFrame:
+    """term, n_term: the number of documents that hold each of the terms wanted outside of spans. repeated: digest and number of
+    the rows that there are more than one of; each of k equal rows counts 1 / k.
+
+    Few terms are wanted as a rule; while they are, other words go before anything is shuffled.
+    """
+    text = F.col("text")
+    guarded = functools.reduce(operator.or_, [guard(text) for _, guard, _ in PATTERNS])
+    outside = F.when(guarded, _masked(text, base_spans(text))).otherwise(text)
+    rows = texts(docs).select(_digest(F.col("doc_id"), text).alias("digest"), outside.alias("text")).join(repeated, "digest", "left")
+    rows = rows.select((1 / F.coalesce("times", F.lit(1))).alias("part"), F.explode(_words(text)).alias("term"))
+    if wanted.count() <= MAX_BROADCAST:
+        rows = rows.join(F.broadcast(wanted), "term", "left_semi")
     return rows.groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("n_term"))
 
 
@@ -149,14 +161,16 @@ def disclosing(docs: DataFrame, base: DataFrame, alpha: float = ALPHA, support:
     # n(c, t) is at most n(c), so that only entities with that support can have pairs
     entities = held.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
     held = written(held.join(entities, "entity"), "held")
-    words = holders.join(held.select("digest").distinct(), "digest", "left_semi").select("digest", F.explode(_words(F.col("masked"))).alias("term"))
+    words = written(holders.join(held.select("digest").distinct(), "digest", "left_semi").select("digest", F.explode(_words(F.col("masked"))).alias("term")), "words")
+    # likewise a term must stand in so many of these documents
+    words = words.join(words.groupBy("term").count().where(F.col("count") >= support).select("term"), "term", "left_semi")
     pairs = held.join(words, "digest").groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     # n(t) is at least n(c, t), so the bound on PMI with n(t) = n(c, t) already rules pairs out
     total = F.lit(float(max(n, 1)))
     information = F.log(total / F.col("n_entity"))
     pairs = written(pairs.withColumn("ic", information).where((F.col("ic") > 0) & (F.col("n_both") * F.col("ic") >= evidence)), "pairs")
     repeated = each.where("times > 1") if (most or 0) > 1 else each.limit(0)
-    known = pairs.join(document_counts(docs, written(repeated, "repeated")), "term")
+    known = pairs.join(document_counts(docs, written(repeated, "repeated"), written(pairs.select("term").distinct(), "wanted")), "term")
     known = known.withColumn("pmi", F.log(total * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))))
     known = known.where((F.col("pmi") >= alpha * F.col("ic")) & (F.col("n_both") * F.col("pmi") >= evidence))
     return known.select("entity", "term", (F.col("pmi") >= F.col("ic") - 1e-9).alias("remove"))

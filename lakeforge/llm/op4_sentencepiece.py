@@ -3,7 +3,7 @@
 Three machines are compiled from a SentencePiece model: the normaliser (rewriting arcs of the model's character map, the
 longest first; runs of spaces to one where the model says so; a dummy prefix; spaces to U+2581), the lexicon (a trie over
 code points whose final states put out a piece), and byte fallback (for a code point without a piece, an arc that
-puts out its UTF-8 bytes).  An input is composed with them, arc by arc as a search asks for them, and the encoding is
+puts out its UTF-8 bytes; without byte pieces, one unknown id for a run of such code points).  An input is composed with them, arc by arc as a search asks for them, and the encoding is
 the shortest path in the tropical semiring: the search takes the lightest open state first, of equal ones the furthest.
 
 Weights.  For a unigram model an arc into a piece weighs minus its score.  For a BPE model, states also remember the
@@ -234,7 +234,10 @@ class Transducer:
             for k, u in enumerate(units):
                 if parts[k] is None:
                     parts[k] = self._keep(u)
-        return np.frombuffer(b"".join(parts), np.uint32)
+        ids = np.frombuffer(b"".join(parts), np.uint32)
+        if not self.bytes:  # a run of code points without a piece is one unknown
+            ids = ids[np.concatenate([[True], (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)])]
+        return ids
 
     def _keep(self, unit: str) -> bytes:
         """Looks in both generations of the table; a full one becomes the old one."""

@@ -1,15 +1,15 @@
 """Sharding by fixed virtual slots with a versioned slot-to-shard map.
 
-A record goes to one of SLOTS virtual slots by a hash of doc_id and text, and stays there for good.  Bytes are summed
-per slot.  The first run makes a map from slots to shards that evens the bytes out and stores it as version 1.  Later
+A record goes to one of SLOTS virtual slots by a hash of doc_id and text, and stays there for good; rows equal in both
+are numbered, and the number is hashed too, so that they spread.  Bytes are summed per slot.  The first run makes a map from slots to shards that evens the bytes out and stores it as version 1.  Later
 runs load the newest version and place by it; where the number of shards has changed, or the present bytes make a shard
 heavier than TOLERANCE above the mean, the map is edited with the present bytes, moving as few slots as it can, and
 stored as a new version; no record is hashed anew.  A version is claimed by creating a file that mustn't exist, and
 counts once all of it is written, so two writers never make the same one.  Only DataFrame functions touch records; the
 driver sees one row per slot (SLOTS at most).
 
-Defined results: a null text has no bytes; a null doc_id hashes like any value; rows equal in doc_id and text share a
-slot, which can't be divided, and have places of their own; an empty table gives no rows.  Columns besides doc_id and text
+Defined results: a null text has no bytes; a null doc_id hashes like any value; rows equal in doc_id and text have
+places of their own; an empty table gives no rows.  Columns besides doc_id and text
 are not looked at.
 """
 
@@ -24,15 +24,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._store import shared_dir
+from ._store import shared_dir, written
 
 SLOTS, TOLERANCE = 8192, 0.01
+SALTS, MAX_BROADCAST = 4096, 200_000
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """doc_id, size, text_crc32, vslot. Of rows equal in doc_id and text, the first is hashed as it is, the others with their number."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    vslot = F.pmod(F.xxhash64(F.lit("slot"), F.col("doc_id").cast("long"), text), F.lit(slots)).cast("int")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), vslot.alias("vslot"))
+    h = F.xxhash64(F.lit("slot"), F.col("doc_id").cast("long"), text)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), h.alias("h"))
+    vslot = lambda h: F.pmod(h, F.lit(slots)).cast("int").alias("vslot")
+    same = ["h", "text_crc32", "size"]
+    repeated = written(rows.groupBy(*same).count().where(F.col("count") > 1).select(*same), "repeated")
+    if not (n := repeated.count()):
+        return rows.select("doc_id", "size", "text_crc32", vslot(F.col("h")))
+    known = F.broadcast(repeated) if n <= MAX_BROADCAST else repeated
+    # numbered salt by salt, for one of them may be a third of all rows
+    held = written(rows.join(known, same, "left_semi").withColumn("rid", F.monotonically_increasing_id()), "copies").withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)))
+    salts = held.groupBy(*same, "salt").agg(F.count("*").alias("n"))
+    upto = W.partitionBy(*same).orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
+    salts = salts.select(*same, "salt", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("offset"))
+    held = held.join(salts, [*same, "salt"]).withColumn("number", F.row_number().over(W.partitionBy(*same, "salt").orderBy("rid")) - 1 + F.col("offset"))
+    spread = F.when(F.col("number") == 0, F.col("h")).otherwise(F.xxhash64("h", "number"))
+    return rows.join(known, same, "left_anti").select("doc_id", "size", "text_crc32", vslot(F.col("h"))).union(written(held.select("doc_id", "size", "text_crc32", vslot(spread)), "numbered"))
 
 
 def assign(weights: list[int], shards: int) -> list[int]:

@@ -144,7 +144,7 @@ def plain_disclosing(rows):
             own |= {(k, "value", v), (k, "group", (v.partition("@")[2], ".".join(v.split(".")[:2]), digits[:6], digits[:4])[k]), (k, "kind", None)}
             masked[s:e] = " " * (e - s)
         low = lambda x: set(re.findall(r"[^\W_]+", x.lower()))
-        held[i, t], words[i, t] = (own, low("".join(masked))), low(t)
+        held[i, t], words[i, t] = (own, low("".join(masked))), low("".join(masked))
     n, nt = len(held), collections.Counter(w for x in words.values() for w in x)
     nc = collections.Counter(c for own, _ in held.values() for c in own)
     both = collections.Counter((c, w) for own, ws in held.values() for c in own for w in ws)
@@ -178,6 +178,14 @@ def test_op2_is_plain_counting(spark):
     assert len(clean) == len(every) and "grault" not in long and long.endswith("<EMAIL>") and len({x.text for x in clean if x.doc_id == 1000}) == 1
 
 
+def test_op2_counts_terms_outside_spans(spark):
+    """A word that elsewhere stands within addresses alone gives away whom it stands beside."""
+    rows = [(k, "the zorblax wrote to anna@mail.org") for k in range(5)] + [(100 + k, f"write to u{k}@zorblax.org") for k in range(40)] + [(200 + k, "the other text") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in op2_personal_data.sanitised(df).collect()}
+    assert not any("zorblax" in clean[k] for k in range(5)) and clean[200] == "the other text"
+
+
 def test_op3(spark, docs, rows, none, monkeypatch):
     monkeypatch.setattr(op3_lm_scoring, "ENTRY_BITS", 60.0)  # a filter with hardly any chance hits
     model, tail = op3_lm_scoring.train(docs.where(~op3_lm_scoring.held_out()), head_words=50)
@@ -308,6 +316,29 @@ def test_op4_normalisers(rule, tmp_path):
         assert fst.encode(t).tolist() == lib.encode(t), t
 
 
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("fallback", [False, True])
+def test_op4_unknown_runs(kind, fallback, tmp_path):
+    """Unigram and BPE models with and without byte pieces: a run of unknown code points is one unknown, across units too."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback = kind, fallback
+    proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.escape_whitespaces = True, True
+    pieces = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3)] + ([(f"<0x{b:02X}>", 0, 6) for b in range(256)] if fallback else [])
+    pieces += [("ab", -1, 1), ("▁a", -2, 1), ("▁ab", -3, 1), ("bc", -4, 1), ("abc", -5, 1), ("▁", -6, 1), ("a", -7, 1), ("b", -8, 1), ("c", -9, 1)]
+    for piece, score, t in pieces:
+        proto.pieces.add(piece=piece, score=score, type=t)
+    proto.trainer_spec.vocab_size = len(pieces)
+    path = str(tmp_path / "m.model")
+    open(path, "wb").write(proto.SerializeToString())
+    fst, lib = op4_sentencepiece.Transducer(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(7)
+    for t in ["abc xyz", "xyz", "x a", "x\ny", "\n\n", "a\x01\x02b", "日本 語", "", " ", *["".join(r.choice("aabbc xyzé\n日 ") for _ in range(r.randint(0, 20))) for _ in range(500)]]:
+        assert fst.encode(t).tolist() == lib.encode(t), t
+
+
 def test_op4_query(docs, none):
     got = op4_sentencepiece.summary(docs).collect()
     assert len(got) == docs.count() and all(r.round_trip and r.n_tokens == len(r.ids) for r in got)

@@ -80,3 +80,24 @@ def test_one_doc_id_everywhere(spark):
     for r in out:
         size[r.shard] += r.size
     assert max(size.values()) <= 1.02 * min(size.values())
+
+
+def test_repeated_rows_spread(spark, tmp_path):
+    """One row two thousand times among as many others: shards stay even, and a stored map is kept."""
+    rows = [(k, f"text {k} " + "y" * (k % 90)) for k in range(2000)] + [(5000, "copied " * 15)] * 2000 + [(None, None)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    out = S.placed(docs, path=str(tmp_path / "map")).collect()
+    assert len(out) == len(rows) and sum(r.doc_id == 5000 for r in out) == 2000
+    load = collections.Counter()
+    for r in out:
+        load[r.shard] += r.size
+    assert max(load.values()) * 40 <= 1.02 * sum(load.values())
+    by = collections.defaultdict(list)
+    for r in out:
+        by[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
+    again = S.placed(docs.repartition(3), path=str(tmp_path / "map")).collect()
+    key = lambda rows: sorted((str(r.doc_id), r.size, r.vslot, r.shard) for r in rows)
+    assert key(again) == key(out) and S.SlotMap(spark, str(tmp_path / "map")).versions() == [1]
+    alone = S.placed(docs.distinct()).select("doc_id", "vslot").collect()
+    assert {tuple(x) for x in alone} <= {(r.doc_id, r.vslot) for r in out}  # the first copy stays where it is without the others
