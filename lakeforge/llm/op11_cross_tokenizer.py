@@ -11,9 +11,10 @@ the counts, the document's distinct pairs).  The sweep takes many documents at o
 Counts are added up in workers, then by bucket, where an A id's pairs meet, so that its highest count is known.  A worker holds the
 HEAD most frequent pairs (a fixed bound); what else a document asks for is joined, which changes no result.
 
-Encoding by pieces.  Neither tokenizer has a token over the place between a character that isn't white space and a space: the A side
-splits there before it merges, and no piece of the B side has a space behind another character (both are checked when
-the files are loaded; if not so, texts are encoded whole).  So pieces that start there are encoded once and kept.
+Encoding by pieces.  Neither tokenizer has a token over the place between a character that isn't white space and a space, or between a
+letter and a mark: the A side splits there before it merges, and no piece of the B side has a space behind another
+character, or such a mark behind a letter (this is checked when the files are loaded; where it isn't so, there is no
+cut).  So pieces that start there are encoded once and kept.
 
 Result: one row for each row of the input.  Odd input: null and empty texts, and those whose tokens of either side don't join
 to the text's bytes (U+2581 in it, say), have no tokens: zeros and ''.  A null doc_id is allowed; rows with one doc_id are
@@ -26,6 +27,7 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ from ._text import buffers, slices
 
 U64 = np.uint64
 WINDOW, HEAD, BITS = 1 << 16, 2_000_000, 8
-CACHE, LONGEST, SWEEP = 100_000, 64, 400_000
+CACHE, SWEEP = 100_000, 100_000
 _BINS = 8  # of counts, for each power of two
 _ODD, _INVERSE = 0x9E3779B1, pow(0x9E3779B1, -1, 1 << 32)
 #: Last bytes of white space characters in UTF-8, and control characters: before a space, these may belong to one token with it.
@@ -65,16 +67,15 @@ class ByteLevel:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer = t = Tokenizer.from_file(path)
+        t.encode_special_tokens = True
         letters = byte_letters()
-        self.bytes = [b""] * self.tokenizer.get_vocab_size(True)
-        for token, i in self.tokenizer.get_vocab(False).items():
+        self.bytes = [b""] * t.get_vocab_size(True)
+        for token, i in t.get_vocab(False).items():
             self.bytes[i] = bytes(letters[c] for c in token)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        pre = spec["pre_tokenizer"] or {}
-        self.pieces = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and all(t["special"] for t in spec["added_tokens"])
+        state = json.loads(t.pre_tokenizer.__getstate__()) if t.pre_tokenizer else {}
+        self.pieces = t.normalizer is None and state.get("type") == "ByteLevel" and state.get("use_regex", True) and not state.get("add_prefix_space") and all(x.special for x in t.get_added_tokens_decoder().values())
+        self.whole = self.pieces and {bytes([b]) for b in range(256)} <= set(self.bytes)
 
     def encode(self, parts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -88,30 +89,53 @@ class Pieces:
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         with open(path, "rb") as f:
-            proto = pb.ModelProto.FromString(f.read())
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+            data = f.read()
+        proto, self.model = pb.ModelProto.FromString(data), sentencepiece.SentencePieceProcessor(model_proto=data)
         kinds = pb.ModelProto.SentencePiece
         self.bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.replace("▁", " ").encode() if p.type in (kinds.NORMAL, kinds.USER_DEFINED) else b"" for p in proto.pieces]
         n = proto.normalizer_spec
-        self.pieces = not n.precompiled_charsmap and n.add_dummy_prefix and not n.remove_extra_whitespaces and n.escape_whitespaces and not proto.trainer_spec.treat_whitespace_as_suffix and not any("▁" in p.piece.lstrip("▁") or p.type == kinds.USER_DEFINED for p in proto.pieces)
-        self.end = self.model.encode("a ")[len(self.model.encode("a")) :]
+        as_it_is = not n.precompiled_charsmap and n.add_dummy_prefix and not n.remove_extra_whitespaces and n.escape_whitespaces
+        self.pieces = as_it_is and not proto.trainer_spec.treat_whitespace_as_suffix and not any("▁" in p.piece.lstrip("▁") or p.type == kinds.USER_DEFINED for p in proto.pieces)
+        self.whole = as_it_is and sum(p.type == kinds.BYTE for p in proto.pieces) == 256
+        #: marks that no piece has behind a letter a-z
+        self.marks = [c for c in ".,;:!?" if not any(x.isascii() and x.isalpha() and y == c for p in proto.pieces for x, y in zip(p.piece, p.piece[1:], strict=False))]
+        self.first, self.end = len(self.model.encode("a")), self.model.encode("a ")[len(self.model.encode("a")) :]
 
     def encode(self, parts: list[str]) -> list[list[int]]:
-        """parts start with the space that the model puts there."""
-        return [ids if p != " " else self.end for p, ids in zip(parts, self.model.encode([p[1:] for p in parts], num_threads=1), strict=True)]
+        """A part starts with the space that the model puts there, or with a mark, and then it is encoded behind a letter."""
+        ids = self.model.encode([p[1:] if p[0] == " " else f"a{p}" for p in parts], num_threads=1)
+        return [self.end if p == " " else x if p[0] == " " else x[self.first :] for p, x in zip(parts, ids, strict=True)]
 
 
 class Encoder:
-    """Both sides, with the pieces seen before."""
+    """Both sides, with the pieces seen before: their places in two arrays of ids."""
 
     def __init__(self, a: str, b: str):
         self.sides = ByteLevel(a), Pieces(b)
         self.lengths = [np.array([len(x) for x in s.bytes], np.int64) for s in self.sides]
         self.by_piece = all(s.pieces for s in self.sides)
+        self.whole = all(s.whole for s in self.sides)
         self.may = np.zeros(256, bool)
         self.may[_MAY_BE_SPACE] = True
-        self.new: dict[bytes, tuple] = {}
-        self.old: dict[bytes, tuple] = {}
+        self.letter, self.mark = np.zeros(256, bool), np.zeros(256, bool)
+        self.letter[[*range(65, 91), *range(97, 123)]] = True
+        self.mark[[ord(c) for c in self.sides[1].marks]] = True
+        self.known: dict[bytes, int] = {}
+        self.ok, self.used = np.zeros(0, bool), np.zeros(0, np.int64)
+        self.ids = [np.zeros(0, np.uint32), np.zeros(0, np.uint32)]
+        self.upto = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+
+    def _forget(self) -> None:
+        """Keeps the pieces seen more than once since the last time, the most frequent half of the table at most."""
+        often = np.flatnonzero(self.used > 1)
+        often = np.sort(often[np.argsort(-self.used[often], kind="stable")[: CACHE // 2]])
+        parts = list(self.known)
+        self.known = {parts[k]: i for i, k in enumerate(often.tolist())}
+        self.ok, self.used = self.ok[often], np.zeros(len(often), np.int64)
+        for s in (0, 1):
+            start, n = self.upto[s][often], self.upto[s][often + 1] - self.upto[s][often]
+            self.upto[s] = np.concatenate([[0], np.cumsum(n)])
+            self.ids[s] = self.ids[s][np.repeat(start - self.upto[s][:-1], n) + np.arange(n.sum())]
 
     def cut(self, column: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Pieces of a space and each text, and the first piece of each row (n + 1 places)."""
@@ -121,44 +145,48 @@ class Encoder:
         off = off + np.arange(n + 1)
         starts = off[:-1]
         if self.by_piece and len(data):
-            inner = np.flatnonzero((data[1:] == 0x20) & ~self.may[data[:-1]]) + 1
-            starts = np.union1d(inner, starts)
+            begins = np.zeros(len(data), bool)
+            begins[starts] = True
+            begins[1:] |= (data[1:] == 0x20) & ~self.may[data[:-1]] | self.mark[data[1:]] & self.letter[data[:-1]]
+            starts = np.flatnonzero(begins)
         ends = np.append(starts, len(data)).astype(np.int64)
         parts = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)])
         return parts, np.searchsorted(starts, off)
 
-    def _missing(self, parts: list[bytes]) -> list[tuple]:
+    def _learn(self, parts: list[bytes]) -> None:
         plain = [p.decode() for p in parts]
-        found = []
-        for p, *ids in zip(parts, *(s.encode(plain) for s in self.sides), strict=True):
-            ok = all(b"".join(map(s.bytes.__getitem__, x)) == p for s, x in zip(self.sides, ids, strict=True))
-            found.append((ok, *(np.array(x, np.uint32) for x in ids)))
-        return found
+        ids = [s.encode(plain) for s in self.sides]
+        if self.whole:  # a piece's tokens join to its bytes unless the B side takes a character for a space
+            ok = [b"\xe2\x96\x81" not in p for p in parts]
+        else:
+            ok = [all(b"".join(map(s.bytes.__getitem__, x[k])) == p for s, x in zip(self.sides, ids, strict=True)) for k, p in enumerate(parts)]
+        self.ok, self.used = np.concatenate([self.ok, ok]), np.concatenate([self.used, np.zeros(len(ok), np.int64)])
+        for s, x in enumerate(ids):
+            n = np.fromiter(map(len, x), np.int64, len(x))
+            self.ids[s] = np.concatenate([self.ids[s], np.fromiter(chain.from_iterable(x), np.uint32, int(n.sum()))])
+            self.upto[s] = np.concatenate([self.upto[s], self.upto[s][-1] + np.cumsum(n)])
+        self.known.update(zip(parts, range(len(self.known), len(self.ok)), strict=True))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
         """ok of each row; for each side all ids, and the first of each row (n + 1 places)."""
         parts, first = self.cut(column)
         coded = parts.dictionary_encode()
         own = coded.dictionary.to_pylist()
-        known = [self.new.get(p) or self.old.get(p) for p in own]
-        lack = [k for k, x in enumerate(known) if x is None]
-        for k, x in zip(lack, self._missing([own[k] for k in lack]) if lack else [], strict=True):
-            known[k] = x
-        for p, x in zip(own, known, strict=True):
-            if len(p) <= LONGEST:
-                if len(self.new) >= CACHE:
-                    self.old, self.new = self.new, {}
-                self.new[p] = x
-        code = coded.indices.to_numpy()
-        ok = np.array([x[0] for x in known], bool)[code]
-        bad = np.concatenate([[0], np.cumsum(~ok)])
+        if len(self.known) > CACHE:
+            self._forget()
+        lack = [p for p in own if p not in self.known]
+        if lack:
+            self._learn(lack)
+        place, code = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own)), coded.indices.to_numpy()
+        self.used[place] += np.bincount(code, minlength=len(own))
+        place = place[code]
+        bad = np.concatenate([[0], np.cumsum(~self.ok[place])])
         ids, at = [], []
-        for side in (1, 2):
-            size = np.array([len(x[side]) for x in known], np.int64)
-            start = np.cumsum(size) - size
-            n = size[code]
+        for s in (0, 1):
+            start = self.upto[s][place]
+            n = self.upto[s][place + 1] - start
             upto = np.concatenate([[0], np.cumsum(n)])
-            ids.append(np.concatenate([x[side] for x in known])[np.repeat(start[code] - upto[:-1], n) + np.arange(upto[-1])])
+            ids.append(self.ids[s][np.repeat(start - upto[:-1], n) + np.arange(upto[-1])])
             at.append(upto[first])
         return bad[first[1:]] == bad[first[:-1]], ids, at
 
@@ -183,7 +211,7 @@ def events(docs: DataFrame, models: tuple[str, str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, squeeze = load(models), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 19):
+            for part in slices(batch, "text", 1 << 20):
                 ok, ids, at = encoder.encode(part.column(1))
                 size = np.diff(buffers(part.column(1))[1])
                 ok &= size > 0
