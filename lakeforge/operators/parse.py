@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import count_token, function_name, second_field, trim_space
-from ..sources.scan import lines
+from ..sources.scan import line_parts, lines, without_return
 
 
 def catalog_entries(files: DataFrame) -> DataFrame:
@@ -27,20 +27,30 @@ def bodies(functions: DataFrame, files: DataFrame) -> DataFrame:
     """id, code: from the first function line that holds the name anywhere, up to the line on which the braces balance
     (the end of the file if they never do); '' if no line has the name or the file can't be read.
 
-    Running brace sums are made once for each file; its functions meet the file's row, and find start and end in it.
+    A file is gone through once, whatever the number of its functions: running balances, and for each line the next one that opens a
+    brace.  A line that closes braces leaves some levels, at most one for each brace; a body ends at the first line that leaves
+    the level before its head, which is looked up among the lines that leave this level.  Bodies are then cut out of the
+    file's row.
     """
-    wanted = functions.groupBy(F.col("file_path").alias("path")).agg(F.collect_list(F.struct("id", "func_name")).alias("names"))
-    upto = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    own_open, own_close = count_token(F.col("line"), "{"), count_token(F.col("line"), "}")
-    rows = lines(files.join(wanted.select("path"), "path", "left_semi").select("path", "text"))
-    rows = rows.select("path", "line_no", "line", F.sum(own_open).over(upto).alias("opened"), F.sum(own_open - own_close).over(upto).alias("balance"), own_open.alias("own_open"), (own_open - own_close).alias("own"))
-    rows = rows.withColumn("starts", trim_space(F.col("line")).startswith("func "))
-    each = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "line", "opened", "balance", "own_open", "own", "starts"))).alias("body"))
-    each = each.withColumn("heads", F.filter("body", lambda x: x["starts"])).join(wanted, "path").select("body", "heads", F.explode("names").alias("f"))
-    each = each.withColumn("head", F.try_element_at(F.filter("heads", lambda x: F.contains(x["line"], F.col("f.func_name"))), F.lit(1))).where("head is not null")
-    opened, balance = F.col("head.opened") - F.col("head.own_open"), F.col("head.balance") - F.col("head.own")
-    ends = F.filter("body", lambda x: (x["line_no"] >= F.col("head.line_no")) & (x["opened"] > opened) & (x["balance"] <= balance))
-    last = F.coalesce(F.try_element_at(ends, F.lit(1))["line_no"], F.size("body") - 1)
-    own = F.slice("body", F.col("head.line_no") + 1, last - F.col("head.line_no") + 1)
-    code = each.select("f.id", F.concat(F.array_join(F.transform(own, lambda x: x["line"]), "\n"), F.lit("\n")).alias("code"))
-    return functions.select("id").join(code, "id", "left").select("id", F.coalesce("code", F.lit("")).alias("code"))
+    wanted = functions.select("id", "func_name", F.col("file_path").alias("path"))
+    own = files.join(wanted.select("path").distinct(), "path", "left_semi").select("path", "text")
+    opens, closes = count_token(F.col("line"), "{"), count_token(F.col("line"), "}")
+    head = F.when(F.col("line").rlike(r"(?U)^\s*func ") & trim_space(F.col("line")).startswith("func "), F.col("line"))
+    rows = lines(own).select("path", "line_no", head.alias("head"), opens.alias("opens"), (opens - closes).alias("change"))
+    down = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    up = W.partitionBy("path").orderBy(F.desc("line_no")).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("balance", F.sum("change").over(down)).where("head is not null or opens > 0 or change < 0")
+    rows = rows.withColumn("start", F.last(F.when(F.col("opens") > 0, F.struct("line_no", "balance")), ignorenulls=True).over(up))
+    heads = rows.where("head is not null").select("path", "line_no", "head", (F.col("balance") - F.col("change")).alias("level"), "start")
+    found = wanted.join(heads, "path").where(F.contains("head", "func_name")).groupBy("id", "path").agg(F.min(F.struct("line_no", "level", "start")).alias("h")).select("id", "path", F.col("h.line_no").alias("first"), "h.level", "h.start")
+    at_once = F.col("start.balance") <= F.col("level")  # on the line that opens the first brace
+    asked = found.select("path", "level", F.when(~at_once, F.col("start.line_no")).alias("line_no"), F.struct("id", "first", F.when(at_once, F.col("start.line_no")).alias("last")).alias("body"))
+    left = rows.where("change < 0").select("path", F.explode(F.sequence("balance", F.col("balance") - F.col("change") - 1)).alias("level"), "line_no", F.lit(None).cast(asked.schema["body"].dataType).alias("body"))
+    later = W.partitionBy("path", "level").orderBy(F.desc("line_no"), F.col("body").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    ends = asked.unionByName(left).withColumn("next", F.last(F.when(F.col("body").isNull(), F.col("line_no")), ignorenulls=True).over(later)).where("body is not null")
+    last = F.coalesce("body.last", F.when(F.col("line_no").isNotNull(), F.col("next")))
+    ranges = ends.groupBy("path").agg(F.collect_list(F.struct("body.id", "body.first", last.alias("last"))).alias("ranges"))
+    cut = own.join(ranges, "path").select(F.transform(line_parts(F.col("text")), without_return).alias("lines"), "ranges")
+    code = lambda r: F.concat(F.array_join(F.slice(F.col("lines"), r["first"] + 1, F.coalesce(r["last"], F.size("lines") - 1) - r["first"] + 1), "\n"), F.lit("\n"))
+    codes = cut.select(F.explode(F.transform("ranges", lambda r: F.struct(r["id"].alias("id"), code(r).alias("code")))).alias("b")).select("b.id", "b.code")
+    return functions.select("id").join(codes, "id", "left").select("id", F.coalesce("code", F.lit("")).alias("code"))

@@ -2,9 +2,10 @@
 
 Every pending function is a root, so all first calls are one stage; an audited child without a summary is analysed
 anew with its callers, down to max_depth.  Enrichment goes up from the leaves: a round takes the functions whose children
-are all final; if a round finds none, what is left holds cycles, and the functions that reach themselves are taken together,
-seeing the stub for children that aren't final.  After max_depth rounds the rest keeps its first summary.  A child
-counts once it is extracted or audited, or its name has a summary; a failed one doesn't make its caller be enriched.
+are all final; if a round finds none, what is left holds cycles, which are opened: the first function of a cycle is the one that a walk
+would still have under way, so its callers there see the stub for it, and it sees their summaries.  A child counts once it
+is extracted or audited, or its name has a summary; one that failed counts but for the caller that met it first, and one that
+lies deeper than max_depth below the root that a walk comes from doesn't count for its caller (`met`).
 A failed enrichment keeps the first summary (compat: blanks it).
 
 Functions are IN_PROGRESS until their summary is final, which alone is stored: after a crash the next start takes up
@@ -46,6 +47,9 @@ def prompts(ids: DataFrame, functions: DataFrame, dependencies: DataFrame, files
     return rows.select("id", summary_prompt().alias("prompt"), (F.col("code") != "").alias("has_code"))
 
 
+COMPACT = 8  # levels after which what has been seen is written as one table again
+
+
 def reached(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     """node, depth: what edges(a, b) reach from roots(node), whose depth is 1; nothing beyond max_depth, and no node twice."""
     front = cut_lineage(roots.select("node").distinct().withColumn("depth", F.lit(1)), "front")
@@ -56,6 +60,8 @@ def reached(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
         if not front.limit(1).count():
             break
         seen = seen.union(front)
+        if depth % COMPACT == 0:
+            seen = cut_lineage(seen.coalesce(max(1, seen.sparkSession.sparkContext.defaultParallelism)), "seen")
     return seen
 
 
@@ -73,12 +79,13 @@ def best_of(best, a: str, b: str) -> Column:
     return (F.greatest if best is F.max else F.least)(F.col(a), F.coalesce(b, a)).alias("new")
 
 
-def _members(edges: list[tuple[str, str]]) -> list[str]:
-    """The nodes on cycles: strong components of two nodes or more, and loops (Tarjan, with a stack of its own)."""
+def _strong(edges: list[tuple[str, str]]) -> dict[str, str]:
+    """node -> least member of its strong component, for nodes on cycles: components of two nodes or more, and loops (Tarjan, with a
+    stack of its own)."""
     out: dict[str, list[str]] = {}
     for a, b in edges:
         out.setdefault(a, []).append(b)
-    number, low, held, on, found = {}, {}, [], set(), {a for a, b in edges if a == b}
+    number, low, held, on, found = {}, {}, [], set(), {a: a for a, b in edges if a == b}
     for root in out:
         if root in number:
             continue
@@ -98,7 +105,8 @@ def _members(edges: list[tuple[str, str]]) -> list[str]:
                     while not own or own[-1] != node:
                         own.append(held.pop())
                     on.difference_update(own)
-                    found.update(own if len(own) > 1 else ())
+                    if len(own) > 1:
+                        found |= dict.fromkeys(own, min(own))
             elif child not in number:
                 number[child] = low[child] = len(number)
                 held.append(child)
@@ -106,25 +114,26 @@ def _members(edges: list[tuple[str, str]]) -> list[str]:
                 work.append((child, iter(out.get(child, ()))))
             elif child in on:
                 low[node] = min(low[node], number[child])
-    return sorted(found)
+    return found
+
 
+SMALL = 500  # edges that may come to the driver
 
-def on_cycles(edges: DataFrame, small: int = 200_000) -> DataFrame:
-    """id of every node of edges(function_id, child) that reaches itself. Up to `small` edges are searched on the driver,
-    which spares a job for each step; beyond, the search is one of joins, with the same result.
+
+def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """id, component: every node of edges(function_id, child) that reaches itself, with the least member of its strong component. What is
+    left once there are `small` edges is searched on the driver, which spares a job for each step.
 
     Nodes without a way in or out are trimmed; of the rest, a node's label is the greatest node that reaches it, and
-    the nodes from which the label's own node can be reached with the same label are its cycle's. Those go, and the search
+    the nodes from which the label's own node can be reached with the same label are its component.  Those go, and the search
     goes on with what is left. State grows with the edges, never with the pairs.
     """
+    spark = edges.sparkSession
     left = cut_lineage(edges.select(F.col("function_id").alias("a"), F.col("child").alias("b")).distinct(), "cycle-edges")
-    found = left.select(F.col("a").alias("id")).limit(0)
-    loops = left.where("a = b").select(F.col("a").alias("id"))
-    size = left.count()
-    if size <= small:
-        return edges.sparkSession.createDataFrame([(x,) for x in _members([(r.a, r.b) for r in left.collect()])], found.schema)
-    while size:
-        trimmed = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+    loops = left.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component"))
+    found, size = loops.limit(0), left.count()
+    while size > small:
+        trimmed = left.where("a <> b").join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
         trimmed = cut_lineage(trimmed, "cycle-edges")
         left, before, size = trimmed, size, trimmed.count()
         if size < 0.9 * before or not size:
@@ -133,32 +142,113 @@ def on_cycles(edges: DataFrame, small: int = 200_000) -> DataFrame:
         color = _spread(nodes.withColumn("label", F.col("node")), left, F.max)
         a, b = color.select(F.col("node").alias("a"), F.col("label").alias("la")), color.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         inside = cut_lineage(left.join(a, "a").join(b, "b").where("la = lb").select(F.col("b").alias("a"), F.col("a").alias("b")), "cycle-inner")  # backwards
-        own = reached(inside, color.where("node = label").join(inside.select(F.col("a").alias("node")).distinct(), "node", "left_semi"), 1 << 30).select("node")
-        own = cut_lineage(own, "cycle")
-        closed = inside.join(own, inside.a == own.node, "left_semi").join(own, inside.b == own.node, "left_semi")
-        found = found.union(closed.select(F.col("a").alias("id"))).union(closed.select(F.col("b").alias("id")))
-        gone = color.where("node = label").select("node").union(own).distinct()
+        roots = color.where("node = label").join(inside.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+        own = cut_lineage(reached(inside, roots, 1 << 30).join(color, "node").select("node", "label"), "cycle")
+        several = own.groupBy("label").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
+        found = found.union(own.join(several, "label").select(F.col("node").alias("id"), "component"))
+        gone = color.where("node = label").select("node").union(own.select("node")).distinct()
         left = cut_lineage(left.join(gone, left.a == gone.node, "left_anti").join(gone, left.b == gone.node, "left_anti"), "cycle-edges")
         size = left.count()
-    return found.union(loops).distinct()
+    if size:
+        rest = _strong([(r.a, r.b) for r in left.where("a <> b").collect()])
+        found = found.union(spark.createDataFrame(sorted(rest.items()), found.schema))
+    return found.union(loops.join(found.select("id"), "id", "left_anti"))
+
+
+def condensed(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """function_id, child: edges between components; a node outside of cycles is its own. There are no cycles in it."""
+    a, b = (components.select(F.col("id").alias(c), F.col("component").alias(f"own_{c}")) for c in ("function_id", "child"))
+    rows = edges.join(a, "function_id", "left").join(b, "child", "left")
+    rows = rows.select(F.coalesce("own_function_id", "function_id").alias("function_id"), F.coalesce("own_child", "child").alias("child"))
+    return rows.where("function_id <> child").distinct()
 
 
-def rounds(edges: DataFrame, most: int) -> Iterator[DataFrame]:
+def on_cycles(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """id of every node of edges(function_id, child) that reaches itself."""
+    return strong_components(edges, small).select("id")
+
+
+def opened(edges: DataFrame, order: DataFrame) -> DataFrame:
+    """edges without those that lead, within a component that calls no other, to its first member by order(id, seq): that member is the one
+    a walk from it meets while it's under way, so its callers there see the stub, and it sees them."""
+    components = cut_lineage(strong_components(edges), "components")
+    above = condensed(edges, components).select(F.col("function_id").alias("component")).distinct()
+    lowest = components.join(above, "component", "left_anti").join(order, "id", "left")
+    first = lowest.groupBy("component").agg(F.min(F.struct(F.coalesce("seq", F.lit((1 << 62))), F.col("id"))).alias("first")).select("component", F.col("first.id").alias("child"))
+    back = edges.join(components.withColumnRenamed("id", "function_id"), "function_id").join(first, ["component", "child"]).select("function_id", "child")
+    return edges.join(back, ["function_id", "child"], "left_anti")
+
+
+def rounds(edges: DataFrame, most: int, order: DataFrame | None = None) -> Iterator[DataFrame]:
     """The nodes that edges(function_id, child) start from, round by round: those whose children have all been taken or have
-    no children; where there are none, those on cycles."""
+    no children; where there are none, cycles are opened at their first member by order(id, seq)."""
     edges = cut_lineage(edges.where("function_id <> child").select("function_id", "child").distinct(), "edges")
     left = cut_lineage(edges.select(F.col("function_id").alias("id")).distinct(), "left")
+    order = left.select("id", F.lit(0).alias("seq")) if order is None else order
     for _ in range(most):
-        if not left.limit(1).count():
-            return
-        open_edges = edges.join(left.withColumnRenamed("id", "child"), "child", "left_semi").join(left.withColumnRenamed("id", "function_id"), "function_id", "left_semi")
-        ready = cut_lineage(left.join(open_edges.select(F.col("function_id").alias("id")), "id", "left_anti"), "ready")
-        if not ready.limit(1).count():
-            ready = cut_lineage(on_cycles(open_edges), "ready")
+        while True:
+            if not left.limit(1).count():
+                return
+            open_edges = edges.join(left.withColumnRenamed("id", "child"), "child", "left_semi").join(left.withColumnRenamed("id", "function_id"), "function_id", "left_semi")
+            ready = cut_lineage(left.join(open_edges.select(F.col("function_id").alias("id")), "id", "left_anti"), "ready")
+            if ready.limit(1).count():
+                break
+            edges = cut_lineage(opened(open_edges, order), "edges")
         yield ready
         left = cut_lineage(left.join(ready, "id", "left_anti"), "left")
 
 
+def _deep(edges: DataFrame, depth: int) -> bool:
+    """Whether there is a path of more than `depth` nodes (of any length, on a cycle)."""
+    at = cut_lineage(edges.select(F.col("function_id").alias("id")).distinct(), "deep")
+    for _ in range(depth):
+        if not at.limit(1).count():
+            return False
+        at = cut_lineage(at.join(edges, at.id == edges.function_id).select(F.col("child").alias("id")).distinct(), "deep")
+    return bool(at.limit(1).count())
+
+
+MOST_STEPS = 200
+
+
+def visits(edges: DataFrame, own: DataFrame, max_depth: int) -> DataFrame:
+    """id, root, depth: from which root of own(id, seq) a walk in the order of seq meets each function first, and how deep; a walk goes
+    along edges(function_id, child), not below max_depth. Of several ways from one root the shortest counts.
+
+    A function's root is its own or the least that one of its callers hands down; that is worked out anew in each step, from the
+    callers' present roots, until nothing changes, for a caller that turns out to lie deeper may hand down no more.
+    """
+    own = own.select("id", F.struct(F.col("seq").alias("root"), F.lit(1).alias("depth")).alias("first"))
+    labels = cut_lineage(own.select("id", "first.*"), "visits")
+    for _ in range(MOST_STEPS):
+        handed = labels.where(F.col("depth") < max_depth).join(edges, labels.id == edges.function_id)
+        handed = handed.groupBy(F.col("child").alias("id")).agg(F.min(F.struct("root", (F.col("depth") + 1).alias("depth"))).alias("via"))
+        new = cut_lineage(own.join(handed, "id", "left").select("id", F.least("first", "via").alias("v")).select("id", "v.*"), "visits")
+        before = labels.select("id", F.col("root").alias("r"), F.col("depth").alias("d"))
+        labels = new
+        if not new.join(before, "id").where("root <> r or depth <> d").limit(1).count():
+            break
+    return labels
+
+
+def met(edges: DataFrame, ran: DataFrame, max_depth: int) -> DataFrame:
+    """The edges(function_id, child) whose caller finds its child resolved, where both are of ran(id, ok, seq), the functions of this run.
+
+    A walk takes the functions as roots in the order of seq, and children before callers.  A child that lies too deep for the walk that
+    meets its caller is visited later, as a root, and isn't resolved for it.  A failed child is resolved for all that may still
+    descend to it but the caller that meets it first, for which it fails.
+    """
+    failed = ran.where(~F.col("ok")).select(F.col("id").alias("child"))
+    if not edges.join(failed, "child", "left_semi").limit(1).count() and not _deep(edges, max_depth):
+        return edges
+    found = cut_lineage(visits(edges, ran, max_depth), "visits")
+    a = found.select(F.col("id").alias("function_id"), F.col("root").alias("from"), F.col("depth").alias("level"))
+    b = found.join(ran.select("id", "ok", "seq"), "id").select(F.col("id").alias("child"), "root", "ok")
+    rows = cut_lineage(edges.join(a, "function_id").join(b, "child").join(ran.select(F.col("id").alias("function_id"), "seq"), "function_id").where(F.col("root") <= F.col("from")).where(F.col("ok") | (F.col("level") < max_depth)), "met")
+    first = rows.where("root = from and not ok").groupBy("child").agg(F.min(F.struct("level", "seq", "function_id")).alias("f")).select("child", F.col("f.function_id").alias("function_id"))
+    return rows.select("function_id", "child").join(first, ["function_id", "child"], "left_anti")
+
+
 def heights(edges: DataFrame, most: int) -> DataFrame:
     """id, height: the round in which each caller is taken, from 1."""
     out = edges.select(F.col("function_id").alias("id"), F.lit(0).alias("height")).limit(0)
@@ -202,10 +292,14 @@ def run_pass(store: StateStore, files: DataFrame, model: Model, config: Config,
     functions = store.read("functions")
     dependencies = reply_dependencies(replies)
     told = has_summary(dependencies.select("dep_name").distinct(), functions)
-    alive = functions.where(F.col("status").isin(EXTRACTED, AUDITED)).select("id").union(good.select("id")).distinct()
-    edges = internal_edges(dependencies, functions).join(good.select(F.col("id").alias("function_id")), "function_id", "left_semi")
+    ran = cut_lineage(replies.select("id", "ok").join(functions.select("id", "seq"), "id"), "ran")
+    before = functions.where(F.col("status").isin(EXTRACTED, AUDITED, FAILED)).select(F.col("id").alias("child")).join(ran.select(F.col("id").alias("child")), "child", "left_anti")
+    edges = cut_lineage(internal_edges(dependencies, functions).join(good.select(F.col("id").alias("function_id")), "function_id", "left_semi").select("function_id", "child", "dep_name").distinct(), "calls")
     named = edges.join(told, "dep_name", "left_semi").select("function_id", "child")
-    edges = cut_lineage(named.union(edges.join(alive.withColumnRenamed("id", "child"), "child", "left_semi").select("function_id", "child")).distinct(), "edges")
+    others = edges.join(told, "dep_name", "left_anti").select("function_id", "child").distinct()
+    inside = cut_lineage(others.join(ran.select(F.col("id").alias("child")), "child", "left_semi").select("function_id", "child"), "inside")
+    known = named.union(others.join(before, "child", "left_semi").select("function_id", "child"))
+    edges = cut_lineage(known.union(met(inside, ran, config.max_depth)).distinct(), "edges")
     enriched = cut_lineage(edges.select(F.col("function_id").alias("id")).distinct(), "enriched")
     store.commit(functions=finalise(functions, good.join(enriched, "id", "left_anti")))
     inner = edges.join(enriched.withColumnRenamed("id", "child"), "child", "left_semi").select("function_id", "child")
@@ -213,7 +307,7 @@ def run_pass(store: StateStore, files: DataFrame, model: Model, config: Config,
     # callers of final functions alone come first, and with them those of callers that call nobody else
     marks = inner.union(alone.select("id", F.lit("").alias("child")))
     progress.tick(total - enriched.count())
-    for k, ready in enumerate(rounds(marks, config.max_depth - 1), 1):
+    for k, ready in enumerate(rounds(marks, 1 << 30, functions.select("id", "seq")), 1):
         known = cut_lineage(prompts(ready, store.read("functions"), store.read("dependencies"), files), "prompts")
         with progress.following(answers.count if answers else None):
             again = cut_lineage(discover(known, model, config.workers, retries=0, log=answers, stage="enrich"), "again")
@@ -222,9 +316,5 @@ def run_pass(store: StateStore, files: DataFrame, model: Model, config: Config,
         store.commit(functions=finalise(store.read("functions"), again))
         progress.tick(n := ready.count())
         log.info("round %d: %d functions enriched; %s", k, n, progress.text())
-    rest = good.join(store.read("functions").where(F.col("status") == IN_PROGRESS), "id", "left_semi")
-    if rest.limit(1).count():
-        log.warning("%d functions stand higher than the maximum depth and keep their first summary", rest.count())
-        store.commit(functions=finalise(store.read("functions"), rest))
     if answers:
         answers.clear()

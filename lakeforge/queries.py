@@ -20,6 +20,7 @@ from .operators import state as S
 from .plans import audit
 from .plans import graph as G
 from .plans.infer import StubModel, ask, discover, reply_dependencies, request_column
+from .session import cut_lineage
 from .sources import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -287,7 +288,21 @@ def tree_levels(spark, sf_dir):
 def cycle_members(spark, sf_dir):
     """What reaches itself in the same graph."""
     down, up = _tree(spark, sf_dir)
-    return G.on_cycles(down.union(up).select(F.col("a").cast("string").alias("function_id"), F.col("b").cast("string").alias("child")))
+    return G.on_cycles(down.union(up).select(F.col("a").cast("string").alias("function_id"), F.col("b").cast("string").alias("child")), small=0)
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+ c AS (SELECT x.a, min(CAST(x.b AS VARCHAR)) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY 1)
+SELECT component, count(*) AS size, (SELECT count(DISTINCT d.component) FROM e JOIN c s ON s.a = e.a JOIN c d ON d.a = e.b WHERE s.component = c.component AND d.component <> c.component) AS below FROM c GROUP BY 1""")
+def component_sizes(spark, sf_dir):
+    """Strong components of the same graph by their least member: how many nodes each has, and how many others it calls."""
+    down, up = _tree(spark, sf_dir)
+    edges = down.union(up).select(F.col("a").cast("string").alias("function_id"), F.col("b").cast("string").alias("child"))
+    components = cut_lineage(G.strong_components(edges, small=0), "components")
+    own = components.select(F.col("component").alias("child")).distinct()
+    below = G.condensed(edges, components).join(own, "child", "left_semi").groupBy(F.col("function_id").alias("component")).agg(F.count("*").alias("below"))
+    sizes = components.groupBy("component").agg(F.count("*").alias("size"))
+    return sizes.join(below, "component", "left").select("component", "size", F.coalesce("below", F.lit(0)).alias("below"))
 
 
 _REPLY = "concat(CASE WHEN p_size % 4 = 0 THEN 'O K' WHEN p_size % 4 = 1 THEN concat('ok ', p_size) WHEN p_size % 4 = 2 THEN 'NOT OK' ELSE p_name END, CASE WHEN p_size % 3 = 0 THEN ', all good' ELSE '' END)"

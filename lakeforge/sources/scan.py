@@ -106,11 +106,19 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
     return read_files(list_files(spark, root).where(wanted(F.col("path"))), root)
 
 
+def line_parts(text: Column) -> Column:
+    """The lines of a text with their carriage returns. A line ends at a newline; an empty last line isn't one."""
+    parts = F.split(text, "\n", -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
+def without_return(line: Column) -> Column:
+    return F.regexp_replace(line, r"\r\z", "")
+
+
 def lines(files: DataFrame, text: str = "text") -> DataFrame:
-    """files with line_no (from 0) and line in place of text. A line ends at a newline, with one carriage return before
-    it; an empty last line isn't one; files with an overlong line are left out whole."""
-    parts = F.split(F.col(text), "\n", -1)
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    """files with line_no (from 0) and line, without one carriage return at its end, in place of text. Files with an overlong line
+    are left out whole."""
     keep = [c for c in files.columns if c != text]
-    rows = files.select(*keep, parts.alias("parts")).where(F.forall("parts", lambda x: F.octet_length(x) < MAX_LINE))
-    return rows.select(*keep, F.posexplode("parts").alias("line_no", "line")).withColumn("line", F.regexp_replace("line", r"\r\z", ""))
+    rows = files.select(*keep, line_parts(F.col(text)).alias("parts")).where(F.forall("parts", lambda x: F.octet_length(x) < MAX_LINE))
+    return rows.select(*keep, F.posexplode("parts").alias("line_no", "line")).withColumn("line", without_return(F.col("line")))

@@ -244,6 +244,8 @@ def test_cycles_and_rounds(spark):
             reach = {a: frozenset(b for x, b in edges if x == a) | frozenset(c for x, b in edges if x == a for c in reach[b]) for a in range(n)}
         df = spark.createDataFrame([(str(a), str(b)) for a, b in edges], "function_id string, child string")
         for small in (0, 1000):
+            strong = {str(a): min(str(b) for b in reach[a] if a in reach[b]) for a in range(n) if a in reach[a]}
+            assert dict(of(G.strong_components(df, small).collect(), "id", "component")) == strong
             assert {x.id for x in G.on_cycles(df, small).collect()} == {str(a) for a in range(n) if a in reach[a]}
     chain = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", "d"), ("d", "a")], "function_id string, child string")
     assert dict(of(G.heights(chain, 9).collect(), "id", "height")) == {"b": 1, "a": 2, "d": 3}
@@ -301,7 +303,7 @@ def test_first_and_second_run(project, tmp_path, caplog, spark):
     with caplog.at_level(logging.INFO, "lakeforge"):
         summaries, status, calls, store = project(CALLS, names="abcdefghijk", fail="i", bad_second="j")
     assert {n: summaries[n] for n in "abc"} == {"c": "c<>", "b": "b<c=c<>>", "a": "a<b=b<c=c<>>>"}
-    assert {n: summaries[n] for n in "def"} == {"d": "d<e?>", "e": "e<d?>", "f": "f<f?>"}
+    assert {n: summaries[n] for n in "def"} == {"d": "d<e=e<d?>>", "e": "e<d?>", "f": "f<f?>"}
     assert summaries["g"] == "g<c=c<>+k=k<>>" and {n: summaries[n] for n in "hij"} == {"h": "h<>", "i": None, "j": "j<>"}
     assert sorted(calls) == sorted("aabbcddeeffgghiiiijjk")
     assert {n for n, x in status.items() if x != "AUDITED"} == {"i"} and status["i"] == "FAILED_PARSE"
@@ -312,13 +314,62 @@ def test_first_and_second_run(project, tmp_path, caplog, spark):
     # an audited function loses its summary; new callers come: of it, of one that has its own, and of the failed one
     store.commit(functions=store.read("functions").withColumn("summary", F.when(F.col("func_name") == "k", F.lit("")).otherwise(F.col("summary"))))
     summaries, status, calls, _ = project(CALLS | {"l": fn("k"), "m": fn("b"), "n": fn("i")}, names="abcdefghijklmn", fail="i")
-    assert sorted(calls) == sorted("llkmmn") and summaries["l"] == "l<k=k<>>" and summaries["m"] == "m<b=b<c=c<>>>" and summaries["n"] == "n<>"
+    assert sorted(calls) == sorted("llkmmnn") and summaries["l"] == "l<k=k<>>" and summaries["m"] == "m<b=b<c=c<>>>" and summaries["n"] == "n<i?>"
     assert {n for n, x in status.items() if x != "AUDITED"} == {"i"}
 
 
 def test_depth_guard_and_blanked_enrichment(project):
+    """A walk from a stops at b, whose child is done later, as a root of its own."""
     summaries, status, _, _ = project({"a": fn("b"), "b": fn("c"), "j": fn("k")}, names="abcjk", max_depth=2, bad_second="j", compat=True)
-    assert summaries == {"c": "c<>", "b": "b<c=c<>>", "a": "a<>", "j": "", "k": "k<>"} and set(status.values()) == {"AUDITED"}
+    assert summaries == {"c": "c<>", "b": "b<>", "a": "a<b=b<>>", "j": "", "k": "k<>"} and set(status.values()) == {"AUDITED"}
+
+
+def test_failed_children(project):
+    """i fails under h, the first to call it, so h isn't asked again; k and l find it failed. b fails as a root, before its callers come."""
+    summaries, status, calls, _ = project({"h": fn("i"), "k": fn("i"), "l": fn("i", "m"), "c": fn("b"), "d": fn("b", "fmt")}, names="bcdhiklm", fail="ib")
+    assert {n: summaries[n] for n in "hkl"} == {"h": "h<>", "k": "k<i?>", "l": "l<i?+m=m<>>"} and {n: summaries[n] for n in "cd"} == {"c": "c<b?>", "d": "d<b?+fmt?>"}
+    assert calls.count("h") == 1 and calls.count("k") == calls.count("l") == 2 and status["i"] == status["b"] == "FAILED_PARSE"
+
+
+class Walk:
+    """One function at a time: roots in order, children first, in the order of their names."""
+
+    def __init__(self, calls, fail, most):
+        self.calls, self.fail, self.most, self.status, self.asked_again = calls, fail, most, {}, set()
+
+    def visit(self, n, depth=1):
+        if depth > self.most:
+            return False
+        if n in self.status:
+            return True
+        self.status[n] = "under way"
+        if n in self.fail:
+            self.status[n] = "failed"
+            return False
+        again = False
+        for c in self.calls.get(n, ()):
+            again |= self.status.get(c) == "done" or self.visit(c, depth + 1)
+        if again:
+            self.asked_again.add(n)
+        self.status[n] = "done"
+        return True
+
+
+def test_met_is_the_walk(spark):
+    """On forests of calls (one way to each function from each root), with failures and a bounded depth."""
+    r = random.Random(3)
+    for k in range(4):
+        names = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in r.sample(range(200), 24)]
+        calls = {}
+        for i, n in enumerate(names[1:], 1):
+            calls.setdefault(names[r.randrange(max(0, i - 3), i)], []).append(n)
+        fail, most = set(r.sample(names, 4)), r.choice([2, 3, 4, 20])
+        walk = Walk(calls, fail, most)
+        for n in sorted(names):
+            walk.visit(n)
+        ran = spark.createDataFrame([(n, n not in fail, i) for i, n in enumerate(sorted(names))], "id string, ok boolean, seq long")
+        edges = spark.createDataFrame([(a, b) for a in calls if a not in fail for b in calls[a]], "function_id string, child string")
+        assert {x.function_id for x in G.met(edges, ran, most).collect()} == walk.asked_again, k
 
 
 def test_crash_between_the_calls(project, monkeypatch):
