@@ -36,20 +36,22 @@ def bodies(functions: DataFrame, files: DataFrame) -> DataFrame:
     own = files.join(wanted.select("path").distinct(), "path", "left_semi").select("path", "text")
     opens, closes = count_token(F.col("line"), "{"), count_token(F.col("line"), "}")
     head = F.when(F.col("line").rlike(r"(?U)^\s*func ") & trim_space(F.col("line")).startswith("func "), F.col("line"))
-    rows = lines(own).select("path", "line_no", head.alias("head"), opens.alias("opens"), (opens - closes).alias("change"))
+    rows = lines(own).select("path", "line_no", head.alias("head"), opens.alias("opens"), (opens - closes).alias("change")).where("head is not null or opens > 0 or change < 0")
     down = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     up = W.partitionBy("path").orderBy(F.desc("line_no")).rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("balance", F.sum("change").over(down)).where("head is not null or opens > 0 or change < 0")
+    rows = rows.withColumn("balance", F.sum("change").over(down))
     rows = rows.withColumn("start", F.last(F.when(F.col("opens") > 0, F.struct("line_no", "balance")), ignorenulls=True).over(up))
-    heads = rows.where("head is not null").select("path", "line_no", "head", (F.col("balance") - F.col("change")).alias("level"), "start")
-    found = wanted.join(heads, "path").where(F.contains("head", "func_name")).groupBy("id", "path").agg(F.min(F.struct("line_no", "level", "start")).alias("h")).select("id", "path", F.col("h.line_no").alias("first"), "h.level", "h.start")
-    at_once = F.col("start.balance") <= F.col("level")  # on the line that opens the first brace
-    asked = found.select("path", "level", F.when(~at_once, F.col("start.line_no")).alias("line_no"), F.struct("id", "first", F.when(at_once, F.col("start.line_no")).alias("last")).alias("body"))
-    left = rows.where("change < 0").select("path", F.explode(F.sequence("balance", F.col("balance") - F.col("change") - 1)).alias("level"), "line_no", F.lit(None).cast(asked.schema["body"].dataType).alias("body"))
-    later = W.partitionBy("path", "level").orderBy(F.desc("line_no"), F.col("body").isNull()).rowsBetween(W.unboundedPreceding, 0)
-    ends = asked.unionByName(left).withColumn("next", F.last(F.when(F.col("body").isNull(), F.col("line_no")), ignorenulls=True).over(later)).where("body is not null")
-    last = F.coalesce("body.last", F.when(F.col("line_no").isNotNull(), F.col("next")))
-    ranges = ends.groupBy("path").agg(F.collect_list(F.struct("body.id", "body.first", last.alias("last"))).alias("ranges"))
+    level = F.col("balance") - F.col("change")
+    at_once = F.col("start.balance") <= level  # on the line that opens the first brace
+    body = F.struct(F.col("line_no").alias("first"), F.when(at_once, F.col("start.line_no")).alias("last"), "head")
+    asks = F.when(F.col("head").isNotNull(), F.array(F.struct(level.alias("level"), F.when(~at_once, F.col("start.line_no")).alias("at"), body.alias("body"))))
+    leaves = F.when(F.col("change") < 0, F.transform(F.sequence("balance", level - 1), lambda x: F.struct(x.alias("level"), F.col("line_no").alias("at"), F.lit(None).cast("struct<first:int,last:int,head:string>").alias("body"))))
+    events = rows.select("path", F.explode(F.flatten(F.array_compact(F.array(asks, leaves)))).alias("e")).select("path", "e.*")
+    later = W.partitionBy("path", "level").orderBy(F.desc("at"), F.col("body").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    ends = events.withColumn("next", F.last(F.when(F.col("body").isNull(), F.col("at")), ignorenulls=True).over(later)).where("body is not null")
+    ends = ends.select("path", "body.first", F.coalesce("body.last", F.when(F.col("at").isNotNull(), F.col("next"))).alias("last"), "body.head")
+    found = wanted.join(ends, "path").where(F.contains("head", "func_name")).groupBy("id", "path").agg(F.min(F.struct("first", "last")).alias("r"))
+    ranges = found.groupBy("path").agg(F.collect_list(F.struct("id", "r.first", "r.last")).alias("ranges"))
     cut = own.join(ranges, "path").select(F.transform(line_parts(F.col("text")), without_return).alias("lines"), "ranges")
     code = lambda r: F.concat(F.array_join(F.slice(F.col("lines"), r["first"] + 1, F.coalesce(r["last"], F.size("lines") - 1) - r["first"] + 1), "\n"), F.lit("\n"))
     codes = cut.select(F.explode(F.transform("ranges", lambda r: F.struct(r["id"].alias("id"), code(r).alias("code")))).alias("b")).select("b.id", "b.code")
