@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from pathlib import Path
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from ..operators.lookup import by_status, contexts
 from ..operators.parse import bodies
 from ..operators.state import StateStore, reset_status, transition
 from ..schemas import AUDITED, EXTRACTED
-from ..session import cut_lineage
+from ..session import cut_lineage, tables_dir
 from ..sources.replies import ReplyLog
 from .config import Config
 from .infer import Model, ask
@@ -42,10 +42,27 @@ def findings(functions: DataFrame, dependencies: DataFrame, files: DataFrame, mo
 
 
 def append_report(rows: DataFrame, path: str) -> None:
-    """Appends the items in order of seq, one partition at a time."""
-    with Path(path).open("a", encoding="utf-8") as f:
-        for r in rows.orderBy("seq").select(report_item().alias("item")).toLocalIterator():
-            f.write(r.item)
+    """Appends the items in order of seq. Tasks write them as files by ranges of seq; the file system puts these behind the report,
+    block by block, so no row comes to the driver."""
+    spark = rows.sparkSession
+    item = F.regexp_replace(report_item(), r"\n\z", "")  # the writer ends it again
+    parts = f"{tables_dir(spark)}/report-{uuid.uuid4().hex}"
+    ranged = rows.repartitionByRange(spark.sparkContext.defaultParallelism, "seq").sortWithinPartitions("seq")
+    ranged.select(item.alias("value")).write.option("lineSep", "\n").text(parts)
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    source, target = hadoop.fs.Path(parts), hadoop.fs.Path(path)
+    there, here = source.getFileSystem(conf), target.getFileSystem(conf)
+    here = here.getRawFileSystem() if here.getScheme() == "file" else here  # the one with checksums can't append
+    out = here.append(target) if here.exists(target) else here.create(target)
+    try:
+        for part in sorted(s.getPath().getName() for s in there.listStatus(source)):
+            if part.startswith("part-"):
+                stream = there.open(hadoop.fs.Path(source, part))
+                hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
+                stream.close()
+    finally:
+        out.close()
+    there.delete(source, True)
 
 
 def run_pass(store: StateStore, files: DataFrame, model: Model, config: Config, number: int = 1, answers: ReplyLog | None = None) -> DataFrame | None:
@@ -54,7 +71,7 @@ def run_pass(store: StateStore, files: DataFrame, model: Model, config: Config,
         return None
     rows = cut_lineage(findings(functions, store.read("dependencies"), files, model, config.workers, number, answers), "findings")
     append_report(rows, config.report_path)
-    store.commit(functions=transition(functions, rows.select("id", F.lit(AUDITED).alias("status"))))
+    store.change(transition, rows.select("id", F.lit(AUDITED).alias("status")))
     told = rows.agg(F.count("*").alias("n"), F.count_if(~F.col("clean")).alias("bad")).first()
     if answers:
         answers.clear()

@@ -259,13 +259,13 @@ def heights(edges: DataFrame, most: int) -> DataFrame:
 
 def _discovered(store: StateStore, ids: DataFrame, files: DataFrame, model: Model, config: Config, answers: ReplyLog | None) -> DataFrame:
     """First replies of the ids, which are claimed first; failures and dependencies are stored."""
-    store.commit(functions=transition(store.read("functions"), ids.select("id", F.lit(IN_PROGRESS).alias("status"))))
+    store.change(transition, ids.select("id", F.lit(IN_PROGRESS).alias("status")))
     first = cut_lineage(prompts(ids, store.read("functions"), store.read("dependencies"), files), "prompts")
     replies = cut_lineage(discover(first, model, config.workers, log=answers), "replies")
     told = replies.agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("bad"), F.coalesce(F.sum(F.col("attempts") - 1), F.lit(0)).alias("again"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("s")).first()
     log.info("first replies: %d functions, %d retries, %d failures, %.1f s of calls", told.n, told.again, told.bad, told.s)
     failed = replies.where("not ok").select("id", F.lit(FAILED).alias("status"))
-    store.commit(functions=transition(store.read("functions"), failed), dependencies=save_dependencies(store.read("dependencies"), reply_dependencies(replies)))
+    store.change(transition, failed, dependencies=save_dependencies(store.read("dependencies"), reply_dependencies(replies)))
     if told.bad and config.fail_fast:
         raise RuntimeError(f"{told.bad} functions could not be analysed; what is done is stored")
     return replies
@@ -301,7 +301,7 @@ def run_pass(store: StateStore, files: DataFrame, model: Model, config: Config,
     known = named.union(others.join(before, "child", "left_semi").select("function_id", "child"))
     edges = cut_lineage(known.union(met(inside, ran, config.max_depth)).distinct(), "edges")
     enriched = cut_lineage(edges.select(F.col("function_id").alias("id")).distinct(), "enriched")
-    store.commit(functions=finalise(functions, good.join(enriched, "id", "left_anti")))
+    store.change(finalise, good.join(enriched, "id", "left_anti"))
     inner = edges.join(enriched.withColumnRenamed("id", "child"), "child", "left_semi").select("function_id", "child")
     alone = enriched.join(inner.where("function_id <> child").select(F.col("function_id").alias("id")), "id", "left_anti")
     # callers of final functions alone come first, and with them those of callers that call nobody else
@@ -313,7 +313,7 @@ def run_pass(store: StateStore, files: DataFrame, model: Model, config: Config,
             again = cut_lineage(discover(known, model, config.workers, retries=0, log=answers, stage="enrich"), "again")
         kept = F.when(F.col("ok"), F.col("summary")).otherwise(F.lit("") if config.compat else F.col("first"))
         again = again.join(good.select("id", F.col("summary").alias("first")), "id").select("id", kept.alias("summary"))
-        store.commit(functions=finalise(store.read("functions"), again))
+        store.change(finalise, again)
         progress.tick(n := ready.count())
         log.info("round %d: %d functions enriched; %s", k, n, progress.text())
     if answers:

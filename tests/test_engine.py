@@ -19,7 +19,8 @@ from lakeforge import schemas
 from lakeforge.functions import text as T
 from lakeforge.operators import lookup as L
 from lakeforge.operators import parse as P
-from lakeforge.operators.state import StateStore, iterate, save_catalog, sync_queue
+from lakeforge.operators.state import StateStore, finalise, iterate, save_catalog, sync_queue, transition
+from lakeforge.plans import audit
 from lakeforge.plans import graph as G
 from lakeforge.plans.config import Config
 from lakeforge.functions import replies as R
@@ -231,10 +232,43 @@ def test_store(spark, tmp_path):
     assert of(store.read("dependencies").collect(), "function_id", "dep_name", "dep_type") == [("a.F", "x", "function")]
     (tmp_path / "state/functions/v=99").mkdir()  # what a crash leaves behind isn't seen
     assert StateStore(spark, str(tmp_path / "state")).read("functions").count() == 2
-    assert len([p for p in (tmp_path / "state/functions").iterdir() if p.name != "v=99"]) <= 2
+    assert len([p for p in (tmp_path / "state/catalog").iterdir()]) <= 2
     store.close()
 
 
+def test_changed_buckets_alone(spark, tmp_path):
+    """A change of one function writes its bucket; readers of the pointer before see the old rows; a second writer is refused."""
+    path = str(tmp_path / "state")
+    store = StateStore(spark, path, keep=3)
+    rows = [(f"p.f{k}", "p", f"f{k}", "x.go", "s" * 50, "PENDING", k) for k in range(400)]
+    store.commit(functions=spark.createDataFrame(rows, schemas.FUNCTIONS))
+    files = lambda v: [f for f in (tmp_path / f"state/functions/v={v}").rglob("*.parquet")]
+    whole, before = store._base, store.read("functions")
+    version = store.change(transition, spark.createDataFrame([("p.f7", "EXTRACTED"), ("no", "AUDITED")], "id string, status string"))
+    assert sum(f.stat().st_size for f in files(version)) < 0.4 * sum(f.stat().st_size for f in files(whole)) and len(files(whole)) == 8 and len(files(version)) <= 2
+    now = {r.id: r.status for r in store.read("functions").collect()}
+    assert len(now) == 400 and {i for i, s in now.items() if s != "PENDING"} == {"p.f7"} and before.where("status <> 'PENDING'").count() == 0
+    other = StateStore(spark, path)
+    other.change(finalise, spark.createDataFrame([("p.f8", "t")], "id string, summary string"))
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.change(finalise, spark.createDataFrame([("p.f9", "u")], "id string, summary string"))
+    assert {r.id for r in StateStore(spark, path).read("functions").where("status = 'EXTRACTED'").collect()} == {"p.f7", "p.f8"}
+    (tmp_path / f"state/CLAIM.{other._base + 1}").touch()  # of a writer that died
+    assert other.change(finalise, spark.createDataFrame([("p.f9", "u")], "id string, summary string")) == other._base > version + 2
+    assert other.change(finalise, spark.createDataFrame([("no", "u")], "id string, summary string")) == other._base
+
+
+def test_report_is_in_order(spark, tmp_path):
+    """Many items, appended twice: the bytes of a plain loop."""
+    r = random.Random(4)
+    rows = [(f"p.f{k}", f"{k}.go", f"s\n{k}", None if k % 3 else f"- c{k} : é\n", r.choice(["OK", "bug\n\n"]), seq) for k, seq in enumerate(r.sample(range(10**6), 500))]
+    df = spark.createDataFrame(rows, "id string, file_path string, summary string, context string, raw string, seq long").withColumn("clean", T.is_clean(F.col("raw"))).repartition(5)
+    for _ in range(2):
+        audit.append_report(df, str(tmp_path / "r.md"))
+    want = "".join(x.item for x in df.orderBy("seq").select(audit.report_item().alias("item")).collect())
+    assert (tmp_path / "r.md").read_bytes() == 2 * want.encode() and not list(tmp_path.glob(".*crc"))
+
+
 def test_cycles_and_rounds(spark):
     r = random.Random(2)
     for n, m in ((6, 7), (12, 16), (25, 60)):
