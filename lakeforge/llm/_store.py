@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,6 +205,35 @@ class Bloom:
         return cls.gather(rows.groupBy("bucket").applyInArrow(union, "bucket int, part binary"), bits, segment, hashes)
 
 
+class MappedBloom(Bloom):
+    """A filter in a file that Spark brings to each executor once, and that its workers map into memory, so they share its pages."""
+
+    def __init__(self, bits: int, segment: int, hashes: int, name: str):
+        self.bits, self.segment, self.hashes, self.name, self.first, self._mapped = bits, segment, hashes, name, 0, None
+
+    def __reduce__(self):
+        return MappedBloom, (self.bits, self.segment, self.hashes, self.name)
+
+    @property
+    def words(self) -> np.ndarray:
+        if self._mapped is None:
+            self._mapped = np.memmap(SparkFiles.get(self.name), np.uint8, "r")
+        return self._mapped
+
+    @classmethod
+    def gather(cls, segments: DataFrame, bits: int, segment: int, hashes: int) -> MappedBloom:
+        """Takes (bucket int, part binary) rows one by one. The file is made on the driver, which serves it to executors, those
+        that come later too."""
+        path = os.path.join(tempfile.mkdtemp(prefix="filter-"), f"filter-{uuid.uuid4().hex}")
+        words, size = np.memmap(path, np.uint8, "w+", shape=(segment * (1 << bits) // 8,)), segment // 8
+        for r in segments.toLocalIterator():
+            words[r.bucket * size : (r.bucket + 1) * size] |= np.frombuffer(r.part, np.uint8)
+        words.flush()
+        del words
+        segments.sparkSession.sparkContext.addFile(path)
+        return cls(bits, segment, hashes, os.path.basename(path))
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     """Small Arrow batches, so that long texts and packed rows don't pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

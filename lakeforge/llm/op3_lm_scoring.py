@@ -4,9 +4,10 @@ n-gram counts c are quantised to q = 1 + floor(log_B c); the filter holds (n-gra
 finds q by probing j = 1, 2, ... until it misses.  Probabilities come from these estimates by Dirichlet smoothing,
 order by order: p_k = (c_k + TAU p_(k-1)) / (c_context + TAU), from p_1 = (c + 1) / (N + V + 1).
 
-The filter's size follows the number of entries, and every n-gram of the training part is in it.  What a worker holds
-of it has a fixed bound: where the entries would not fit, the count from which n-grams are held rises, the most numerous
-order first, as the histogram of all counts says.  The n-grams below are in a second filter, whose segments lie in the
+The filter's size follows the number of entries, and every n-gram of the training part is in it.  It is broadcast as a file, which
+each executor gets once and its workers map into memory, and which has a fixed bound (FILTER_BYTES, some 240 million
+entries): where the entries would not fit, the count from which n-grams are held rises, the most numerous order
+first, as the histogram of all counts says.  The n-grams below are in a second filter with the same bits an entry, whose segments lie in the
 shared folder and grow in number with the input; the n-grams that a worker doesn't find are probed there through a
 join, segment by segment.  The base score needs exact counts: words that are frequent enough for a table of
 bounded size are looked up in the worker, the others through a join.
@@ -28,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._store import Bloom, Counts, bucket_bits, buckets, merged, pack, removed, text_bytes, texts, tuned, unpack, unpack_counts, written
+from ._store import Bloom, Counts, MappedBloom, bucket_bits, buckets, merged, pack, removed, text_bytes, texts, tuned, unpack, unpack_counts, written
 
 U64 = np.uint64
 ORDER, BASE, TAU = 2, 1.5, 30.0
-FILTER_BYTES, HEAD_WORDS, ENTRY_BITS, LEVELS = 1 << 23, 2_000_000, 9.0, 64
+FILTER_BYTES, HEAD_WORDS, ENTRY_BITS, LEVELS = 1 << 28, 2_000_000, 9.0, 64
 CHUNK = 1 << 24
 _END, _START = U64(0x6A09E667F3BCC909), U64(0xBB67AE8584CAA73B)
 _STEP, _KIND = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
@@ -196,7 +197,7 @@ def train(docs: DataFrame, order: int = ORDER, filter_bytes: int = FILTER_BYTES,
         return run
 
     packed = counts.select("kind", "bucket", "keys", "counts")
-    bloom = Bloom.gather(packed.mapInArrow(fill(True, segment, hashes), "bucket int, part binary"), bits, segment, hashes)
+    bloom = MappedBloom.gather(packed.mapInArrow(fill(True, segment, hashes), "bucket int, part binary"), bits, segment, hashes)
     below = sum(int((hist[k][:f] * np.arange(f)).sum()) for k, f in floors.items())
     rest, shape = None, (0, 0)
     if below:
