@@ -13,6 +13,7 @@ unlabelled text nothing is known against any document, so every score is 1.  Col
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +100,21 @@ def _scaled(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[np.ndarray, n
     return mean, scale
 
 
+def _put(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Scaled once for all steps, in single precision."""
+    out = np.subtract(x, mean, dtype=np.float32)
+    out /= scale.astype(np.float32)
+    return np.clip(out, -8, 8, out=out)
+
+
+def _batches(x: np.ndarray, size: int, pick: np.random.Generator):
+    """Rows in a random order, so many at a time, again and again, without copies."""
+    x, at = x[pick.permutation(len(x))], 0
+    while True:
+        yield x[at : at + size]
+        at = 0 if at + size >= len(x) else at + size
+
+
 def _adam(size: int, rate: float):
     """A step of Adam for the gradient."""
     m, v, t = np.zeros(size), np.zeros(size), 0
@@ -112,20 +128,19 @@ def _adam(size: int, rate: float):
     return step
 
 
-def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1200, rate: float = 0.01, decay: float = 1e-2, batch: int = 2048, seed: int = 1) -> Model:
+def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1200, rate: float = 0.01, decay: float = 1e-2, batch: int = 1024, seed: int = 1) -> Model:
     """Minimises prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss by Adam on batches.
 
     Where the bracket is negative, the step goes against its gradient, as the non-negative estimator has it.
     """
     mean, scale = _scaled(positive, unlabelled)
-    put = lambda x: np.clip((x - mean) / scale, -8, 8)
+    positive, unlabelled = _put(positive, mean, scale), _put(unlabelled, mean, scale)
     w, b, step = np.zeros(positive.shape[1]), 0.0, _adam(positive.shape[1] + 1, rate)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    grad = lambda x, g: np.append(x.T @ g, g.sum()) / len(x)
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip((x @ w.astype(np.float32)).astype(float) + b, -40, 40)))
+    grad = lambda x, g: np.append(g.astype(np.float32) @ x, g.sum()) / len(x)
     pick, risks = np.random.default_rng(seed), []
-    for _ in range(steps):
-        p, u = (put(x[pick.integers(0, len(x), min(batch, len(x)))] if len(x) > batch else x) for x in (positive, unlabelled))
-        sp, su = sigmoid(p @ w + b), sigmoid(u @ w + b)
+    for p, u in islice(zip(_batches(positive, batch, pick), _batches(unlabelled, batch, pick), strict=True), steps):
+        sp, su = sigmoid(p), sigmoid(u)
         away = -np.log(np.clip(1 - su, 1e-12, 1)).mean() + prior * np.log(np.clip(1 - sp, 1e-12, 1)).mean()
         down = grad(u, su) - prior * grad(p, sp)
         up = prior * grad(p, sp - 1)
@@ -150,14 +165,14 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 2) ->
     if min(len(p), len(u)) < 20:
         return 0.5
     mean, scale = _scaled(p, u)
+    p, u, p2, u2 = (_put(x, mean, scale) for x in (p, u, p2, u2))
     w, b, step = np.zeros(p.shape[1]), 0.0, _adam(p.shape[1] + 1, 0.01)
-    put = lambda x: np.clip((x - mean) / scale, -8, 8)
-    for _ in range(400):
-        a, c = (put(x[r.integers(0, len(x), min(1024, len(x)))]) for x in (p, u))
-        ga, gc = 1 / (1 + np.exp(-np.clip(a @ w + b, -40, 40))) - 1, 1 / (1 + np.exp(-np.clip(c @ w + b, -40, 40)))
-        s = step(np.append(a.T @ ga / len(a) + c.T @ gc / len(c) + 1e-2 * w, ga.mean() + gc.mean()))
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip((x @ w.astype(np.float32)).astype(float) + b, -40, 40)))
+    for a, c in islice(zip(_batches(p, 1024, r), _batches(u, 1024, r), strict=True), 400):
+        ga, gc = sigmoid(a) - 1, sigmoid(c)
+        s = step(np.append(ga.astype(np.float32) @ a / len(a) + gc.astype(np.float32) @ c / len(c) + 1e-2 * w, ga.mean() + gc.mean()))
         w, b = w - s[:-1], b - s[-1]
-    zp, zu = np.sort(put(p2) @ w), np.sort(put(u2) @ w)
+    zp, zu = np.sort(p2 @ w.astype(np.float32)), np.sort(u2 @ w.astype(np.float32))
     cuts = zp[: max(1, int(0.95 * len(zp)))]
     share_p = 1 - np.searchsorted(zp, cuts, "left") / len(zp)
     share_u = 1 - np.searchsorted(zu, cuts, "left") / len(zu)
