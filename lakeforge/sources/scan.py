@@ -45,10 +45,10 @@ def chunks(root: str, least: int = 256) -> list[tuple[str, bool]]:
     return out
 
 
-def wanted(path: Column) -> Column:
-    """Go sources that are neither vendored, nor tests, nor examples; judged on the whole absolute path."""
-    low = F.lower(path)
-    return path.endswith(".go") & ~(F.contains(low, F.lit("/vendor/")) | low.endswith("_test.go") | F.contains(low, F.lit("exampl")) | F.contains(low, F.lit("exempl")))
+def wanted(path: Column, low: Column | None = None) -> Column:
+    """Go sources that are neither vendored, nor tests, nor examples; judged on the whole absolute path (low: in lower case)."""
+    low = F.lower(path) if low is None else low
+    return path.endswith(".go") & ~F.contains(low, F.lit("/vendor/")) & ~low.endswith("_test.go") & ~F.contains(low, F.lit("exampl")) & ~F.contains(low, F.lit("exempl"))
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -102,8 +102,19 @@ def read_files(paths: DataFrame, root: str) -> DataFrame:
 
 
 def source_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, seq, text of the Go sources below root; the filter runs before any file is opened."""
-    return read_files(list_files(spark, root).where(wanted(F.col("path"))), root)
+    """path, seq, text of the Go sources below root, numbered in walk order; files that the filter excludes are never opened."""
+    from . import tree
+
+    tree.register(spark)
+    files = spark.read.format("lakeforge-tree").load(os.path.abspath(root)).where(wanted(F.col("path"), F.col("low")))
+    files = cut_lineage(files.select("path", "chunk", "place", "text"), "tree")
+    counts = files.groupBy("chunk").agg(F.count("*").alias("n"), F.max("place").alias("last")).orderBy("chunk").collect()  # one row for each chunk
+    offsets, total = [], 0
+    for r in counts:
+        offsets.append((r.chunk, total))
+        total += r["last"] + 1
+    offsets = F.broadcast(spark.createDataFrame(offsets, "chunk long, offset long"))
+    return files.join(offsets, "chunk").select("path", (F.col("offset") + F.col("place")).alias("seq"), "text")
 
 
 def line_parts(text: Column) -> Column:

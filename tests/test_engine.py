@@ -68,6 +68,22 @@ def test_scan(spark, tmp_path):
     assert scan.source_files(spark, str(tmp_path / "empty")).count() == 0
 
 
+def test_tree_source(spark, tmp_path):
+    """The rows of listing and reading; what the filter excludes isn't opened (a pipe without a writer would block for ever)."""
+    root = tmp_path / "code"
+    put(root, {"a/x.go": "package a\n", "a-b/y.go": "é", "a.go": b"\xff", "b/z_test.go": "", "Vendor/x.go": "", "_gen.go": "", "n.txt": "t"})
+    os.mkfifo(root / "pipe_test.go")
+    os.mkfifo(root / "pipe.txt")
+    os.symlink("/etc/hostname", root / "out.go")
+    got = sorted(of(scan.source_files(spark, str(root)).collect(), "seq", "path", "text"))
+    want = scan.read_files(scan.list_files(spark, str(root)).where(scan.wanted(F.col("path"))), str(root)).orderBy("seq").collect()
+    assert [(p, t) for _, p, t in got] == of(want, "path", "text") and len(got) == 4
+    df = spark.read.format("lakeforge-tree").load(str(root))
+    plan = df.where(scan.wanted(F.col("path"), F.col("low")))._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" not in plan.split("BatchScan")[0]
+    assert df.where("path like '%.txt' and low not like '%pipe%' and length(text) = 1").count() == 1
+
+
 def test_chunks_are_in_walk_order(tmp_path):
     put(tmp_path, {f"d{k % 7}/e{k % 5}/f{k}.go": "" for k in range(60)})
     flat = [f for p, folder in scan.chunks(str(tmp_path), 10) for f in (scan.walk(p) if folder else [p])]
