@@ -63,6 +63,10 @@ def test_op1(docs, rows, none):
             r = by[i]
             assert (r.n_chars, r.edited_sha256) == (len(a), hashlib.sha256(e.encode()).hexdigest())
             assert r.fingerprint == op1_spotsigs.printed(op1_spotsigs.spots(a)) and math.isclose(r.near_next, op1_spotsigs.likeness(op1_spotsigs.spots(a), op1_spotsigs.spots(b)))
+            new = a[: len(a) - len(a) // 2] + b[: len(a) // 2]
+            own, changed = (set(re.findall("........", f)) for f in (r.fingerprint, op1_spotsigs.printed(op1_spotsigs.spots(new))))
+            near = 1.0 if not own and not changed else len(own & changed) / len(own | changed)
+            assert r.edited_fingerprint == op1_spotsigs.printed(op1_spotsigs.spots(new)) and math.isclose(r.near_edited, near)
     assert op1_spotsigs.fingerprinted(none).count() == 0
 
 
