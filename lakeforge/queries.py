@@ -335,6 +335,15 @@ def audit_prompts(spark, sf_dir):
     return rows.select("o_orderkey", audit.audit_prompt().alias("prompt"))
 
 
+@query("""SELECT o_orderkey, concat('You read Go code. Say in at most 45 words what the function does, and list what it depends on.', chr(10), 'Answer with JSON: {"summary": "text", "external": [{"name": "Load", "type": "function"}]}', chr(10),
+ 'FUNCTION: ', o_orderkey, chr(10), 'KNOWN DEPENDENCIES:', chr(10), CASE WHEN o_orderkey % 2 = 0 THEN concat('- f : ', o_orderpriority, chr(10)) ELSE '' END, chr(10), 'CODE:', chr(10), o_orderstatus) AS prompt FROM orders""")
+def summary_prompts(spark, sf_dir):
+    """The first pass's question, with and without known dependencies."""
+    context = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("- f : "), "o_orderpriority", F.lit("\n"))).otherwise(F.lit(""))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("id"), context.alias("context"), F.col("o_orderstatus").alias("code"))
+    return rows.select("o_orderkey", G.summary_prompt().alias("prompt"))
+
+
 @query("SELECT s_suppkey, CAST(s_suppkey * 100 // 1000 AS BIGINT) AS pct, CAST(s_suppkey * 30 // 1000 AS BIGINT) AS fill, CASE WHEN s_suppkey % 10 > 0 THEN s_suppkey / (s_suppkey % 10) ELSE 0.0 END AS rate, concat(repeat('#', CAST(s_suppkey * 30 // 1000 AS INT)), repeat('.', CAST(30 - s_suppkey * 30 // 1000 AS INT))) AS bar FROM supplier")
 def progress_metrics(spark, sf_dir):
     p = T.progress(F.col("s_suppkey"), F.lit(1000), F.col("s_suppkey") % 10)
