@@ -38,7 +38,7 @@ from ._store import texts, tuned
 
 SPACE = "▁"
 _NORMAL, _USER, _BYTE = 1, 4, 6
-UNIT_CACHE = 300_000
+UNIT_CACHE, PAIR_CACHE = 150_000, 200_000
 INFINITE, UNKNOWN = math.inf, 1e3  # the weight of a code point put out as bytes, in a unigram model
 _SPACES = re.compile(" +")
 _LETTERS = re.compile(f"{SPACE}*[^\\W\\d_{SPACE}]*")
@@ -128,25 +128,20 @@ class Transducer:
         self.names = [None] * len(proto.pieces)  # of pieces that can merge
         for piece, (i, _) in self.pieces.items():
             self.names[i] = piece
-        # the lexicon as a trie: state -> (code point -> state), and the piece put out at a final state
-        self.arcs: list[dict[str, int]] = [{}]
-        self.final: list[str | None] = [None]
+        # the lexicon as a trie: code point -> node, and '' -> the piece that ends there
+        self.lexicon: dict = {}
         for piece in self.pieces:
-            state = 0
+            node = self.lexicon
             for c in piece:
-                if c not in self.arcs[state]:
-                    self.arcs[state][c] = len(self.arcs)
-                    self.arcs.append({})
-                    self.final.append(None)
-                state = self.arcs[state][c]
-            self.final[state] = piece
+                node = node.setdefault(c, {})
+            node[""] = piece
         chars = set().union(*self.pieces)
         inner = any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         outside = "".join(re.escape(chr(c)) for c in range(32) if chr(c) not in chars)
         # units: maximal runs that start with spaces; control characters without a piece stand alone
         self.units = re.compile(f"[{outside}]|{SPACE}+[^{SPACE}{outside}]*|[^{SPACE}{outside}]+" if outside else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if not inner else re.compile(r"(?s).+")
         self.new, self.old = {}, {}
-        self.stable = lru_cache(500_000)(self._stable)
+        self.stable = lru_cache(PAIR_CACHE)(self._stable)
 
     def merged(self, text: str) -> list[str]:
         """Greedy merging of a short text: the best-scored neighbouring pair first, the leftmost of equals."""
@@ -166,13 +161,13 @@ class Transducer:
 
     def arcs_from(self, unit: str, i: int) -> list[str]:
         """Pieces that the lexicon reads from place i, the longest last; a lone code point without a piece is in it too."""
-        state, out, arcs, final = 0, [], self.arcs, self.final
-        for j in range(i, len(unit)):
-            state = arcs[state].get(unit[j])
-            if state is None:
+        node, out = self.lexicon, []
+        for c in unit[i:]:
+            node = node.get(c)
+            if node is None:
                 break
-            if final[state] is not None:
-                out.append(final[state])
+            if "" in node:
+                out.append(node[""])
         if not out or len(out[0]) > 1:
             out.insert(0, unit[i])
         return out
@@ -183,9 +178,12 @@ class Transducer:
 
         A state is a place in the unit.  Open states lie in a heap by cost, then furthest place, each with the arcs that
         haven't been weighed yet, longest last; no arc weighs less than 0, so the first state at the unit's end that comes
-        out of the heap ends the lightest path.
+        out of the heap ends the lightest path.  All finite weights of a BPE model are 0; there the state opened last is the furthest, and a
+        stack does for the heap.
         """
-        n, pieces, bpe, stable, arcs_from = len(unit), self.pieces, self.bpe, self.stable, self.arcs_from
+        if self.bpe:
+            return self._finite_path(unit)
+        n, pieces, arcs_from = len(unit), self.pieces, self.arcs_from
         heap, taken, came = [(0.0, 0, "", None)], {}, {}  # cost, -place, piece that led here, place before
         while heap:
             cost, place, piece, before = heappop(heap)
@@ -196,24 +194,41 @@ class Transducer:
                     break
             elif came[i] != (piece, before):
                 continue  # a heavier way to a place that is settled
-            rest, last = taken[i], came[i][0]
-            while rest:
+            rest = taken[i]
+            if rest:
                 v = rest.pop()
-                if v in pieces:
-                    w = (0.0 if stable(last if last in pieces else "", v) else INFINITE) if bpe else -pieces[v][1]
-                else:
-                    w = 0.0 if bpe else UNKNOWN
-                if w < INFINITE:
-                    if rest:
-                        heappush(heap, (cost, place, piece, before))
-                    heappush(heap, (cost + w, -(i + len(v)), v, i))
-                    break
+                w = -pieces[v][1] if v in pieces else UNKNOWN
+                if rest:
+                    heappush(heap, (cost, place, piece, before))
+                heappush(heap, (cost + w, -(i + len(v)), v, i))
         path, i = [], n
         while i:
             v, i = came[i]
             path.append(v)
         return path[::-1]
 
+    def _finite_path(self, unit: str) -> list[str]:
+        """The stack of open states along the only finite path; a place that was left without a way on isn't entered again."""
+        n, pieces, stable, arcs_from = len(unit), self.pieces, self.stable, self.arcs_from
+        path, last, i, seen = [], "", 0, {0}
+        waiting = [arcs_from(unit, 0)]
+        while i < n:
+            rest = waiting[-1]
+            while rest:
+                v = rest.pop()
+                if (i + len(v)) not in seen and (v not in pieces or stable(last, v)):
+                    path.append(v)
+                    last = v if v in pieces else ""
+                    i += len(v)
+                    seen.add(i)
+                    waiting.append(arcs_from(unit, i) if i < n else [])
+                    break
+            else:  # no way on: back to the state before
+                waiting.pop()
+                i -= len(path.pop())
+                last = path[-1] if path and path[-1] in pieces else ""
+        return path
+
     def ids_of(self, unit: str) -> bytes:
         out = []
         for p in self.shortest_path(unit):
