@@ -205,6 +205,45 @@ class Bloom:
         return cls.gather(rows.groupBy("bucket").applyInArrow(union, "bucket int, part binary"), bits, segment, hashes)
 
 
+def _shipped(spark: SparkSession, *arrays: np.ndarray) -> str:
+    """A file of the arrays, one behind the other, that Spark brings to each executor; its name."""
+    path = os.path.join(tempfile.mkdtemp(prefix="shared-"), f"shared-{uuid.uuid4().hex}")
+    with open(path, "wb") as f:
+        for a in arrays:
+            a.tofile(f)
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+class MappedCounts:
+    """Sorted keys and their counts in a file that Spark brings to each executor once, and that its workers map into memory."""
+
+    def __init__(self, name: str, size: int):
+        self.name, self.size, self._mapped = name, size, None
+
+    def __reduce__(self):
+        return MappedCounts, (self.name, self.size)
+
+    def __len__(self) -> int:
+        return self.size
+
+    @classmethod
+    def of(cls, spark: SparkSession, keys: np.ndarray, counts: np.ndarray) -> MappedCounts:
+        return cls(_shipped(spark, keys.astype(U64), counts.astype(np.int64)), len(keys))
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """The count of each key; 0 for one that isn't here."""
+        if not self.size:
+            return np.zeros(len(keys), np.int64)
+        if self._mapped is None:
+            both = np.memmap(SparkFiles.get(self.name), np.int64, "r")
+            self._mapped = both[: self.size].view(U64), both[self.size :]
+        own, counts = self._mapped
+        distinct, where = np.unique(keys, return_inverse=True)
+        at = np.minimum(np.searchsorted(own, distinct), self.size - 1)
+        return np.where(own[at] == distinct, counts[at], 0)[where]
+
+
 class MappedBloom(Bloom):
     """A filter in a file that Spark brings to each executor once, and that its workers map into memory, so they share its pages."""
 

@@ -10,7 +10,7 @@ entries): where the entries would not fit, the count from which n-grams are held
 first, as the histogram of all counts says.  The n-grams below are in a second filter with the same bits an entry, whose segments lie in the
 shared folder and grow in number with the input; the n-grams that a worker doesn't find are probed there through a
 join, segment by segment.  The base score needs exact counts: words that are frequent enough for a table of
-bounded size are looked up in the worker, the others through a join.
+bounded size (HEAD_WORDS, a mapped file as well) are looked up in the worker, the others through a join.
 
 Defined results: a null text is an empty one, with the end token alone; a null doc_id is in the training part; rows
 with one doc_id are scored each; without training text every count is 0.  Columns besides doc_id and text are not
@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._store import Bloom, Counts, MappedBloom, bucket_bits, buckets, merged, pack, removed, text_bytes, texts, tuned, unpack, unpack_counts, written
+from ._store import Bloom, Counts, MappedBloom, MappedCounts, bucket_bits, buckets, merged, pack, removed, text_bytes, texts, tuned, unpack, unpack_counts, written
 
 U64 = np.uint64
 ORDER, BASE, TAU = 2, 1.5, 30.0
-FILTER_BYTES, HEAD_WORDS, ENTRY_BITS, LEVELS = 1 << 28, 2_000_000, 9.0, 64
+FILTER_BYTES, HEAD_WORDS, ENTRY_BITS, LEVELS = 1 << 28, 8_000_000, 9.0, 64
 CHUNK = 1 << 24
 _END, _START = U64(0x6A09E667F3BCC909), U64(0xBB67AE8584CAA73B)
 _STEP, _KIND = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
@@ -90,8 +90,7 @@ class Model:
     v: int
     documents: int
     floors: dict[int, int]
-    head: np.ndarray
-    head_counts: np.ndarray
+    head: MappedCounts | None
     rest: DataFrame | None = None  # bucket, part: segments of the n-grams below the floors; None where there are none
     rest_shape: tuple[int, int] = (0, 0)
 
@@ -225,7 +224,7 @@ def train(docs: DataFrame, order: int = ORDER, filter_bytes: int = FILTER_BYTES,
     by = np.argsort(keys)
     tail = written(words.mapInArrow(split(False), "key long, c long"), "tail")
     removed(counts)
-    return Model(bloom, order, n, v, documents, floors, keys[by], num[by], rest, shape), tail
+    return Model(bloom, order, n, v, documents, floors, MappedCounts.of(docs.sparkSession, keys[by], num[by]), rest, shape), tail
 
 
 _ROWS = ["rid", "doc_id", "n_tokens", "n_known", "base", "score", "rest"]
@@ -297,7 +296,7 @@ def _levels(asked: DataFrame, model: Model) -> DataFrame:
             words |= np.frombuffer(part.as_py(), np.uint8)
         for r in probes.to_pylist():
             keys = unpack(r["keys"], U64)
-            own = Model(Bloom(bits, segment, hashes, words, r["bucket"]), 0, 0, 0, 0, {}, keys[:0], keys[:0])
+            own = Model(Bloom(bits, segment, hashes, words, r["bucket"]), 0, 0, 0, 0, {}, None)
             q = own.lookup(keys, r["kind"])
             out.append((r["chunk"], r["kind"], pack(short(keys[q > 0])), pack(q[q > 0].astype(np.uint8))))
         chunks, kinds, keys, levels = zip(*out, strict=True) if out else [()] * 4
@@ -315,9 +314,8 @@ def scored(docs: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
         unit = np.log10(m.n + m.v + 1)
         tok, off = tokens(part.column(2))
         n = np.diff(off)
-        at = np.minimum(np.searchsorted(m.head, tok), max(len(m.head) - 1, 0))
-        known = m.head[at] == tok if len(m.head) else np.zeros(len(tok), bool)
-        c = np.where(known, m.head_counts[at] if len(m.head) else 0, 0)
+        c = m.head.counts(tok)
+        known = c > 0
         add = lambda x: np.add.reduceat(x, off[:-1])
         base = add(np.where(known, np.log10(c + 1) - unit, 0.0))
         rest = tok[~known]
