@@ -117,7 +117,7 @@ def _strong(edges: list[tuple[str, str]]) -> dict[str, str]:
     return found
 
 
-SMALL = 500  # edges that may come to the driver
+SMALL = 5_000  # edges that may come to the driver
 
 
 def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
