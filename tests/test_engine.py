@@ -580,6 +580,12 @@ def test_progress(spark):
     assert (r.p.pct, r.p.fill, r.p.rate, r.q) == (50, 15, 2.5, None)
 
 
+def test_progress_beyond_the_total(spark):
+    """The bar goes on where more is done than the total says."""
+    bars = spark.range(1).select(*[T.progress(F.lit(n), F.lit(1000), F.lit(1))["bar"] for n in (999, 1000, 5999)]).first()
+    assert list(bars) == ["#" * 29 + ".", "#" * 30, "#" * 179]
+
+
 def test_command_line(spark, tmp_path, monkeypatch):
     put(tmp_path / "src", {"a.go": "package p\nfunc A() { B() }\nfunc B() {}\n"})
     monkeypatch.setattr("lakeforge.plans.run.HttpModel", lambda *a: StubModel())
