@@ -38,7 +38,7 @@ from ._store import texts, tuned
 
 SPACE = "▁"
 _NORMAL, _USER, _BYTE = 1, 4, 6
-UNIT_CACHE, PAIR_CACHE = 150_000, 200_000
+UNIT_CACHE, PAIR_CACHE, MERGES_CACHE = 150_000, 200_000, 20_000
 INFINITE, UNKNOWN = math.inf, 1e3  # the weight of a code point put out as bytes, in a unigram model
 _SPACES = re.compile(" +")
 _LETTERS = re.compile(f"{SPACE}*[^\\W\\d_{SPACE}]*")
@@ -128,13 +128,13 @@ class Transducer:
         self.names = [None] * len(proto.pieces)  # of pieces that can merge
         for piece, (i, _) in self.pieces.items():
             self.names[i] = piece
-        # the lexicon as a trie: code point -> node, and '' -> the piece that ends there
-        self.lexicon: dict = {}
-        for piece in self.pieces:
+        # the lexicon as a trie: code point -> node, and '' -> the pieces on the way there, the longest first: (piece, (piece, ...))
+        self.lexicon: dict = {"": None}
+        for piece in sorted(self.pieces):  # a piece comes after its prefixes
             node = self.lexicon
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = piece
+                node = node.setdefault(c, {"": node[""] or (c, None)})
+            node[""] = (piece, node[""] if node[""] != (piece, None) else None)
         chars = set().union(*self.pieces)
         inner = any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         outside = "".join(re.escape(chr(c)) for c in range(32) if chr(c) not in chars)
@@ -142,42 +142,70 @@ class Transducer:
         self.units = re.compile(f"[{outside}]|{SPACE}+[^{SPACE}{outside}]*|[^{SPACE}{outside}]+" if outside else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if not inner else re.compile(r"(?s).+")
         self.new, self.old = {}, {}
         self.stable = lru_cache(PAIR_CACHE)(self._stable)
+        self.merges = lru_cache(MERGES_CACHE)(self._merges)
 
-    def merged(self, text: str) -> list[str]:
-        """Greedy merging of a short text: the best-scored neighbouring pair first, the leftmost of equals."""
-        parts = list(text)
+    def merged(self, text: str, steps: list | None = None) -> list[str]:
+        """Greedy merging of a short text: the best-scored neighbouring pair first, the leftmost of equals. steps takes of each merge the
+        score and the parts that are first and last after it."""
+        parts, get = list(text), self.pieces.get
         while True:
             best, at = -math.inf, -1
             for k in range(len(parts) - 1):
-                p = self.pieces.get(parts[k] + parts[k + 1])
+                p = get(parts[k] + parts[k + 1])
                 if p and p[1] > best:
                     best, at = p[1], k
             if at < 0:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            if steps is not None:
+                steps.append((best, parts[0], parts[-1]))
+
+    def _merges(self, piece: str) -> tuple[bool, list[tuple[float, str, str]]]:
+        """Whether a piece is what its text merges to, and the steps."""
+        steps: list = []
+        return self.merged(piece, steps) == [piece], steps
 
     def _stable(self, u: str, v: str) -> bool:
-        return self.merged(u + v) == ([u, v] if u else [v])
+        """Whether merging the text of both yields u, v: the merges of each by itself, in the order of their scores, until one across
+        them is better scored than what is next (of equals the leftmost goes first)."""
+        whole_v, right = self.merges(v)
+        if not u or not whole_v:
+            return whole_v
+        whole_u, left = self.merges(u)
+        if not whole_u:
+            return False
+        get, last, first, i, j = self.pieces.get, u[-1], v[0], 0, 0
+        while True:
+            a = left[i][0] if i < len(left) else -math.inf
+            b = right[j][0] if j < len(right) else -math.inf
+            across = get(last + first)
+            if across and across[1] > a and across[1] >= b:
+                return False
+            if a >= b:
+                if i == len(left):
+                    return True
+                last = left[i][2]
+                i += 1
+            else:
+                first = right[j][1]
+                j += 1
 
-    def arcs_from(self, unit: str, i: int) -> list[str]:
-        """Pieces that the lexicon reads from place i, the longest last; a lone code point without a piece is in it too."""
-        node, out = self.lexicon, []
+    def arcs_from(self, unit: str, i: int) -> tuple:
+        """Pieces that the lexicon reads from place i, the longest first, each with the rest; a lone code point without a piece is in it too."""
+        node = self.lexicon
         for c in unit[i:]:
-            node = node.get(c)
-            if node is None:
+            near = node.get(c)
+            if near is None:
                 break
-            if "" in node:
-                out.append(node[""])
-        if not out or len(out[0]) > 1:
-            out.insert(0, unit[i])
-        return out
+            node = near
+        return node[""] or (unit[i], None)
 
     def shortest_path(self, unit: str) -> list[str]:
         """The pieces of the lightest path through the unit composed with lexicon and fallback; a code point without a
         piece stands for its bytes.
 
         A state is a place in the unit.  Open states lie in a heap by cost, then furthest place, each with the arcs that
-        haven't been weighed yet, longest last; no arc weighs less than 0, so the first state at the unit's end that comes
+        haven't been weighed yet, longest first; no arc weighs less than 0, so the first state at the unit's end that comes
         out of the heap ends the lightest path.  All finite weights of a BPE model are 0; there the state opened last is the furthest, and a
         stack does for the heap.
         """
@@ -189,16 +217,15 @@ class Transducer:
             cost, place, piece, before = heappop(heap)
             i = -place
             if i not in taken:
-                taken[i], came[i] = arcs_from(unit, i) if i < n else [], (piece, before)
+                taken[i], came[i] = arcs_from(unit, i) if i < n else None, (piece, before)
                 if i == n:
                     break
             elif came[i] != (piece, before):
                 continue  # a heavier way to a place that is settled
-            rest = taken[i]
-            if rest:
-                v = rest.pop()
+            if taken[i]:
+                v, taken[i] = taken[i]
                 w = -pieces[v][1] if v in pieces else UNKNOWN
-                if rest:
+                if taken[i]:
                     heappush(heap, (cost, place, piece, before))
                 heappush(heap, (cost + w, -(i + len(v)), v, i))
         path, i = [], n
@@ -209,36 +236,49 @@ class Transducer:
 
     def _finite_path(self, unit: str) -> list[str]:
         """The stack of open states along the only finite path; a place that was left without a way on isn't entered again."""
-        n, pieces, stable, arcs_from = len(unit), self.pieces, self.stable, self.arcs_from
-        path, last, i, seen = [], "", 0, {0}
-        waiting = [arcs_from(unit, 0)]
+        n, pieces, stable, lexicon = len(unit), self.pieces, self.stable, self.lexicon
+        path, last, i, seen, waiting = [], "", 0, {0}, []
         while i < n:
-            rest = waiting[-1]
-            while rest:
-                v = rest.pop()
-                if (i + len(v)) not in seen and (v not in pieces or stable(last, v)):
-                    path.append(v)
-                    last = v if v in pieces else ""
-                    i += len(v)
-                    seen.add(i)
-                    waiting.append(arcs_from(unit, i) if i < n else [])
+            node = lexicon
+            for c in unit[i:]:
+                near = node.get(c)
+                if near is None:
                     break
-            else:  # no way on: back to the state before
-                waiting.pop()
-                i -= len(path.pop())
-                last = path[-1] if path and path[-1] in pieces else ""
+                node = near
+            rest = node[""] or (unit[i], None)  # as arcs_from
+            while True:
+                while rest:
+                    v, rest = rest
+                    if i + len(v) not in seen:
+                        if v not in pieces:
+                            last = ""
+                            break
+                        if stable(last, v):
+                            last = v
+                            break
+                else:  # no way on: back to the state before
+                    rest = waiting.pop()
+                    i -= len(path.pop())
+                    last = path[-1] if path and path[-1] in pieces else ""
+                    continue
+                break
+            path.append(v)
+            waiting.append(rest)
+            i += len(v)
+            seen.add(i)
         return path
 
     def ids_of(self, unit: str) -> bytes:
         out = []
         for p in self.shortest_path(unit):
-            if p in self.pieces:
-                out.append(self.pieces[p][0])
+            known = self.pieces.get(p)
+            if known:
+                out.append(known[0])
             elif self.bytes:
                 out += [self.bytes[b] for b in p.encode()]
             else:
                 out.append(self.unknown)
-        return np.array(out, np.uint32).tobytes()
+        return struct.pack(f"={len(out)}I", *out)
 
     def encode(self, text: str) -> np.ndarray:
         units = self.units.findall(self.normaliser(text))

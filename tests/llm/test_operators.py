@@ -300,6 +300,21 @@ def test_op4_the_only_finite_path():
         assert finite(s) == [fst.shortest_path(s)] == [fst.merged(s)]
 
 
+def test_op4_stable_pairs(monkeypatch):
+    """Whether a pair of pieces is stable is what merging its text anew says, but no text of a pair is merged for it."""
+    fst = op4_sentencepiece.Transducer(op4_sentencepiece.default_model())
+    r = random.Random(8)
+    whole = [p for p in r.sample(sorted(fst.pieces), 400) if len(p) < 9]
+    pairs = [(r.choice(whole), r.choice(whole)) for _ in range(4000)] + [("", p) for p in whole]
+    pairs += [(x[:k], x[k:]) for x in whole for k in range(1, len(x)) if x[:k] in fst.pieces and x[k:] in fst.pieces]
+    want = [fst.merged(u + v) == ([u, v] if u else [v]) for u, v in pairs]
+    assert 400 < sum(want) < len(want) - 400
+    plain, texts = fst.merged, []
+    monkeypatch.setattr(fst, "merged", lambda text, *more: (texts.append(text), plain(text, *more))[1])
+    assert [fst.stable(u, v) for u, v in pairs] == want
+    assert len(texts) <= len({p for pair in pairs for p in pair})
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
 def test_op4_normalisers(rule, tmp_path):
     """A model with a character map and without extra spaces: the library's ids."""
