@@ -580,6 +580,21 @@ def test_progress(spark):
     assert (r.p.pct, r.p.fill, r.p.rate, r.q) == (50, 15, 2.5, None)
 
 
+def test_contexts_shuffle_places(spark, monkeypatch):
+    """Only places of names are shuffled while all lines are small enough to be brought to the executors; beyond, the same texts."""
+    functions = spark.createDataFrame([("p.b1", "b", "one", 2), ("p.b0", "b", None, 1), ("p.c", "c", "", 3)], "id string, func_name string, summary string, seq long")
+    deps = spark.createDataFrame([("x", "c"), ("x", "b"), ("x", "a"), ("x", "b"), ("y", None), ("z", "q")], "function_id string, dep_name string")
+    ids = spark.createDataFrame([("x",), ("y",), ("w",)], "id string")
+    shelved = L.contexts(ids, deps, functions)
+    assert "BroadcastNestedLoopJoin" in shelved._jdf.queryExecution().toString()
+    b = f"- b : {L.EXTERNAL}\n- b : one\n"
+    want = {"x": f"- a : {L.EXTERNAL}\n{b}{b}- c : {L.EXTERNAL}\n", "y": "", "w": ""}
+    assert dict(map(tuple, shelved.collect())) == want
+    monkeypatch.setattr(L, "SHELF", 10)
+    assert dict(map(tuple, L.contexts(ids, deps, functions).collect())) == want
+    assert L.contexts(ids.limit(0), deps, functions).count() == 0 and {r.context for r in L.contexts(ids, deps.limit(0), functions).collect()} == {""}
+
+
 def test_progress_beyond_the_total(spark):
     """The bar goes on where more is done than the total says."""
     bars = spark.range(1).select(*[T.progress(F.lit(n), F.lit(1000), F.lit(1))["bar"] for n in (999, 1000, 5999)]).first()
