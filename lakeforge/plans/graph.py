@@ -25,7 +25,7 @@ from ..operators.lookup import by_status, contexts, has_summary, internal_edges,
 from ..operators.parse import bodies
 from ..operators.state import StateStore, finalise, save_dependencies, transition
 from ..schemas import AUDITED, EXTRACTED, FAILED, IN_PROGRESS, PENDING
-from ..session import cut_lineage
+from ..session import cut_lineage as _cut_lineage
 from ..sources.replies import ReplyLog
 from .config import Config
 from .infer import Model, discover, reply_dependencies
@@ -34,6 +34,12 @@ from .progress import Progress
 log = logging.getLogger(__name__)
 
 
+def cut_lineage(df: DataFrame, tag: str = "cut") -> DataFrame:
+    """As in session, for tables that join step by step: they are never broadcast, for broadcasts go through the driver, and one for
+    each step adds up to many times the graph."""
+    return _cut_lineage(df, tag).hint("merge")
+
+
 def summary_prompt() -> Column:
     return F.concat(
         F.lit("You read Go code. Say in at most 45 words what the function does, and list what it depends on.\nAnswer with JSON: "),
@@ -157,6 +163,7 @@ def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
 
 def condensed(edges: DataFrame, components: DataFrame) -> DataFrame:
     """function_id, child: edges between components; a node outside of cycles is its own. There are no cycles in it."""
+    components = components.hint("merge")
     a, b = (components.select(F.col("id").alias(c), F.col("component").alias(f"own_{c}")) for c in ("function_id", "child"))
     rows = edges.join(a, "function_id", "left").join(b, "child", "left")
     rows = rows.select(F.coalesce("own_function_id", "function_id").alias("function_id"), F.coalesce("own_child", "child").alias("child"))

@@ -595,6 +595,17 @@ def test_contexts_shuffle_places(spark, monkeypatch):
     assert L.contexts(ids.limit(0), deps, functions).count() == 0 and {r.context for r in L.contexts(ids, deps.limit(0), functions).collect()} == {""}
 
 
+def test_graph_steps_never_broadcast(spark):
+    """What a step of a search joins isn't brought to the driver, however small it is."""
+    edges = spark.range(1, 12).selectExpr("cast(id as string) function_id", "cast(id % 11 + 1 as string) child")
+    found = G.strong_components(edges, small=5)
+    assert found.count() == 11
+    below = G.condensed(edges, found)
+    labels, calls = G.cut_lineage(found.select(F.col("id").alias("node"), F.col("component").alias("label"))), edges.toDF("a", "b")
+    for df in (below, labels.join(calls, labels.node == calls.a), calls.join(labels, labels.node == calls.a, "left_anti")):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_progress_beyond_the_total(spark):
     """The bar goes on where more is done than the total says."""
     bars = spark.range(1).select(*[T.progress(F.lit(n), F.lit(1000), F.lit(1))["bar"] for n in (999, 1000, 5999)]).first()
