@@ -22,6 +22,7 @@ Columns besides doc_id and text are only passed on.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import math
 import re
@@ -315,6 +316,13 @@ class Transducer:
                 return a + b
         return None
 
+    def forget(self) -> None:
+        """Empties the tables of paths and pairs, and gives their memory back."""
+        self.new, self.old = {}, {}
+        self.stable.cache_clear()
+        self.merges.cache_clear()
+        gc.collect()
+
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.out.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
@@ -350,6 +358,7 @@ def encoded(docs: DataFrame, path: str | None = None, column: str = "text", deco
                 lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(ids).astype(np.int32)))
                 new = [lists, pa.array(np.diff(off).astype(np.int64)), pa.array([a == b for a, b in zip(rows, back, strict=True)]), *[pa.array(back, pa.string())] * decode]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *[f.name for f in more]])
+        fst.forget()  # workers stay for other stages, which need the memory
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
 

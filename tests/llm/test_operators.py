@@ -315,6 +315,18 @@ def test_op4_stable_pairs(monkeypatch):
     assert len(texts) <= len({p for pair in pairs for p in pair})
 
 
+def test_op4_gives_memory_back(spark, docs):
+    """A worker that has encoded rows for the pipeline holds no paths and pairs for the stages after it."""
+
+    def held(batches):
+        for _ in batches:
+            tables = [(len(t.new), len(t.old), t.stable.cache_info().currsize) for t in op4_sentencepiece._loaded.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(sum, tables))])], ["n"])
+
+    assert op4_sentencepiece.tokenised(docs).agg({"n_tokens": "sum"}).first()[0] > 0
+    assert spark.range(0, 64, 1, 16).mapInArrow(held, "n long").agg({"n": "max"}).first()[0] == 0
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
 def test_op4_normalisers(rule, tmp_path):
     """A model with a character map and without extra spaces: the library's ids."""
