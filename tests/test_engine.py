@@ -11,6 +11,7 @@ import sys
 import threading
 import time
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -606,6 +607,18 @@ def test_graph_steps_never_broadcast(spark):
         assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_contexts_in_small_row_groups(spark, tmp_path):
+    """A Parquet writer looks at the size of long contexts every few rows, also behind short ones, so it holds no 100 of them."""
+    functions = spark.createDataFrame([("p.f", "f", "f", 1)], "id string, func_name string, summary string, seq long").withColumn("summary", F.repeat("summary", 4 << 20))
+    ids = spark.range(13).select(F.format_string("%02d", "id").alias("id"))
+    L.contexts(ids, ids.select(F.col("id").alias("function_id"), F.lit("f").alias("dep_name")).where("function_id > '00'"), functions).coalesce(1).sortWithinPartitions("id").write.option("parquet.block.size", 1 << 10).parquet(str(tmp_path / "out"))
+    (path,) = (tmp_path / "out").glob("*.parquet")
+    groups = pq.ParquetFile(path).metadata
+    rows = [groups.row_group(i).num_rows for i in range(groups.num_row_groups)]
+    assert sum(rows) == 13 and max(rows) <= 4
+    assert [r.n for r in spark.read.parquet(str(path)).select("id", F.octet_length("context").alias("n")).sort("id").collect()] == [0] + 12 * [(4 << 20) + 7]
+
+
 def test_progress_beyond_the_total(spark):
     """The bar goes on where more is done than the total says."""
     bars = spark.range(1).select(*[T.progress(F.lit(n), F.lit(1000), F.lit(1))["bar"] for n in (999, 1000, 5999)]).first()
